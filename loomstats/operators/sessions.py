@@ -23,7 +23,6 @@ THREAD_GAP_MS = 10 * MINUTE_MS
 FATIGUE_THRESHOLD = 3
 
 KEY = ["session_id"]
-AT = F.struct("ms", "seq")
 
 
 def ordered(events: DataFrame, block_rows: int | None = None) -> Sequence:
@@ -292,7 +291,9 @@ def episode_rows(rows: Sequence, gap_ms: int = EPISODE_GAP_MS) -> Sequence:
     stop = act & _is_stop()
     request = act & signal & (kind == "chat-request") & (C("actor") == "ai")
     rows = rows.last({"mark": F.when(stop, "stop").when(C("by_plan") | C("hard") | request, "open")})
-    rows = rows.with_columns({"by_loop": F.coalesce(request & ~C("hard") & (C("mark") == "stop"), F.lit(False))})
+    # A completed loop closes its episode at the new request, also if the gap alone would have ended it earlier.
+    by_loop = request & ~C("prev.boundary") & (C("mark") == "stop")
+    rows = rows.with_columns({"by_loop": F.coalesce(by_loop, F.lit(False))})
 
     opens = C("hard") | C("by_plan") | C("by_loop")
     rows = rows.running_sum({"episode_no": opens.cast("long")})
@@ -324,7 +325,7 @@ def episodes(rows: Sequence) -> DataFrame:
         .frame().where(C("episode_no") > 0)
         .groupBy("session_id", "episode_no", "phase_seen", "model_seen")
         .agg(
-            F.min(F.when(act, AT)).alias("first_at"),
+            F.min(F.when(act, F.struct("ms", "seq"))).alias("first_at"),
             F.max(F.when(act, F.struct("ms", "seq", last_end.alias("end_ms"), _is_boundary().alias("boundary"),
                                        C("after").isNull().alias("final")))).alias("last"),
             F.max("ms").alias("any_ms"),
