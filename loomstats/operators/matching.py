@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import settings
 from ..functions import text
 from .ordered import Sequence
 
@@ -109,9 +110,11 @@ def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None =
 
 def match_titles(threads: DataFrame, titles: DataFrame, sessions: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Threads with their matched chat and title: from the title records, else from the full chat sessions."""
-    by_title = nearest_chats(threads, titles, block_rows).join(
+    # Both are read several times; written once, they are not recomputed from the events each time.
+    threads = settings.cut_lineage(threads)
+    by_title = settings.cut_lineage(nearest_chats(threads, titles, block_rows).join(
         titles.select("chat_id", C("title").alias("matched_title")), "chat_id"
-    )
+    ))
     rest = threads.join(by_title, ["session_id", "thread_no"], "left_anti")
     by_session = nearest_chats(rest, sessions, block_rows).join(
         sessions.select("chat_id", C("title").alias("matched_title")), "chat_id"

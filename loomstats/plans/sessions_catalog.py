@@ -111,7 +111,7 @@ _THREADS = (
     "WHEN phase = 'planning' THEN 'Considered' ELSE 'Thought' END AS label, intent = 'tool/runSubagent' AS is_fallback, "
     "lead(ms) OVER (PARTITION BY session_id, thread_no ORDER BY ms, seq) - ms AS duration_ms FROM t4 "
     "WHERE sig AND NOT is_title AND NOT stop AND signal_type <> 'completion-shown'), "
-    "sc AS (SELECT session_id, thread_no, count(*) AS step_count, max(duration_ms) AS longest_pause_ms FROM steps "
+    "stc AS (SELECT session_id, thread_no, count(*) AS step_count, max(duration_ms) AS longest_pause_ms FROM steps "
     "GROUP BY ALL), "
     "th AS (SELECT session_id, thread_no, min(ms) FILTER (WHERE NOT is_title) AS started_ms, "
     "bool_or(coalesce(NOT is_title AND (stop OR ai_exec OR intent = 'tool/searchSubagentTool'), false)) AS acted, "
@@ -126,7 +126,7 @@ _THREADS = (
     "coalesce(detected_title, first_prompt, CASE WHEN fa.i = 'apply_patch' THEN 'Patch thread' "
     "WHEN fa.i = 'panel/unknown' THEN 'Planning thread' WHEN fa.i = 'tool/searchSubagentTool' THEN 'Research thread' "
     "WHEN fa.i = 'tool/runSubagent' THEN 'Execution thread' ELSE fa.l END || ' · ' || strftime(fa.m, '%H:%M')) AS title "
-    "FROM th JOIN ta USING (session_id, thread_no) LEFT JOIN sc USING (session_id, thread_no))"
+    "FROM th JOIN ta USING (session_id, thread_no) LEFT JOIN stc USING (session_id, thread_no))"
 )
 _WALK = (
     "act AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ms, seq) AS rn, "
