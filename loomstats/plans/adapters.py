@@ -6,8 +6,6 @@ timestamp functions differ.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31"
@@ -151,7 +149,3 @@ def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         customer, orders.o_custkey == customer.c_custkey
     )
     return joined.withColumn("ts", lines.l_shipdate).selectExpr(*_project(CU_COLUMNS, SPARK))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

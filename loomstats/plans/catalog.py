@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["events_catalog", "sessions_catalog", "logs_catalog", "usage_catalog", "chats_catalog"]
+MODULES = [
+    "events_catalog", "sessions_catalog", "logs_catalog", "usage_catalog", "chats_catalog", "streams_catalog",
+]
 
 
 def _merged(attribute: str) -> dict:
