@@ -1,7 +1,7 @@
 """Predicates and classifications over tracked events, as Column expressions.
 
 They read the columns of the `events` table: event_type, signal_type, intent, actor, phase, model_name, raw_text,
-chars_added, chars_deleted, file_path.
+chars_added, chars_deleted, file_path. Texts built from several of them start from the columns of `texts()`.
 """
 
 from __future__ import annotations
@@ -101,8 +101,13 @@ def acceptance_ratio(accepted: Column, total: Column) -> Column:
     return F.when(total <= 0, F.lit(0.0)).otherwise(F.least(accepted / total, F.lit(1.0)))
 
 
-def timeline_entry() -> Column:
-    """Struct describing how an event appears on a session timeline."""
+def texts() -> dict[str, Column]:
+    """The raw text with whitespace collapsed and the intent in words; to be evaluated once per row."""
+    return {"flat_text": text.collapse(C("raw_text")), "intent_words": text.humanise(C("intent"))}
+
+
+def timeline_entry() -> dict[str, Column]:
+    """How an event appears on a session timeline: actor, phase, label, detail, side and flags."""
     signal, intent, actor = C("signal_type"), C("intent"), C("actor")
     raw, model = C("raw_text"), C("model_name")
     tool = F.substring(intent, len("browser/") + 1, 1_000_000)
@@ -121,16 +126,16 @@ def timeline_entry() -> Column:
         (signal == "plan-proposal", "Plan proposed", text.or_else(intent, raw),
          F.when(actor == "human", "left").otherwise("right"), False, False),
         (signal == "memory-boundary", "Memory Refreshed", intent, "center", False, False),
-        (signal == "reference-used", "Reference used", text.collapse_or(raw, intent), "center", False, False),
-        (signal == "command-executed", "Command executed", text.collapse_or(raw, intent), "right", False, True),
+        (signal == "reference-used", "Reference used", text.or_else(C("flat_text"), intent), "center", False, False),
+        (signal == "command-executed", "Command executed", text.or_else(C("flat_text"), intent), "right", False, True),
         (signal == "tool-loop-stop", "Autonomous loop completed", text.or_else(model, intent), "center", True, True),
         (signal == "user-choice", "User choice", raw, "left", False, False),
         (signal == "completion-shown", "Suggestion shown", model, "right", False, False),
-        (intent == "apply_patch", "Apply patch", text.edit_detail(raw, intent), "right", False, True),
-        (intent.isin(*EDIT_INTENTS), "Edit file", text.edit_detail(raw, intent), "right", False, True),
+        (intent == "apply_patch", "Apply patch", text.edit_detail(raw, C("flat_text"), intent), "right", False, True),
+        (intent.isin(*EDIT_INTENTS), "Edit file", text.edit_detail(raw, C("flat_text"), intent), "right", False, True),
         (browser, choose([(tool == "navigate", "Browser navigate"), (tool == "screenshot", "Browser screenshot")],
                          "Browser research"),
-         text.search_detail(raw, text.or_else(tool, F.lit("browser"))), "right", False, True),
+         text.search_detail(raw, C("flat_text"), text.or_else(tool, F.lit("browser"))), "right", False, True),
     ]
     other_label = choose(
         [(C("phase") == "research", "Research action"), (C("phase") == "execution", "Execution action")],
@@ -139,85 +144,77 @@ def timeline_entry() -> Column:
     pick = lambda i, default: choose([(rule[0], rule[i]) for rule in rules], default)
     editor = ~is_signal()
     shown = is_signal() & (signal == "completion-shown") & ~intent.isin(*HUMAN_INTENTS)
-    return F.struct(
-        choose([(editor, "human"), (shown, "ai")], actor).alias("actor"),
-        choose([(editor, "human"), (shown, "execution")], C("phase")).alias("phase"),
-        pick(1, other_label).alias("label"),
-        pick(2, text.or_else(intent, model)).alias("detail"),
-        pick(3, by_actor).alias("side"),
-        pick(4, False).alias("accepted"),
-        pick(5, is_subagent_intent(intent)).alias("is_autonomous"),
-        (is_signal() & ~intent.isin(*HUMAN_INTENTS) & (signal == "memory-boundary")).alias("is_memory_refresh"),
-    )
+    return {
+        "actor": choose([(editor, "human"), (shown, "ai")], actor),
+        "phase": choose([(editor, "human"), (shown, "execution")], C("phase")),
+        "label": pick(1, other_label),
+        "detail": pick(2, text.or_else(intent, model)),
+        "side": pick(3, by_actor),
+        "accepted": pick(4, False),
+        "is_autonomous": pick(5, is_subagent_intent(intent)),
+        "is_memory_refresh": is_signal() & ~intent.isin(*HUMAN_INTENTS) & (signal == "memory-boundary"),
+    }
 
 
 def thought_detail() -> Column:
-    """Detail text of a signal that is no edit, command or prompt of its own step kind."""
-    signal, intent, raw, model = C("signal_type"), C("intent"), C("raw_text"), C("model_name")
-    return choose(
-        [
-            (intent == "vscodePrompt", F.coalesce(text.prompt_title(raw), F.lit("Prompt"))),
-            (intent.isin("apply_patch", *EDIT_INTENTS), text.edit_detail(raw, text.humanise(intent))),
-            ((intent == "terminal/runCommand") | (signal == "command-executed"), text.detail(raw, F.lit("Run command"))),
-            (C("phase") == "research", search_signal_detail()),
-            (signal == "reference-used", reference_detail()),
-            (signal == "memory-boundary", memory_detail()),
-            (intent != "", text.detail(raw, text.humanise(intent))),
-            (model != "", model),
-        ],
-        text.detail(raw, text.humanise(signal)),
-    )
-
-
-def search_signal_detail() -> Column:
-    signal, intent, raw = C("signal_type"), C("intent"), C("raw_text")
+    """Detail of a signal that is no prompt, edit, command, reference or memory step."""
+    intent, model, flat, words = C("intent"), C("model_name"), C("flat_text"), C("intent_words")
+    fallback = F.when(intent != "", words).otherwise(text.humanise(C("signal_type")))
+    browsing = (C("phase") == "research") & intent.startswith("browser/")
     return choose(
         [
-            (intent == "tool/searchSubagentTool", text.detail(raw, F.lit("Search request"))),
-            (intent.startswith("browser/"), text.search_detail(raw, text.humanise(intent))),
+            (browsing, text.search_detail(C("raw_text"), flat, words)),
+            ((C("phase") != "research") & (intent == "") & (model != ""), model),
         ],
-        text.detail(raw, text.humanise(text.or_else(intent, signal))),
+        text.detail(flat, fallback),
     )
 
 
-def reference_detail() -> Column:
-    source = F.regexp_replace(C("intent"), r"\Areference/", "")
-    return text.detail(C("raw_text"), text.humanise(text.or_else(source, F.lit("reference"))))
-
-
-def memory_detail() -> Column:
-    intent = C("intent")
-    return F.when(intent != "", text.humanise(intent)).otherwise(text.detail(C("raw_text"), F.lit("Memory file")))
+def is_agent_step() -> Column:
+    """Signals that appear as a step of the agent."""
+    silent = C("signal_type").isin("thread-title", "completion-shown", "tool-loop-stop")
+    return is_signal() & ~silent & ~C("intent").isin(*METADATA_INTENTS)
 
 
-def agent_step() -> Column:
-    """Struct (label, detail, is_fallback) of the agent step a signal stands for; null if it is no step."""
+def agent_step() -> dict[str, Column]:
+    """Label, detail and fallback flag of the agent step a signal stands for."""
     signal, intent, actor, phase, raw = C("signal_type"), C("intent"), C("actor"), C("phase"), C("raw_text")
-    silent = intent.isin(*METADATA_INTENTS) | signal.isin("thread-title", "completion-shown", "tool-loop-stop")
-    # condition, label, detail, fallback
-    rules = [
-        (intent == "vscodePrompt", "Prompt", F.coalesce(text.prompt_title(raw), F.lit("Prompt")), False),
-        (intent.isin("apply_patch", *EDIT_INTENTS), "Updated", text.edit_detail(raw, text.humanise(intent)), False),
-        ((intent == "terminal/runCommand") | (signal == "command-executed"), "Executed",
-         text.detail(raw, F.lit("Run command")), False),
-        (signal == "reference-used", "Used reference", reference_detail(), False),
-        (((phase == "research") & intent.startswith("browser/")) | (intent == "tool/searchSubagentTool"), "Searched",
-         search_signal_detail(), False),
-        (signal == "memory-boundary", "Memory file", memory_detail(), False),
-        ((actor == "ai") & (phase == "planning"),
-         F.when((signal == "plan-proposal") | intent.isin(*PLANNING_INTENTS), "Considered").otherwise("Evaluating"),
-         thought_detail(), False),
-        (actor == "ai", "Thought", thought_detail(), True),
-    ]
-    pick = lambda i, default: choose([(rule[0], rule[i]) for rule in rules], default)
-    return F.when(
-        is_signal() & ~silent,
-        F.struct(
-            pick(1, "Activity").alias("label"),
-            pick(2, thought_detail()).alias("detail"),
-            pick(3, True).alias("is_fallback"),
-        ),
+    flat, words = C("flat_text"), C("intent_words")
+    edit = intent.isin("apply_patch", *EDIT_INTENTS)
+    command = (intent == "terminal/runCommand") | (signal == "command-executed")
+    reference = signal == "reference-used"
+    browsing = (phase == "research") & intent.startswith("browser/")
+    search = browsing | (intent == "tool/searchSubagentTool")
+    memory = signal == "memory-boundary"
+    planned = (signal == "plan-proposal") | intent.isin(*PLANNING_INTENTS)
+    label = choose(
+        [
+            (intent == "vscodePrompt", "Prompt"), (edit, "Updated"), (command, "Executed"), (reference, "Used reference"),
+            (search, "Searched"), (memory, "Memory file"),
+            ((actor == "ai") & (phase == "planning"), F.when(planned, "Considered").otherwise("Evaluating")),
+            (actor == "ai", "Thought"),
+        ],
+        "Activity",
+    )
+    named = label.isin("Thought", "Activity", "Considered", "Evaluating")
+    # What the collapsed text is replaced by where it is empty.
+    source = text.humanise(text.or_else(F.regexp_replace(intent, r"\Areference/", ""), F.lit("reference")))
+    fallback = choose(
+        [(command, "Run command"), (reference, source), (intent == "tool/searchSubagentTool", "Search request"),
+         (memory, "Memory file")],
+        words,
+    )
+    detail = choose(
+        [
+            (intent == "vscodePrompt", F.coalesce(text.prompt_title(raw), F.lit("Prompt"))),
+            (edit, text.edit_detail(raw, flat, words)),
+            (~command & ~reference & browsing, text.search_detail(raw, flat, words)),
+            (~command & ~reference & ~search & memory & (intent != ""), words),
+            (command | reference | search | memory, text.detail(flat, fallback)),
+        ],
+        thought_detail(),
     )
+    return {"label": label, "detail": detail, "is_fallback": named & ~((actor == "ai") & (phase == "planning"))}
 
 
 # Fixed patterns: tool names and the step they stand for (first match wins).

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACE
+
 # Words that are no keywords.
 ENGLISH_STOP_WORDS = (
     "a an the and or but not nor so yet for as at by in of on to up it its is are was were be been being have has had do "
@@ -19,19 +21,24 @@ JAPANESE_STOP_WORDS = (
 ).split()
 # Fixed pattern: characters between words (whitespace, ASCII and CJK punctuation).
 SEPARATORS = (
-    r"(?U)[\s\x{3000}\x{ff0c}\x{3001}\x{3002}\x{ff01}\x{ff1f}!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_{|}~"
+    "[" + SPACE + r"\x{ff0c}\x{3001}\x{3002}\x{ff01}\x{ff1f}!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_{|}~"
     r"\x{300c}\x{300d}\x{300e}\x{300f}\x{3010}\x{3011}]+"
 )
-URL = r"(?U)https?://\S*"
+URL = f"https?://[^{SPACE}]*"
+
+
+def raw_words(text: Column) -> Column:
+    """Pieces of a text between separators, URLs left out."""
+    without_urls = F.when(text.contains("://"), F.regexp_replace(text, URL, " ")).otherwise(text)
+    return F.split(without_urls, SEPARATORS)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of a text without URLs, numbers, stop words and single characters."""
-    parts = F.split(F.regexp_replace(text, URL, " "), SEPARATORS)
-    cleaned = F.transform(parts, lambda p: F.regexp_replace(p, r"\A`+|`+\z", ""))
-    kept = F.filter(
-        cleaned,
-        lambda p: (F.length(p) >= 2) & ~p.rlike(r"\A[0-9]+\z")
-        & ~F.lower(p).isin(*ENGLISH_STOP_WORDS) & ~p.isin(*JAPANESE_STOP_WORDS),
+def keyword(word: Column) -> Column:
+    """The keyword a piece stands for: lower case; null for numbers, stop words and single characters."""
+    bare = F.btrim(word, F.lit("`"))
+    lower = F.lower(bare)
+    kept = (
+        (F.length(bare) >= 2) & ~lower.isin(*ENGLISH_STOP_WORDS) & ~bare.isin(*JAPANESE_STOP_WORDS)
+        & ~bare.rlike(r"\A[0-9]+\z")
     )
-    return F.transform(kept, F.lower)
+    return F.when(kept, lower)

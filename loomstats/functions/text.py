@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROMPT_TITLE_CHARS = 80
@@ -16,14 +16,28 @@ PROMPT_BUCKETS = [("0-50", 50, 25), ("51-100", 100, 75), ("101-200", 200, 150),
 EMPTY_PROMPTS = ["vscodeprompt", "copilotlanguagemodelwrapper", "chat-request", "text change"]
 
 
+
+def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    A one-row generator keeps the optimizer from substituting their definitions into every later use (a filter on a
+    column that depends on several others would otherwise grow exponentially when it is pushed down).
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
+# Fixed pattern: what counts as whitespace, Unicode spaces included.
+SPACE = r"\s\x0B\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+
+
 def strip(text: Column) -> Column:
-    """Remove surrounding whitespace, Unicode spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Remove surrounding whitespace."""
+    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def collapse(text: Column) -> Column:
     """Runs of whitespace become one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def or_else(text: Column, fallback: Column) -> Column:
@@ -31,10 +45,6 @@ def or_else(text: Column, fallback: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", fallback).otherwise(text)
 
 
-def collapse_or(text: Column, fallback: Column) -> Column:
-    return or_else(collapse(text), fallback)
-
-
 def shorten(text: Column, limit: int) -> Column:
     """At most `limit` characters, the last one an ellipsis if something was cut."""
     cut = F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))
@@ -46,8 +56,9 @@ def truncate_title(text: Column) -> Column:
     return F.when(F.length(text) > PROMPT_TITLE_CHARS, cut).otherwise(text)
 
 
-def detail(text: Column, fallback: Column) -> Column:
-    return shorten(collapse_or(text, fallback), DETAIL_CHARS)
+def detail(flat: Column, fallback: Column) -> Column:
+    """Whitespace-collapsed text, or the fallback, cut to the length of a detail."""
+    return shorten(or_else(flat, fallback), DETAIL_CHARS)
 
 
 def preview(text: Column) -> Column:
@@ -64,7 +75,7 @@ def normalize_model(model: Column) -> Column:
 
 def prompt_title(raw: Column) -> Column:
     """Readable prompt from a raw log text; null if nothing but boilerplate is left."""
-    text = F.regexp_replace(raw, r"(?U)\s+", " ")
+    text = F.regexp_replace(raw, f"[{SPACE}]+", " ")
     # Fixed patterns: leading timestamp with level, request prefix, trailing tag, quotes.
     for pattern in (
         r"(?i)\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)?(?:\s*\[[^\]]+\])?\s*",
@@ -85,15 +96,16 @@ def humanise(intent: Column) -> Column:
     return or_else(F.trim(F.regexp_replace(words, r"[/_-]+", " ")), F.when(intent == "", "Activity").otherwise(F.lit("")))
 
 
-def edit_detail(raw: Column, fallback: Column) -> Column:
+def edit_detail(raw: Column, flat: Column, fallback: Column) -> Column:
+    """File or patch target named in a raw text, else its whitespace-collapsed form `flat`."""
     file = F.regexp_extract(raw, r"(?i)workspace/editfile\s+(\S+)", 1)
     patched = strip(F.regexp_extract(raw, r"(?i)apply_patch(?:\s+to\s+file)?\s+(\S.*)\z", 1))
-    return F.when(file != "", file).when(patched != "", patched).otherwise(collapse_or(raw, fallback))
+    return F.when(file != "", file).when(patched != "", patched).otherwise(or_else(flat, fallback))
 
 
-def search_detail(raw: Column, fallback: Column) -> Column:
+def search_detail(raw: Column, flat: Column, fallback: Column) -> Column:
     target = F.regexp_extract(raw, r"(?i)browser[_-]navigate\s+(\S+)", 1)
-    return F.when(target != "", target).otherwise(collapse_or(raw, fallback))
+    return F.when(target != "", target).otherwise(or_else(flat, fallback))
 
 
 def prompt_bucket(length: Column) -> Column:

@@ -90,7 +90,7 @@ def chat_steps(
     )
     asked = F.when(
         text.strip(C("text")) != "",
-        step(0, 0, "human", F.lit("human"), "Prompt", text.detail(C("text"), F.lit("Prompt")), F.lit("chat/request"), False),
+        step(0, 0, "human", F.lit("human"), "Prompt", text.detail(text.collapse(C("text")), F.lit("Prompt")), F.lit("chat/request"), False),
     )
     thought = step(
         1, 1, "ai", F.when(planning, "planning").otherwise("execution"), "Thought",
@@ -168,8 +168,11 @@ def merged_titles(versions: DataFrame) -> DataFrame:
 
 def top_keywords(texts: DataFrame, column: str, limit: int = 20) -> DataFrame:
     """Most frequent keywords (ties: word)."""
-    words = texts.select(F.explode(keywords.tokens(C(column))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    pieces = texts.select(F.explode(keywords.raw_words(C(column))).alias("piece"))
+    # Counting first leaves only the distinct pieces to be examined.
+    distinct = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    words = distinct.select(keywords.keyword(C("piece")).alias("word"), "n").where(C("word").isNotNull())
+    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
     return counts.orderBy(C("n").desc(), "word").limit(limit)
 
 

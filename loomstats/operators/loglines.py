@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import settings
 from ..functions import events as ev
 from ..functions import text
 from .ordered import Sequence
@@ -102,15 +103,6 @@ def command_used(raw: Column) -> Column:
 # --- Facts per line --------------------------------------------------------------------------------------------------
 
 
-def _evaluate(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are evaluated once per row.
-
-    A one-row generator keeps the optimizer from substituting their definitions into every later use (a filter on a
-    column that depends on several others would otherwise grow exponentially when it is pushed down).
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
-
-
 def log_facts(lines: DataFrame) -> DataFrame:
     """One row per non-empty line with everything the counters need.
 
@@ -119,7 +111,7 @@ def log_facts(lines: DataFrame) -> DataFrame:
     """
     line = C("line")
     candidate = F.when(line.contains("{") & line.contains("}"), F.regexp_extract(line, r"\{.*\}", 0))
-    parsed = lines.where(line.rlike(r"(?U)\S")).withColumns(
+    parsed = lines.where(line.rlike(f"[^{text.SPACE}]")).withColumns(
         {"doc": F.try_parse_json(candidate), "lower": F.lower(line)}
     )
     return _outputs(_outcomes(_rules(parsed)), lines.columns)
@@ -139,7 +131,7 @@ def _rules(parsed: DataFrame) -> DataFrame:
         (line.contains("ccreq:"), "request"),
     ]
     event = F.when(doc.isNotNull(), _text_of(_first_variant(doc, ["event", "eventName"])))
-    return _evaluate(parsed, {"rule": ev.choose(rules, "other"), "event": F.coalesce(event, F.lit(""))})
+    return text.evaluate_once(parsed, {"rule": ev.choose(rules, "other"), "event": F.coalesce(event, F.lit(""))})
 
 
 def _outcomes(ruled: DataFrame) -> DataFrame:
@@ -148,7 +140,7 @@ def _outcomes(ruled: DataFrame) -> DataFrame:
     failure = F.when(rule == "request", F.nullif(F.regexp_extract(line, REQUEST_FAILURE, 1), F.lit("")))
     status = F.when(rule == "fetch", F.coalesce(F.regexp_extract(line, FETCH_STATUS, 1).try_cast("int"), F.lit(0)))
     success = (rule == "request") & line.contains("| success |")
-    basics = _evaluate(ruled, {"failure": failure, "status": status, "success": success})
+    basics = text.evaluate_once(ruled, {"failure": failure, "status": status, "success": success})
     ok = C("success") & C("failure").isNull()
     source = ev.choose(
         [
@@ -167,7 +159,7 @@ def _outcomes(ruled: DataFrame) -> DataFrame:
         ],
         F.lit(None).cast("string"),
     )
-    decided = _evaluate(basics, {"source": source, "json_outcome": json_outcome})
+    decided = text.evaluate_once(basics, {"source": source, "json_outcome": json_outcome})
     outcome = ev.choose(
         [
             (rule == "json", C("json_outcome")),
@@ -177,7 +169,7 @@ def _outcomes(ruled: DataFrame) -> DataFrame:
         ],
         F.lit(None).cast("string"),
     )
-    return _evaluate(decided, {"outcome": outcome})
+    return text.evaluate_once(decided, {"outcome": outcome})
 
 
 def _outputs(decided: DataFrame, keep: list[str]) -> DataFrame:
@@ -405,8 +397,11 @@ def thread_titles(lines: DataFrame) -> DataFrame:
 
 def agent_loops(facts: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Subagent loops: from the first subagent request to the next loop stop, per session file."""
+    wanted = facts.where((C("rule") == "loop-stop") | ev.is_subagent_intent(C("intent"))).select(
+        *LINE_KEY, "block_start", "row", "rule", "model", "stamp", "line"
+    )
     rows = Sequence(
-        facts.where((C("rule") == "loop-stop") | ev.is_subagent_intent(C("intent"))),
+        settings.cut_lineage(wanted),
         LINE_KEY, "block_start", ["row"], block_rows=block_rows,
     )
     is_stop = C("rule") == "loop-stop"

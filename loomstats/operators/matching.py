@@ -87,9 +87,10 @@ def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None =
     ).select("bucket", "probe", C("created_ms").alias("ms"),
              F.struct(C("created_ms"), C("chat.chat_id").alias("chat_id"), C("chat.prompt").alias("prompt")).alias("chat"))
     asks = probes.select("bucket", "probe", C("started_ms").alias("ms"), F.struct(*key).alias("thread"))
+    both = offers.unionByName(asks, allowMissingColumns=True)
+    both = settings.cut_lineage(both.withColumn("is_thread", C("thread").isNotNull().cast("int")))
     rows = Sequence(
-        offers.unionByName(asks, allowMissingColumns=True).withColumn("is_thread", C("thread").isNotNull().cast("int")),
-        ["bucket", "probe"], "ms", ["is_thread"], block_rows=block_rows,
+        both, ["bucket", "probe"], "ms", ["is_thread"], block_rows=block_rows,
     )
     rows = rows.last({"before": C("chat")}).next({"after": C("chat")})
     found = rows.frame().where(C("is_thread") == 1).select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import settings
 from .ordered import Sequence
 
 
@@ -20,6 +21,8 @@ def _cumulative(df: DataFrame, keys: list[str], value: str, block_rows: int | No
         df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__value"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    # The counts are read three times below; written once, their input is not evaluated again.
+    counts = settings.cut_lineage(counts)
     totals = counts.groupBy(*group).agg(F.sum("__n").alias("__total"))
     running = Sequence(counts, group, "__value", block_rows=block_rows).running_sum({"__upto": F.col("__n")}).frame()
     return running.join(totals, group)

@@ -86,13 +86,16 @@ def session_summary(rows: Sequence) -> DataFrame:
 def thread_rows(rows: Sequence, gap_ms: int = THREAD_GAP_MS) -> Sequence:
     """Number the threads of a session on each of its events (without editor switches).
 
-    Adds thread_no (titles seen before the first thread belong to it), is_action (rows that can open a thread), entry
-    (timeline struct), parent_seq (the prompt a right-side action hangs under) and run_no.
+    Adds thread_no (titles seen before the first thread belong to it), is_action (rows that can open a thread),
+    parent_seq (the prompt a right-side action hangs under), run_no, is_step and step_ms (time to the next step).
     """
     is_title = ev.is_signal() & (C("signal_type") == "thread-title")
     rows = rows.where(C("event_type") != "editorSwitch").with_columns(
-        {"is_title": is_title, "is_action": ~is_title & ~ev.is_metadata(), "entry": ev.timeline_entry()}
+        {"is_title": is_title, "is_action": ~is_title & ~ev.is_metadata()}
     )
+    entry = ev.timeline_entry()
+    is_step = C("is_action") & ev.is_agent_step()
+    rows = rows.with_columns({"label": entry["label"], "side": entry["side"], "is_step": is_step})
     rows = rows.last(
         {"prev_ms": F.when(~C("is_title"), C("ms")), "prev_action": F.when(C("is_action"), F.lit(1))}
     )
@@ -104,15 +107,19 @@ def thread_rows(rows: Sequence, gap_ms: int = THREAD_GAP_MS) -> Sequence:
     rows = rows.with_columns({"thread_no": F.greatest("opened", F.lit(1).cast("long"))})
     # The last left-side action decides whether a following right-side action is nested; as thread numbers only grow, a
     # left-side action of an earlier thread is recognised by its number.
-    side, label = C("entry.side"), C("entry.label")
-    is_left = C("is_action") & (side == "left")
-    prompt = ~label.isin("Text change", "Completion accepted")
+    is_left = C("is_action") & (C("side") == "left")
+    prompt = ~C("label").isin("Text change", "Completion accepted")
     rows = rows.last(
         {"left": F.when(is_left, F.struct("thread_no", prompt.alias("is_prompt"), C("seq").alias("left_seq")))}
     )
-    under = C("is_action") & (side == "right") & (C("left.thread_no") == C("thread_no")) & C("left.is_prompt")
+    under = C("is_action") & (C("side") == "right") & (C("left.thread_no") == C("thread_no")) & C("left.is_prompt")
     rows = rows.with_columns({"parent_seq": F.when(under, C("left.left_seq"))})
-    return _drop(rows, "prev_ms", "prev_action", "opened", "left")
+    rows = rows.next({"following": F.when(C("is_step"), F.struct("thread_no", C("ms").alias("next_ms")))})
+    duration = F.when(
+        C("is_step") & (C("following.thread_no") == C("thread_no")), C("following.next_ms") - C("ms")
+    )
+    rows = rows.with_columns({"step_ms": duration})
+    return _drop(rows, "prev_ms", "prev_action", "opened", "left", "following")
 
 
 def _drop(rows: Sequence, *names: str) -> Sequence:
@@ -122,20 +129,16 @@ def _drop(rows: Sequence, *names: str) -> Sequence:
 def nested_actions(rows: Sequence) -> DataFrame:
     """Actions of the threads with the action they are nested under."""
     return rows.frame().where("is_action").select(
-        "session_id", "thread_no", "seq", "ms", "entry.label", "entry.side", "parent_seq"
+        "session_id", "thread_no", "seq", "ms", "label", "side", "parent_seq"
     )
 
 
 def thread_steps(rows: Sequence, pause_ms: int = THREAD_GAP_MS) -> DataFrame:
     """Agent steps of each thread with the time to the next step."""
-    rows = rows.with_columns({"step": F.when(C("is_action"), ev.agent_step())})
-    rows = rows.next({"following": F.when(C("step").isNotNull(), F.struct("thread_no", C("ms").alias("next_ms")))})
-    duration = F.when(C("following.thread_no") == C("thread_no"), C("following.next_ms") - C("ms"))
-    return (
-        rows.frame().where(C("step").isNotNull())
-        .select("session_id", "thread_no", "seq", "ms", "actor", "phase", "intent", "step.*",
-                duration.alias("duration_ms"))
-        .withColumn("is_significant_pause", C("duration_ms") > pause_ms)
+    step = ev.agent_step()
+    return text.evaluate_once(rows.frame().where("is_step"), ev.texts()).select(
+        "session_id", "thread_no", "seq", "ms", "actor", "phase", "intent", *[v.alias(k) for k, v in step.items()],
+        C("step_ms").alias("duration_ms"), (C("step_ms") > pause_ms).alias("is_significant_pause"),
     )
 
 
@@ -144,10 +147,9 @@ def threads(rows: Sequence) -> DataFrame:
     action, signal = C("is_action"), ev.is_signal()
     starts = action & ev.is_ai_execution_request() & ev.is_autonomous_signal()
     ends = action & (_is_stop() | _is_boundary())
-    entry = C("entry")
+    entry = ev.timeline_entry()
     first = F.struct(
-        entry["label"].alias("label"), F.when(signal, C("intent")).otherwise("").alias("intent"),
-        entry["phase"].alias("phase"), C("ms").alias("ms"),
+        "label", F.when(signal, C("intent")).otherwise("").alias("intent"), entry["phase"].alias("phase"), "ms"
     )
     # Parts between loop ends first, so that each autonomous run is one row.
     parts = rows.frame().groupBy("session_id", "thread_no", "run_no").agg(
@@ -162,7 +164,8 @@ def threads(rows: Sequence) -> DataFrame:
         F.max(F.when(C("is_title"), F.struct("ms", "seq", "raw_text"))).alias("title"),
         F.min(F.when(action & signal & (C("actor") == "human"), F.struct("ms", "seq", "raw_text"))).alias("prompt"),
         F.min(F.when(action, F.struct("ms", "seq", first.alias("first")))).alias("first"),
-        F.count_if(action).alias("actions"),
+        F.count_if(action).alias("actions"), F.count_if("is_step").alias("step_count"),
+        F.max("step_ms").alias("longest_pause_ms"),
     )
     ended = C("run_end").isNotNull()
     closed = F.when(ended, F.greatest(C("run_end") - C("run_start"), F.lit(0)))
@@ -177,7 +180,8 @@ def threads(rows: Sequence) -> DataFrame:
         F.max("title").alias("title"),
         F.min("prompt").alias("prompt"),
         F.min("first").alias("first"),
-        F.sum("actions").alias("actions"),
+        F.sum("actions").alias("actions"), F.sum("step_count").alias("step_count"),
+        F.coalesce(F.max("longest_pause_ms"), F.lit(0)).alias("longest_pause_ms"),
     )
     last_top = F.coalesce("last_top_ms", "started_ms")
     open_ms = F.coalesce(F.greatest(last_top - C("open_start"), F.lit(0)), F.lit(0))
@@ -187,7 +191,7 @@ def threads(rows: Sequence) -> DataFrame:
         .select(
             "session_id", "thread_no", "started_ms", "autonomous_ms",
             (C("autonomous_action") | (C("autonomous_ms") > 0)).alias("has_autonomous_run"),
-            "accepted_chars", "saw_title_request", "actions",
+            "accepted_chars", "saw_title_request", "actions", "step_count", "longest_pause_ms",
             C("title.raw_text").alias("detected_title"),
             C("prompt.raw_text").alias("first_prompt"),
             C("first.first").alias("first_action"),
@@ -238,16 +242,6 @@ def with_titles(threads_: DataFrame) -> DataFrame:
     )
 
 
-def thread_totals(threads_: DataFrame, steps: DataFrame) -> DataFrame:
-    """Threads with step count and longest pause."""
-    counted = steps.groupBy("session_id", "thread_no").agg(
-        F.count(F.lit(1)).alias("step_count"), F.max("duration_ms").alias("longest_pause_ms")
-    )
-    return threads_.join(counted, ["session_id", "thread_no"], "left").na.fill(
-        0, ["step_count", "longest_pause_ms"]
-    )
-
-
 def session_list(rows: Sequence, titled_threads: DataFrame) -> DataFrame:
     """Sessions with editor activity and the title of their newest titled thread that has steps, else their date."""
     newest = (
@@ -305,10 +299,10 @@ def episode_rows(rows: Sequence, gap_ms: int = EPISODE_GAP_MS) -> Sequence:
 
 def timeline(rows: Sequence) -> DataFrame:
     """Timeline entries of the sessions with the episode they belong to."""
-    return rows.with_columns({"entry": ev.timeline_entry()}).frame().where("actionable").select(
-        "session_id", "seq", "ms", "entry.actor", "entry.phase", "entry.label", "entry.detail", "entry.accepted",
-        "episode_no",
-    )
+    entry = ev.timeline_entry()
+    shown = [entry[c].alias(c) for c in ("actor", "phase", "label", "detail", "accepted")]
+    actions = text.evaluate_once(rows.frame().where("actionable"), ev.texts())
+    return actions.select("session_id", "seq", "ms", *shown, "episode_no")
 
 
 def episodes(rows: Sequence) -> DataFrame:

@@ -123,26 +123,32 @@ def model_call_timing(calls: DataFrame) -> DataFrame:
 # `part` orders the rows of one checkpoint (models, then snapshot and watermarks).
 
 
-def uncovered(events: DataFrame, order: list[str], block_rows: int | None = None) -> DataFrame:
+def by_session(events: DataFrame, order: list[str], block_rows: int | None = None) -> Sequence:
+    """Usage events in order. If no session is too large for one task, none of its models or sources is."""
+    return Sequence(events, ["session_id"], order[0], order[1:], block_rows=block_rows)
+
+
+def uncovered(events: DataFrame, order: list[str], parent: Sequence) -> DataFrame:
     """Usage events without the records that an earlier checkpoint already contains."""
     sourced = C("kind").isin("record", "watermark") & C("source").isNotNull()
-    rows = Sequence(events.where(sourced), ["session_id", "source"], order[0], order[1:], block_rows=block_rows)
+    rows = Sequence(events.where(sourced), ["session_id", "source"], order[0], order[1:], parent=parent)
     rows = rows.last({"mark": F.when(C("kind") == "watermark", C("sequence"))})
     covered = (C("kind") == "record") & (C("sequence") <= C("mark"))
     live = rows.frame().where(~F.coalesce(covered, F.lit(False))).drop("mark")
     return live.unionByName(events.where(~sourced))
 
 
-def _model_rows(events: DataFrame, order: list[str], block_rows: int | None) -> Sequence:
+def _model_rows(events: DataFrame, order: list[str], parent: Sequence) -> Sequence:
     models = events.where(C("kind").isin("record", "model"))
-    return Sequence(models, ["session_id", "model"], order[0], order[1:], block_rows=block_rows)
+    return Sequence(models, ["session_id", "model"], order[0], order[1:], parent=parent)
 
 
 def model_totals(events: DataFrame, order: list[str], block_rows: int | None = None) -> DataFrame:
     """Tokens and credits per session and model: the last checkpoint value plus the uncovered records after it."""
     tokens = [c for c in TOKENS if c in events.columns]
     is_record, is_model = C("kind") == "record", C("kind") == "model"
-    rows = _model_rows(uncovered(events, order, block_rows), order, block_rows)
+    parent = by_session(events, order, block_rows)
+    rows = _model_rows(uncovered(events, order, parent), order, parent)
     later = {f"{c}_later": F.when(is_model & C(c).isNotNull(), F.lit(True)) for c in tokens}
     rows = rows.next({**later, "nano_later": F.when(is_model, F.lit(True))})
     position = F.struct(*order)
@@ -165,10 +171,11 @@ def session_credits(events: DataFrame, order: list[str], block_rows: int | None
     A snapshot with a valid total (or one marked incomplete, which makes the total unknown) sets the running value.
     Otherwise the checkpoint moves it by the change of each model, which is unknown if the old or new value is.
     """
-    live = uncovered(events, order, block_rows)
+    parent = by_session(events, order, block_rows)
+    live = uncovered(events, order, parent)
     is_record, is_model = C("kind") == "record", C("kind") == "model"
     known, unknown = F.coalesce("nano", F.lit(0)), C("nano").isNull().cast("long")
-    rows = _model_rows(live, order, block_rows)
+    rows = _model_rows(live, order, parent)
     rows = rows.running_sum({
         "added": F.when(is_record, known).otherwise(0), "unknown": F.when(is_record, unknown).otherwise(0),
     })
@@ -183,7 +190,7 @@ def session_credits(events: DataFrame, order: list[str], block_rows: int | None
     resets = live.where((C("kind") == "snapshot") & (C("total_nano").isNotNull() | ~C("complete"))).select(
         "session_id", *order, F.lit(True).alias("is_reset"), F.when(C("complete"), C("total_nano")).alias("amount")
     )
-    steps = Sequence(changes.unionByName(resets), ["session_id"], order[0], order[1:], block_rows=block_rows)
+    steps = Sequence(changes.unionByName(resets), ["session_id"], order[0], order[1:], parent=parent)
     steps = steps.next({"later": F.when(C("is_reset"), F.lit(True))})
     position = F.struct(*order)
     base = F.when(

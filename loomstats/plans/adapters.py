@@ -7,6 +7,9 @@ timestamp functions differ.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+C = F.col
 
 AS_OF = "2024-01-31"
 THREAD_GAP_MS = 12 * 3_600_000
@@ -122,6 +125,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a small file gives fewer splits than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*_split(_BASE))
 
@@ -145,7 +154,7 @@ def tracked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders, customer = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
-        customer, orders.o_custkey == customer.c_custkey
+    joined = spread(lines).join(orders, C("l_orderkey") == C("o_orderkey")).join(
+        customer, C("o_custkey") == C("c_custkey")
     )
-    return joined.withColumn("ts", lines.l_shipdate).selectExpr(*_project(CU_COLUMNS, SPARK))
+    return joined.withColumn("ts", C("l_shipdate")).selectExpr(*_project(CU_COLUMNS, SPARK))

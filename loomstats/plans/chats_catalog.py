@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import keywords
 from ..operators import chats, events, logstats, matching, sessions, usage
 from ..operators import loglines
-from .adapters import DUCK, PAUSE_MS, RAW_SQL, SPARK, TE_SQL, THREAD_GAP_MS, _duck, _fill, raw_events, table, tracked_events
+from .adapters import PAUSE_MS, RAW_SQL, TE_SQL, _duck, spread, table, tracked_events
 from .logs_catalog import _LL, _DAILY, _LX, extra_lines, facts
 from .sessions_catalog import _FLAGS, _SEGMENTS, _SUMMARY, _THREADS, _rows, _session_list, _thread_rows
 from .usage_catalog import _FIRST, CU_SQL, records
@@ -186,7 +186,7 @@ QUERIES = {
     "q_tool_calls": lambda s, d: calls(s, d),
     "q_chat_steps": _steps,
     "q_turn_histogram": lambda s, d: chats.turn_histogram(requests(s, d)),
-    "q_keywords": lambda s, d: chats.top_keywords(table(s, d, "documents"), "text"),
+    "q_keywords": lambda s, d: chats.top_keywords(spread(table(s, d, "documents").select("text")), "text"),
     "q_prompt_keywords": lambda s, d: chats.top_keywords(_user_turns(s, d), "text"),
     "q_chat_latest": lambda s, d: chats.latest_chats(_versions(s, d)),
     "q_chat_titles_merged": lambda s, d: chats.merged_titles(_versions(s, d)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import logstats as stats
 from ..operators import loglines as ops
 from ..operators import sessions
-from .adapters import AS_OF, RAW_SQL, raw_events, table
+from .adapters import AS_OF, RAW_SQL, raw_events, spread, table
 
 C = F.col
 
@@ -71,7 +71,7 @@ _EXTRA = (
 
 
 def _lines(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
-    return raw_events(spark, sf_dir).selectExpr(
+    return spread(raw_events(spark, sf_dir)).selectExpr(
         "concat('u', CAST(user_id AS STRING)) AS session_id", "'main.log' AS file", "event_id AS block_start",
         "CAST(0 AS BIGINT) AS row", f"concat({_PREFIX}, {body}) AS line",
     )

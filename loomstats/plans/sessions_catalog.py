@@ -19,8 +19,7 @@ def _thread_rows(spark, sf):
 
 
 def _threads(spark, sf):
-    rows = _thread_rows(spark, sf)
-    return ops.thread_totals(ops.with_titles(ops.threads(rows)), ops.thread_steps(rows, PAUSE_MS))
+    return ops.with_titles(ops.threads(_thread_rows(spark, sf)))
 
 
 def _episode_rows(spark, sf):

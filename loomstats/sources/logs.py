@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
+
 C = F.col
 
 # Log files worth reading, size limit, and the session directory in a path.
@@ -26,7 +28,7 @@ def read_log_lines(
         F.regexp_extract(C("_metadata.file_path"), session_pattern, 1).alias("session_id"),
         C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("row"), C("value").alias("line"),
-    ).where(C("line").rlike(r"(?U)\S"))
+    ).where(C("line").rlike(f"[^{SPACE}]"))
 
 
 def latest_sessions(lines: DataFrame, count: int) -> DataFrame:
