@@ -20,6 +20,8 @@ PART_BONUS_MS = 5 * MINUTE_MS
 
 GRAM = 8
 ANY = ""
+BEFORE, AFTER = "before", "after"
+THREAD = ["session_id", "thread_no", "started_ms", "saw_title_request", "prompt"]
 
 
 def _prompt(value: Column) -> Column:
@@ -50,23 +52,15 @@ def _contained(longer: DataFrame, shorter: DataFrame) -> DataFrame:
     ).select("bucket", "outer", "inner")
 
 
-def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Best chat of each thread, or none within the allowed distance.
-
-    `threads`: session_id, thread_no, started_ms, saw_title_request, first_prompt; `chats`: chat_id, created_ms,
-    first_text. The score of a chat is its distance in time less the bonus of its prompt; ties go to the chat created
-    first, then to the smaller id. (A chat within that distance is also within the six hours around the session that
-    limit the candidates, since a thread starts inside its session.)
+def _probes(threads: DataFrame, chats: DataFrame, list_count: int) -> tuple[DataFrame, DataFrame]:
+    """Groups in which each thread looks for its nearest chat, and the chats listed in each group.
 
-    The best chat is the nearest one before or after the thread among all chats, among those with the same prompt, or
-    among those whose prompt contains or is contained in the thread's. So each thread probes each of these groups once
-    with an as-of lookup instead of being compared with every chat in reach. Time buckets of the largest distance keep
-    the groups apart: chats are listed in their own and both neighbouring buckets.
+    The groups are all chats, those with the thread's prompt and those whose prompt contains or is contained in it. Time
+    buckets of the largest distance keep them apart: chats are listed in their own and both neighbouring buckets.
     """
-    threads = threads.withColumns({"prompt": _prompt(C("first_prompt")), "bucket": _bucket(C("started_ms"))})
     near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda shift: _bucket(C("created_ms")) + shift)
     chats = chats.where(C("created_ms").isNotNull()).select(
-        "chat_id", "created_ms", _prompt(C("first_text")).alias("prompt"), F.explode(near).alias("bucket")
+        "list_no", "chat_id", "created_ms", _prompt(C("first_text")).alias("prompt"), F.explode(near).alias("bucket")
     )
     thread_prompts = threads.where(C("prompt") != "").select("bucket", "prompt").distinct()
     chat_prompts = chats.where(C("prompt") != "").select("bucket", "prompt").distinct()
@@ -74,51 +68,130 @@ def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None =
     pairs = pairs.unionByName(
         _contained(chat_prompts, thread_prompts).select("bucket", C("inner").alias("prompt"), C("outer").alias("probe"))
     )
-    key = ["session_id", "thread_no", "started_ms", "saw_title_request", "prompt", "bucket"]
-    probes = threads.select(*key, F.explode(F.array_distinct(F.array(F.lit(ANY), C("prompt")))).alias("probe"))
-    probes = probes.unionByName(threads.select(*key).join(pairs, ["bucket", "prompt"]))
-    # Of chats with the same time in the same group only the first can win.
-    listed = chats.select(
-        "bucket", F.explode(F.array_distinct(F.array(F.lit(ANY), C("prompt")))).alias("probe"), "created_ms", "chat_id",
-        "prompt",
-    )
-    offers = listed.groupBy("bucket", "probe", "created_ms").agg(
-        F.min(F.struct("chat_id", "prompt")).alias("chat")
-    ).select("bucket", "probe", C("created_ms").alias("ms"),
-             F.struct(C("created_ms"), C("chat.chat_id").alias("chat_id"), C("chat.prompt").alias("prompt")).alias("chat"))
-    asks = probes.select("bucket", "probe", C("started_ms").alias("ms"), F.struct(*key).alias("thread"))
-    both = offers.unionByName(asks, allowMissingColumns=True)
-    both = settings.cut_lineage(both.withColumn("is_thread", C("thread").isNotNull().cast("int")))
-    rows = Sequence(
-        both, ["bucket", "probe"], "ms", ["is_thread"], block_rows=block_rows,
-    )
-    rows = rows.last({"before": C("chat")}).next({"after": C("chat")})
-    found = rows.frame().where(C("is_thread") == 1).select(
-        "thread.*", F.explode(F.array_compact(F.array("before", "after"))).alias("chat")
+    own = F.explode(F.array_distinct(F.array(F.lit(ANY), C("prompt")))).alias("probe")
+    probes = threads.select("*", own).unionByName(threads.join(pairs, ["bucket", "prompt"]))
+    each_list = F.explode(F.array(*[F.lit(number) for number in range(list_count)])).alias("list_no")
+    return probes.select("*", each_list), chats.select("list_no", "bucket", own, "created_ms", "chat_id", "prompt")
+
+
+def _heads(probes: DataFrame, listed: DataFrame, block_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """Chats numbered by time in each group, and per thread, group and side the number of the nearest one.
+
+    Among chats of the same time the smaller id is nearer, so there is one numbering per side.
+    """
+    group = ["list_no", "bucket", "probe"]
+    offers = listed.select(*group, C("created_ms").alias("ms"), F.struct("created_ms", "chat_id", "prompt").alias("chat"))
+    asks = probes.select(*group, C("started_ms").alias("ms"), F.struct(*THREAD).alias("thread"))
+    both = offers.unionByName(asks, allowMissingColumns=True).withColumns({
+        "is_thread": C("thread").isNotNull().cast("int"), "chat_id": C("chat.chat_id"), "backward": -C("chat.chat_id"),
+    })
+    both = settings.cut_lineage(both)
+    is_chat = (C("is_thread") == 0).cast("long")
+    numbered = lambda tie: Sequence(
+        both, group, "ms", ["is_thread", tie], block_rows=block_rows
+    ).running_sum({"pos": is_chat}).frame()
+    after, before = numbered("chat_id"), numbered("backward")
+    chats = None
+    for side, rows in ((AFTER, after), (BEFORE, before)):
+        part = rows.where(C("is_thread") == 0).select(*group, F.lit(side).alias("side"), "pos", "chat.*")
+        chats = part if chats is None else chats.unionByName(part)
+    # A thread comes after the chats of its own time: the last of them is `pos`, the next one `pos + 1`.
+    sides = F.explode(F.array(
+        F.struct(F.lit(BEFORE).alias("side"), C("pos").alias("pos")),
+        F.struct(F.lit(AFTER).alias("side"), (C("pos") + 1).alias("pos")),
+    )).alias("head")
+    heads = after.where(C("is_thread") == 1).select(*group, "thread.*", sides).select(*group, *THREAD, "head.*")
+    return heads, chats
+
+
+def _score() -> Column:
+    distance = F.abs(C("created_ms") - C("started_ms"))
+    both = (C("prompt") != "") & (C("chat_prompt") != "")
+    parts = C("prompt").contains(C("chat_prompt")) | C("chat_prompt").contains(C("prompt"))
+    bonus = F.when(both & (C("prompt") == C("chat_prompt")), EQUAL_BONUS_MS).when(both & parts, PART_BONUS_MS).otherwise(0)
+    return distance - bonus
+
+
+def _at_heads(heads: DataFrame, chats: DataFrame) -> DataFrame:
+    """The chats the heads point to, within the allowed distance."""
+    found = heads.join(
+        chats.withColumnRenamed("prompt", "chat_prompt"), ["list_no", "bucket", "probe", "side", "pos"]
     )
-    distance = F.abs(C("chat.created_ms") - C("started_ms"))
     gap = F.when(C("saw_title_request"), TITLE_GAP_MS).otherwise(GAP_MS)
-    theirs = C("chat.prompt")
-    both = (C("prompt") != "") & (theirs != "")
-    bonus = F.when(both & (C("prompt") == theirs), EQUAL_BONUS_MS).when(
-        both & (C("prompt").contains(theirs) | theirs.contains(C("prompt"))), PART_BONUS_MS
-    ).otherwise(0)
-    best = F.min(F.struct((distance - bonus).alias("score"), "chat.created_ms", "chat.chat_id")).alias("best")
-    return found.where(distance <= gap).groupBy("session_id", "thread_no").agg(best).select(
-        "session_id", "thread_no", "best.chat_id", "best.score"
-    )
+    return found.where(F.abs(C("created_ms") - C("started_ms")) <= gap).withColumn("score", _score())
+
+
+def _best(found: DataFrame) -> DataFrame:
+    best = F.min(F.struct("list_no", "score", "created_ms", "chat_id")).alias("best")
+    return found.groupBy("session_id", "thread_no").agg(best).select("session_id", "thread_no", "best.*")
+
+
+def _prepared(threads: DataFrame, *lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    threads = threads.withColumns({"prompt": _prompt(C("first_prompt")), "bucket": _bucket(C("started_ms"))})
+    chats = None
+    for number, chat_list in enumerate(lists):
+        part = chat_list.select(F.lit(number).alias("list_no"), "chat_id", "created_ms", "first_text")
+        chats = part if chats is None else chats.unionByName(part)
+    return _probes(threads.select(*THREAD, "bucket"), chats, len(lists))
+
+
+def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Best chat of each thread, or none within the allowed distance; several threads may get the same chat.
+
+    `threads`: session_id, thread_no, started_ms, saw_title_request, first_prompt; `chats`: chat_id (a number),
+    created_ms, first_text. The score of a chat is its distance in time less the bonus of its prompt; ties go to the chat
+    created first, then to the smaller id. (A chat within that distance is also within the six hours around the session
+    that limit the candidates, since a thread starts inside its session.)
+
+    The best chat is the nearest one before or after the thread in one of the groups of `_probes`, so each thread looks up
+    two chats per group instead of being compared with every chat in reach.
+    """
+    heads, numbered = _heads(*_prepared(threads, chats), block_rows)
+    return _best(_at_heads(heads, numbered)).select("session_id", "thread_no", "chat_id", "score")
+
+
+def assign_chats(threads: DataFrame, *lists: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Give each thread its best chat that no earlier thread of the session took; a later list is used where none fits.
+
+    Every thread holds its best chat. Where several threads of a session hold the same one, the earliest keeps it and the
+    others move on to their next best: in each group that points to the lost chat, to the following one outward. When no
+    chat is held twice, each thread has the best chat the earlier ones left. Only sessions with a conflict take part in
+    the next round.
+    """
+    heads, numbered = _heads(*_prepared(threads, *lists), block_rows)
+    heads, numbered = settings.cut_lineage(heads), settings.cut_lineage(numbered)
+    done = None
+    while True:
+        found = settings.cut_lineage(_at_heads(heads, numbered))
+        held = settings.cut_lineage(_best(found))
+        first = held.groupBy("session_id", "chat_id").agg(F.min("thread_no").alias("keeper"))
+        lost = held.join(first, ["session_id", "chat_id"]).where(C("thread_no") != C("keeper")).select(
+            "session_id", "thread_no", "chat_id"
+        )
+        lost = settings.cut_lineage(lost)
+        open_sessions = lost.select("session_id").distinct()
+        settled = held.join(open_sessions, "session_id", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if lost.isEmpty():
+            return done.select("session_id", "thread_no", "list_no", "chat_id", "score")
+        place = ["session_id", "thread_no", "list_no", "bucket", "probe", "side"]
+        moved = found.join(lost, ["session_id", "thread_no", "chat_id"], "left_semi").select(
+            *place, F.when(C("side") == BEFORE, -1).otherwise(1).alias("step")
+        )
+        heads = settings.cut_lineage(
+            heads.join(open_sessions, "session_id", "left_semi").join(moved, place, "left")
+            .withColumn("pos", C("pos") + F.coalesce("step", F.lit(0))).drop("step")
+        )
 
 
 def match_titles(threads: DataFrame, titles: DataFrame, sessions: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Threads with their matched chat and title: from the title records, else from the full chat sessions."""
-    # Both are read several times; written once, they are not recomputed from the events each time.
     threads = settings.cut_lineage(threads)
-    by_title = settings.cut_lineage(nearest_chats(threads, titles, block_rows).join(
-        titles.select("chat_id", C("title").alias("matched_title")), "chat_id"
-    ))
-    rest = threads.join(by_title, ["session_id", "thread_no"], "left_anti")
-    by_session = nearest_chats(rest, sessions, block_rows).join(
-        sessions.select("chat_id", C("title").alias("matched_title")), "chat_id"
+    matched = assign_chats(threads, titles, sessions, block_rows=block_rows)
+    names = titles.select("chat_id", "title", F.lit(0).alias("list_no")).unionByName(
+        sessions.select("chat_id", "title", F.lit(1).alias("list_no"))
+    )
+    named = matched.join(names, ["chat_id", "list_no"]).select(
+        "session_id", "thread_no", "chat_id", C("title").alias("matched_title")
     )
-    matched = by_title.unionByName(by_session).drop("score")
-    return threads.join(matched, ["session_id", "thread_no"], "left")
+    return threads.join(named, ["session_id", "thread_no"], "left")

@@ -3,8 +3,9 @@
 A window function sorts one partition key inside one task. `Sequence` keeps that plain form while every key has at most
 `block_rows` rows. If a key is larger, its rows are cut into consecutive time blocks, each block is ordered in its own
 task, and what must flow from one block into the next (a last value, a running sum) is carried over by a table with one
-row per block. That table only holds keys above the limit: with N rows in total there are at most
-`OVERSPLIT * N / block_rows` blocks plus one per such key, which is the size bound for broadcasting it.
+row per block. That table only holds keys above the limit, so with N rows in total it has in the order of
+`OVERSPLIT * N / block_rows` rows, which is the size bound for broadcasting it. Blocks that are still too large (a burst of
+rows in a short time) are split again; only rows of the very same time cannot be parted.
 """
 
 from __future__ import annotations
@@ -50,10 +51,10 @@ class Sequence:
         if parent is not None and not parent.blocked:
             self.blocked, self.df = False, df
             return
-        hot = _hot_keys(df, self.keys, time, limit)
+        hot = _oversized(df, self.keys, time, limit)
         # One cheap aggregate decides the plan: usually no key is over the limit and plain windows are used.
         self.blocked = not hot.isEmpty()
-        self.df = _with_blocks(df, self.keys, time, hot) if self.blocked else df
+        self.df = _with_blocks(df, self.keys, time, hot, limit) if self.blocked else df
 
     def _copy(self, df: DataFrame) -> Sequence:
         other = object.__new__(Sequence)
@@ -136,18 +137,29 @@ def _carried(name: str) -> str:
     return f"__carried_{name}"
 
 
-def _hot_keys(df: DataFrame, keys: list[str], time: str, limit: int) -> DataFrame:
-    counts = df.groupBy(*keys).agg(
+def _oversized(df: DataFrame, groups: list[str], time: str, limit: int) -> DataFrame:
+    """Groups with more than `limit` rows and how wide their parts shall be."""
+    counts = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("__rows"), F.min(time).alias("__low"), F.max(time).alias("__high")
     )
-    blocks = F.ceil(F.col("__rows") / limit) * OVERSPLIT
-    width = (F.col("__high") - F.col("__low") + 1) / blocks
-    return counts.where(F.col("__rows") > limit).select(*keys, "__low", width.alias("__width"))
+    parts = F.ceil(F.col("__rows") / limit) * OVERSPLIT
+    width = (F.col("__high") - F.col("__low")) / parts
+    return counts.where(F.col("__rows") > limit).select(*groups, "__low", width.alias("__width"))
 
 
-def _with_blocks(df: DataFrame, keys: list[str], time: str, hot: DataFrame) -> DataFrame:
+def _part(time: str) -> Column:
+    width = F.col("__width")
+    offset = F.when(width > 0, F.floor((F.col(time) - F.col("__low")) / width))
+    return F.coalesce(offset, F.lit(0)).cast("long")
+
+
+def _with_blocks(df: DataFrame, keys: list[str], time: str, hot: DataFrame, limit: int) -> DataFrame:
     joined = df.join(F.broadcast(settings.cut_lineage(hot)), keys, "left")
-    block = F.floor((F.col(time) - F.col("__low")) / F.col("__width"))
-    return joined.withColumns(
-        {BLOCK: F.coalesce(block, F.lit(0)), HOT: F.col("__low").isNotNull()}
-    ).drop("__low", "__width")
+    blocks = joined.withColumns({BLOCK: F.array(_part(time)), HOT: F.col("__low").isNotNull()}).drop("__low", "__width")
+    while True:
+        large = _oversized(blocks.where(HOT), [*keys, BLOCK], time, limit).where(F.col("__width") > 0)
+        large = settings.cut_lineage(large)
+        if large.isEmpty():
+            return blocks
+        joined = blocks.join(F.broadcast(large), [*keys, BLOCK], "left")
+        blocks = joined.withColumn(BLOCK, F.concat(BLOCK, F.array(_part(time)))).drop("__low", "__width")

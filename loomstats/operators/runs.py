@@ -45,7 +45,11 @@ def permissions(events: DataFrame, tool_names: DataFrame) -> DataFrame:
     last_names = tool_names.where(C("call_id").isNotNull() & C("tool_name").isNotNull()).groupBy(
         "session_id", "call_id"
     ).agg(F.max_by("tool_name", at).alias("seen_name"))
-    named = rows.join(last_names, ["session_id", "call_id"], "left")
+    # Requests without a call take no part in the join, where they would all meet in one task.
+    has_call = C("call_id").isNotNull()
+    named = rows.where(has_call).join(last_names, ["session_id", "call_id"], "left").unionByName(
+        rows.where(~has_call), allowMissingColumns=True
+    )
     return named.withColumn("tool_name", F.coalesce("own_name", "seen_name")).drop("own_name", "seen_name")
 
 

@@ -180,8 +180,6 @@ def _signal_union(spark, sf):
     )
 
 
-_MATCHED = ["session_id", "thread_no", "chat_id", "score"]
-
 QUERIES = {
     "q_tool_calls": lambda s, d: calls(s, d),
     "q_chat_steps": _steps,
@@ -194,8 +192,8 @@ QUERIES = {
     "q_catalog_attach": lambda s, d: chats.with_children(
         table(s, d, "region").select(F.concat(F.lit("s"), "r_regionkey").alias("session_id"), "r_name"), _tree(s, d)
     ),
-    "q_title_match_nearest": lambda s, d: matching.nearest_chats(_threads(s, d), saved_chats(s, d)).select(*_MATCHED),
-    "q_title_match_fallback": lambda s, d: _match(s, d).select("session_id", "thread_no", "chat_id", "matched_title"),
+    "q_title_match_nearest": lambda s, d: matching.nearest_chats(_threads(s, d), saved_chats(s, d)),
+    "q_title_match_exclusive": lambda s, d: _match(s, d).select("session_id", "thread_no", "chat_id", "matched_title"),
     "q_matched_thread_titles": lambda s, d: sessions.with_titles(_match(s, d)).select("session_id", "thread_no", "title"),
     "q_thread_chat_steps": _thread_steps,
     "q_union_sessions": _union_sessions,
@@ -256,24 +254,27 @@ _BOUND = (
 )
 
 
-def _best(name: str, source: str, chats_where: str) -> str:
-    return (
-        f"{name} AS (SELECT session_id, thread_no, arg_min({{'id': chat_id, 's': score}}, (score, created_ms, chat_id)) AS b "
-        "FROM (SELECT t.session_id, t.thread_no, c.chat_id, c.created_ms, abs(c.created_ms - t.started_ms) - CASE "
-        "WHEN t.p = '' OR c.p = '' THEN 0 WHEN t.p = c.p THEN 600000 WHEN contains(t.p, c.p) OR contains(c.p, t.p) "
-        f"THEN 300000 ELSE 0 END AS score FROM {source} t JOIN cp c ON abs(c.created_ms - t.started_ms) <= "
-        f"CASE WHEN t.wide THEN 7200000 ELSE 1800000 END WHERE {chats_where}) q GROUP BY ALL)"
-    )
-
-
+_SCORED = (
+    "{name} AS (SELECT t.session_id, t.thread_no, {list_no} AS list_no, c.chat_id, c.created_ms, "
+    "abs(c.created_ms - t.started_ms) - CASE WHEN t.p = '' OR c.p = '' THEN 0 WHEN t.p = c.p THEN 600000 "
+    "WHEN contains(t.p, c.p) OR contains(c.p, t.p) THEN 300000 ELSE 0 END AS score FROM tp t JOIN cp c "
+    "ON abs(c.created_ms - t.started_ms) <= CASE WHEN t.wide THEN 7200000 ELSE 1800000 END WHERE {where})"
+)
 _MATCH = ", ".join([
     _BOUND,
-    _best("m1", "tp", "c.chat_id % 2 = 0"),
-    "rest AS (SELECT * FROM tp ANTI JOIN m1 USING (session_id, thread_no))",
-    _best("m2", "rest", "true"),
+    _SCORED.format(name="l0", list_no=0, where="c.chat_id % 2 = 0"),
+    _SCORED.format(name="l1", list_no=1, where="true"),
+    "wish AS (SELECT session_id, thread_no, list({'l': list_no, 'id': chat_id, 's': score} "
+    "ORDER BY list_no, score, created_ms, chat_id) AS w FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1) u GROUP BY ALL), "
+    "ordered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY thread_no) AS rn FROM wish), "
+    "pick AS (SELECT session_id, 0::BIGINT AS rn, 0::BIGINT AS thread_no, []::BIGINT[] AS used, NULL::BIGINT AS chat_id "
+    "FROM (SELECT DISTINCT session_id FROM ordered) d UNION ALL "
+    "SELECT session_id, rn, thread_no, CASE WHEN id IS NULL THEN used ELSE list_append(used, id) END, id FROM "
+    "(SELECT o.session_id, o.rn, o.thread_no, p.used, "
+    "list_filter(o.w, lambda x: NOT list_contains(p.used, x.id))[1].id AS id FROM pick p JOIN ordered o "
+    "ON o.session_id = p.session_id AND o.rn = p.rn + 1) q), "
     "mm AS (SELECT tp.session_id, tp.thread_no, sc.chat_id, sc.title AS matched_title, tp.title AS own_title FROM tp "
-    "LEFT JOIN (SELECT * FROM m1 UNION ALL SELECT * FROM m2) m USING (session_id, thread_no) "
-    "LEFT JOIN sc ON sc.chat_id = m.b.id)",
+    "LEFT JOIN (SELECT * FROM pick WHERE rn > 0) k USING (session_id, thread_no) LEFT JOIN sc ON sc.chat_id = k.chat_id)",
 ])
 
 
@@ -351,10 +352,11 @@ ORACLES = {
         "count(*) AS c FROM tree WHERE depth = 1 GROUP BY session_id) q ON q.session_id = 's' || r_regionkey",
     ),
     "q_title_match_nearest": _sql(
-        TE_SQL, _FLAGS, _THREADS, _CHATS, _BOUND, _best("m", "tp", "true"),
-        "SELECT session_id, thread_no, b.id AS chat_id, b.s AS score FROM m",
+        TE_SQL, _FLAGS, _THREADS, _CHATS, _BOUND, _SCORED.format(name="m", list_no=0, where="true"),
+        "SELECT session_id, thread_no, chat_id, score FROM m QUALIFY row_number() OVER (PARTITION BY session_id, thread_no "
+        "ORDER BY score, created_ms, chat_id) = 1",
     ),
-    "q_title_match_fallback": _sql(
+    "q_title_match_exclusive": _sql(
         TE_SQL, _FLAGS, _THREADS, _CHATS, _MATCH, "SELECT session_id, thread_no, chat_id, matched_title FROM mm"
     ),
     "q_matched_thread_titles": _sql(
