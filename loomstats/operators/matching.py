@@ -146,6 +146,7 @@ def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None =
     The best chat is the nearest one before or after the thread in one of the groups of `_probes`, so each thread looks up
     two chats per group instead of being compared with every chat in reach.
     """
+    threads = settings.cut_lineage(threads.select(*THREAD[:-1], "first_prompt"))
     heads, numbered = _heads(*_prepared(threads, chats), block_rows)
     return _best(_at_heads(heads, numbered)).select("session_id", "thread_no", "chat_id", "score")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import settings
 from ..functions import text
 from .ordered import Sequence
 
@@ -61,6 +62,7 @@ def top_models(by_model: DataFrame, limit: int = 5) -> DataFrame:
 def project_rollup(records: DataFrame) -> DataFrame:
     """Usage per project and, as one more row, over all projects, with the share of all tokens."""
     sums = records.rollup("project").agg(*usage_sums(records), F.grouping("project").alias("is_total"))
+    sums = settings.cut_lineage(sums)
     tokens = C("input_tokens") + C("output_tokens")
     total = sums.where(C("is_total") == 1).select(tokens).scalar()
     return sums.select(
@@ -147,6 +149,8 @@ def model_totals(events: DataFrame, order: list[str], block_rows: int | None = N
     """Tokens and credits per session and model: the last checkpoint value plus the uncovered records after it."""
     tokens = [c for c in TOKENS if c in events.columns]
     is_record, is_model = C("kind") == "record", C("kind") == "model"
+    # Read three times (size check, watermarks, rest); written once, the records are not deduplicated each time.
+    events = settings.cut_lineage(events)
     parent = by_session(events, order, block_rows)
     rows = _model_rows(uncovered(events, order, parent), order, parent)
     later = {f"{c}_later": F.when(is_model & C(c).isNotNull(), F.lit(True)) for c in tokens}
@@ -171,6 +175,7 @@ def session_credits(events: DataFrame, order: list[str], block_rows: int | None
     A snapshot with a valid total (or one marked incomplete, which makes the total unknown) sets the running value.
     Otherwise the checkpoint moves it by the change of each model, which is unknown if the old or new value is.
     """
+    events = settings.cut_lineage(events)
     parent = by_session(events, order, block_rows)
     live = uncovered(events, order, parent)
     is_record, is_model = C("kind") == "record", C("kind") == "model"

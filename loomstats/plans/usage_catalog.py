@@ -24,6 +24,18 @@ def records(spark, sf):
     return usage.first_per_key(cu.withColumn("key", key), ["session_id"], "key", ORDER)
 
 
+_MARK_FIELDS = {
+    "model": "string", "input_tokens": "long", "output_tokens": "long", "nano": "long", "source": "string",
+    "sequence": "long", "total_nano": "long", "complete": "boolean",
+}
+
+
+def _mark(part, kind, **values):
+    """One row of a checkpoint; fields of the other kinds are null."""
+    fields = [values.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in _MARK_FIELDS.items()]
+    return F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), *fields)
+
+
 def usage_events(spark, sf):
     """Records and, for every third line of a finished order, a checkpoint."""
     cu = usage_records(spark, sf)
@@ -34,22 +46,15 @@ def usage_events(spark, sf):
         *common, F.lit(0).alias("part"), F.lit("record").alias("kind"), "model", "input_tokens", "output_tokens", "nano",
         C("session_id").alias("source"), "sequence",
     )
-    marks = cu.where("is_checkpoint")
-    models = marks.select(
-        *common, F.lit(0).alias("part"), F.lit("model").alias("kind"), "model", "input_tokens",
-        F.when(C("sequence") == 3, C("output_tokens")).alias("output_tokens"), "nano",
-    )
-    snapshots = marks.select(
-        *common, F.lit(1).alias("part"), F.lit("snapshot").alias("kind"),
-        F.when(C("sequence") == 3, C("nano") * 2).alias("total_nano"), (C("tie1") % 11 != 0).alias("complete"),
-    )
-    covered = marks.select(
-        *common, F.lit(2).alias("part"), F.lit("watermark").alias("kind"), C("session_id").alias("source"), "sequence"
+    third = C("sequence") == 3
+    rows = F.array(
+        _mark(0, "model", model=C("model"), input_tokens=C("input_tokens"),
+              output_tokens=F.when(third, C("output_tokens")), nano=C("nano")),
+        _mark(1, "snapshot", total_nano=F.when(third, C("nano") * 2), complete=C("tie1") % 11 != 0),
+        _mark(2, "watermark", source=C("session_id"), sequence=C("sequence")),
     )
-    events = unique
-    for part in (models, snapshots, covered):
-        events = events.unionByName(part, allowMissingColumns=True)
-    return events
+    marks = cu.where("is_checkpoint").select(*common, F.inline(rows))
+    return unique.unionByName(marks, allowMissingColumns=True)
 
 
 def _sums(df, *keys):
@@ -124,6 +129,25 @@ def _daily_prompts(spark, sf):
     return usage.daily_prompts(prompts, recorded)
 
 
+def _meaningful(spark, sf):
+    """Chats with prompts, tokens or credits that are unknown or positive."""
+    rows = chat_messages(spark, sf).where(C("kind") != "prompt")
+    sums = rows.groupBy("session_id", "conv_id").agg(
+        F.count_if(C("kind") == "agent").alias("prompts"), F.coalesce(F.sum("usage_tokens"), F.lit(0)).alias("tokens")
+    ).withColumn("nano", F.when(C("conv_id") % 4 != 0, C("conv_id") % 4 - 1))
+    none = F.lit(0)
+    wanted = messages.is_meaningful(C("prompts"), C("tokens") % 2, C("nano"), none, none)
+    return sums.where(wanted).select("session_id", "prompts", "tokens", "nano")
+
+
+def _attached(spark, sf):
+    threads = raw_events(spark, sf).where("et = 'error'").selectExpr(
+        "concat('g', CAST(user_id % 10 AS STRING)) AS session_id", "event_id AS position"
+    )
+    details = threads.groupBy("session_id").agg(F.count(F.lit(1)).alias("details"))
+    return runs.attach_once(threads, details)
+
+
 # --- Events of sessions ----------------------------------------------------------------------------------------------
 
 _BASE = {"session_id": "concat('u', CAST(user_id AS STRING))", "time": "{ms:ts}", "seq": "event_id"}
@@ -302,6 +326,10 @@ QUERIES = {
     "q_model_call_timing": lambda s, d: _rounded(
         usage.model_call_timing(records(s, d)), "duration_ms", "first_token_ms"
     ),
+    "q_usage_in_range": lambda s, d: usage.usage_by(
+        records(s, d).where(usage.in_range(C("call_date"), "1996-03-01", None)), "model").select("model", "calls"),
+    "q_meaningful_threads": _meaningful,
+    "q_attach_once": _attached,
     "q_usage_checkpoint": lambda s, d: usage.model_totals(usage_events(s, d), STEPS),
     "q_checkpoint_credits": lambda s, d: usage.session_credits(usage_events(s, d), STEPS),
     "q_unattributed": _unattributed,
@@ -498,6 +526,18 @@ ORACLES = {
         "SELECT model, round(avg(duration_ms), 4) AS duration_ms, count(duration_ms) AS duration_samples, "
         "round(avg(first_token_ms), 4) AS first_token_ms, count(first_token_ms) AS first_token_samples FROM rec GROUP BY model"
     ),
+    "q_usage_in_range": _cu("SELECT model, count(*) AS calls FROM rec WHERE call_date >= '1996-03-01' GROUP BY model"),
+    "q_meaningful_threads": _ch(
+        "s AS (SELECT session_id, conv_id, count(*) FILTER (WHERE kind = 'agent') AS prompts, "
+        "CAST(coalesce(sum(usage_tokens), 0) AS BIGINT) AS tokens FROM ch WHERE kind <> 'prompt' GROUP BY ALL)",
+        "SELECT session_id, prompts, tokens, CASE WHEN conv_id % 4 <> 0 THEN conv_id % 4 - 1 END AS nano FROM s "
+        "WHERE prompts > 0 OR tokens % 2 > 0 OR conv_id % 4 IN (0, 2, 3)",
+    ),
+    "q_attach_once": (
+        f"WITH {RAW_SQL}, t AS (SELECT 'g' || (user_id % 10) AS session_id, event_id AS position FROM raw WHERE et = 'error') "
+        "SELECT session_id, position, CASE WHEN row_number() OVER (PARTITION BY session_id ORDER BY position) = 1 "
+        "THEN count(*) OVER (PARTITION BY session_id) END AS details FROM t"
+    ),
     "q_usage_checkpoint": _cu(_WALK, "SELECT * FROM mt"),
     "q_checkpoint_credits": _cu(_WALK, "SELECT session_id, total AS nano FROM fin"),
     "q_unattributed": _cu(
