@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import quantiles
 from .ordered import Sequence
-from .usage import known_sum
+from .usage import first_per_key, known_sum
 
 C = F.col
 
@@ -182,10 +182,7 @@ def run_roles(phases: DataFrame, runs_: DataFrame, start: str | None = None, end
 
 def first_events(events: DataFrame, key: str = "event_id") -> DataFrame:
     """Drop repeated events of the same id (the first in (time, seq) order stays); events without an id stay."""
-    rest = [c for c in events.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct("time", "seq")).alias("first")
-    unique = events.where(C(key).isNotNull()).groupBy(key).agg(first).select(key, "first.*").select(*events.columns)
-    return unique.unionByName(events.where(C(key).isNull()))
+    return first_per_key(events, [], key, ["time", "seq"])
 
 
 def subagents(events: DataFrame, block_rows: int | None = None) -> DataFrame:

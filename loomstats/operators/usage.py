@@ -24,15 +24,15 @@ def known_sum(value: Column, applies: Column | None = None) -> Column:
 
 
 def first_per_key(records: DataFrame, keys: list[str], dedup_key: str, order: list[str]) -> DataFrame:
-    """Keep the first row per key; rows without a key are all kept.
+    """Keep the first row per key; rows without a key are all kept. `order` tells all rows apart.
 
     The first row is found by a combinable minimum, so a key with very many copies is reduced before the shuffle.
     """
     rest = [c for c in records.columns if c not in (*keys, dedup_key)]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")
-    unique = records.where(C(dedup_key).isNotNull()).groupBy(*keys, dedup_key).agg(first)
-    kept = unique.select(*keys, dedup_key, "__first.*").select(*records.columns)
-    return kept.unionByName(records.where(C(dedup_key).isNull()))
+    # A row without a key is a group of its own.
+    own = F.when(C(dedup_key).isNull(), F.struct(*order)).alias("__own")
+    return records.groupBy(*keys, dedup_key, own).agg(first).select(*keys, dedup_key, "__first.*").select(*records.columns)
 
 
 def dedup_key(source: Column, usage_id: Column, sequence: Column, event_id: Column) -> Column:
