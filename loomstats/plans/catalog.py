@@ -16,8 +16,18 @@ def _merged(attribute: str) -> dict:
     return merged
 
 
+def _in_utc(query):
+    """The same query with the session time zone the operators expect."""
+
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return _merged("QUERIES")
+    return {name: _in_utc(query) for name, query in _merged("QUERIES").items()}
 
 
 def oracles() -> dict:
