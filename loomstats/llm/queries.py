@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstats.llm import mixing, tokens
+import corpus_pipeline
+from loomstats.llm import decontaminate, mixing, quality, setjoin, tokens
 from loomstats.llm.common import table
 
 
@@ -62,9 +63,89 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "_doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search all benchmark phrases in all documents."""
+    rows = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return rows.select(
+        "_doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP7_SQL = """
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), b as (
+  select coalesce(item_id::varchar, 'null') as item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark
+), p as (
+  select distinct item, least(10, len(w)) as n,
+         array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as phrase
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)
+), d as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as phrase
+  from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from w, (select distinct n from p) where len(w) >= n)
+), h as (select d.doc_id, d.i, d.n, p.item from d join p on d.phrase = p.phrase and d.n = p.n
+), c as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id
+), t as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item from h) group by doc_id
+)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join c using (doc_id) left join t using (doc_id)
+"""
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join all documents with each other; one row per document."""
+    return setjoin.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+OP10_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+  select doc_id, list_distinct(case when len(w) >= 4 then [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]
+                                    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w
+), n as (select doc_id, len(s) as n from s
+), e as (select doc_id, unnest(s) as g from s
+), o as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), l as (
+  select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 85 * (x.n + y.n - o)
+), r as (
+  select doc_id, doc_id as c from n union select r.doc_id, l.b from r join l on r.c = l.a
+)
+select n.doc_id, n.n::bigint as n_shingles, min(r.c) as component_id,
+       (select count(*) from l where l.a = n.doc_id) as n_links
+from n join r on n.doc_id = r.doc_id group by n.doc_id, n.n
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_token_files": op2_token_files}
+    return {
+        "op1_mix_sources": op1_mix_sources, "op2_token_files": op2_token_files, "op4_quality_rules": op4_quality_rules,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "pipeline": pipeline,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
