@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomstats.llm import chat, decontaminate, mixing, quality, setjoin, tokens
+from loomstats.llm import chat, decontaminate, mixing, quality, setjoin, tokens, toxicity
 from loomstats.llm.common import table
 
 
@@ -141,6 +141,11 @@ from w left join c using (doc_id) left join t using (doc_id)
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Join all documents with each other; one row per document."""
     return setjoin.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
@@ -176,7 +181,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_token_files": op2_token_files, "op3_chat_format": op3_chat_format, "op4_quality_rules": op4_quality_rules,
-        "op7_benchmark_decontamination": op7_benchmark_decontamination, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "pipeline": pipeline,
     }
 
