@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomstats.llm import chat, decontaminate, mixing, quality, setjoin, tokens, toxicity
+from loomstats.llm import chat, credentials, decontaminate, mixing, quality, setjoin, tokens, toxicity, warc
 from loomstats.llm.common import table
 
 
@@ -104,6 +104,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan all documents."""
+    return credentials.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search all benchmark phrases in all documents."""
     rows = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -141,6 +146,23 @@ from w left join c using (doc_id) left join t using (doc_id)
 """
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to archives, read them back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+OP8_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages
+), q as (select page_id, octet_length(payload) as n, sha1(payload) as d, sha256(payload) as k from p
+), g as (select k, n, max(page_id) as first from q where n >= 1000 group by k, n
+)
+select q.page_id, q.n::bigint as payload_bytes, q.d as payload_digest,
+       case when g.first <> q.page_id then 'revisit' else 'response' end as record_type,
+       case when g.first <> q.page_id then g.first end as refers_to
+from q left join g on q.k = g.k and q.n = g.n
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -181,7 +203,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_token_files": op2_token_files, "op3_chat_format": op3_chat_format, "op4_quality_rules": op4_quality_rules,
-        "op7_benchmark_decontamination": op7_benchmark_decontamination, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op6_secret_scan": op6_secret_scan, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_warc_archives": op8_warc_archives, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "pipeline": pipeline,
     }
 
@@ -189,5 +211,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     return {
         "op1_mix_sources": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL,
-        "op10_ngram_jaccard_join": OP10_SQL,
+        "op8_warc_archives": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL,
     }
