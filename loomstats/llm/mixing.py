@@ -101,9 +101,10 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most: int = MOST, s
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"),
         F.col("copies").alias("_copies"),
     )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & F.md5(F.col("text").cast("binary")).eqNullSafe(F.col("_digest"))
+        F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_source"))
+        & F.md5(F.col("_doc.text").cast("binary")).eqNullSafe(F.col("_digest"))
     )
-    each = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns])
+    each = rows.join(taken, same).select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return each.select("_doc.*")
