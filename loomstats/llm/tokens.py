@@ -32,7 +32,7 @@ from loomstats.llm.common import scratch, stored
 MAGIC = b"LTOK1\n"
 END_ID = 2
 SEGMENT = 1 << 21  # ids after which a segment ends at the next document
-MEMO = 500_000  # words a worker remembers
+MEMO = 600_000  # words after which a worker forgets, at the next text
 DOC = struct.Struct("<qBQ")
 MANIFEST = (
     "part int, segment int, uri string, table_size long, offset long, length long, documents long, tokens long"
@@ -52,66 +52,93 @@ class Words(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        level = self.tokenizer.pre_tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
+        level = str(self.tokenizer.pre_tokenizer)
+        self.plain = "ByteLevel" in level and "Removed" in level
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain = level is not None and "ByteLevel" in str(level) and "Removed" in str(level)
         self.letters = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new_ids: list[int] = []
+        self.new_sizes: list[int] = []
+        self.used = self.entries = 0
 
     def ids_of(self, word: str) -> list[int]:
-        plain = self.plain and self.PLAIN.fullmatch(word.lower())
-        if not plain or any(c in word for c in "Σİ"):
+        plain = self.PLAIN.fullmatch(word.lower()) if self.plain else None
+        if plain is None:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        pieces = (plain[1].translate(self.letters), plain[2])
-        return [t.id for piece in pieces if piece for t in self.tokenizer.model.tokenize(piece)]
+        letters, stops = plain.groups()
+        ids = []
+        if letters:
+            known = self.get(letters) if letters != word else None  # without its stop, or with a capital
+            if known is not None and known < self.entries:
+                ids = self.pool[self.start[known] : self.start[known] + self.size[known]].tolist()
+            else:
+                ids = [t.id for t in self.tokenizer.model.tokenize(letters if letters.isascii() else letters.translate(self.letters))]
+        if stops:
+            ids = ids + (self._ids(stops) if letters else [t.id for t in self.tokenizer.model.tokenize(stops)])
+        return ids
+
+    def _ids(self, word: str) -> list[int]:
+        """Those of a word that is likely to be known."""
+        k = self[word]
+        if k >= self.entries:
+            self._settle()
+        return self.pool[self.start[k] : self.start[k] + self.size[k]].tolist()
 
     def __missing__(self, word: str) -> int:
-        ids, k = self.ids_of(word), len(self)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.start[k], self.size[k] = self.used, len(ids)
-        self.used += len(ids)
-        if len(word) <= 64:
-            self[word] = k
+        ids = self.ids_of(word)
+        k = self.entries + len(self.new_sizes)
+        self.new_ids += ids
+        self.new_sizes.append(len(ids))
+        self[word] = k
         return k
 
+    def _settle(self) -> None:
+        """Put new entries into the arrays, which grow by doubling."""
+        ids, sizes = np.array(self.new_ids, np.uint32), np.array(self.new_sizes, np.int64)
+        self.new_ids, self.new_sizes = [], []
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.pool = _put(self.pool, self.used, ids)
+        self.start = _put(self.start, self.entries, starts)
+        self.size = _put(self.size, self.entries, sizes)
+        self.used += len(ids)
+        self.entries += len(sizes)
+
     def encode(self, text: str) -> np.ndarray:
-        out = [self._encode(part) for part in _pieces(text.translate(SPACES), 1 << 18)]
+        for space in "\n\t\r":
+            text = text.replace(space, " ")
+        out = [self._encode(part) for part in _pieces(text, 1 << 18)]
         return np.concatenate(out) if len(out) > 1 else out[0]
 
     def _encode(self, text: str) -> np.ndarray:
         words = text.split(" ")
-        if len(self) + len(words) + 1 >= MEMO:
-            if len(words) + 1 >= MEMO:  # a text of spaces
-                words = [w for w in words if w]
+        if len(self) > MEMO:
             self.clear()
-        long = [k for k, w in enumerate(words) if len(w) > 64] if len(text) > 64 else ()
-        if long:
-            ids = [np.asarray(self.ids_of(w) if len(w) > 64 else self._one(w), np.uint32) for w in words]
-            return np.concatenate(ids)
         known = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new_sizes:
+            self._settle()
         size = self.size[known]
         ends = np.cumsum(size)
         at = np.arange(ends[-1]) + np.repeat(self.start[known] - (ends - size), size)
         return self.pool[at]
 
-    def _one(self, word: str) -> np.ndarray:
-        k = self[word]
-        return self.pool[self.start[k] : self.start[k] + self.size[k]]
+
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    if at + len(values) > len(array):
+        grown = np.zeros(max(2 * len(array), at + len(values), 1024), array.dtype)
+        grown[:at] = array[:at]
+        array = grown
+    array[at : at + len(values)] = values
+    return array
 
 
-SPACES = {9: " ", 10: " ", 13: " "}
 _WORDS: dict[str, Words] = {}
 
 
