@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomstats.llm import chat, credentials, decontaminate, mixing, quality, setjoin, tokens, toxicity, warc
+from loomstats.llm import chat, credentials, decontaminate, mixing, passages, quality, setjoin, tokens, toxicity, warc
 from loomstats.llm.common import table
 
 
@@ -104,6 +104,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of more than 50 words that repeat in other documents."""
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan all documents."""
     return credentials.scan(table(spark, sf_dir, "documents"))
@@ -203,7 +208,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_token_files": op2_token_files, "op3_chat_format": op3_chat_format, "op4_quality_rules": op4_quality_rules,
-        "op6_secret_scan": op6_secret_scan, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_warc_archives": op8_warc_archives, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op5_substring_dedup": op5_substring_dedup, "op6_secret_scan": op6_secret_scan, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_warc_archives": op8_warc_archives, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "pipeline": pipeline,
     }
 
