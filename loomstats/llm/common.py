@@ -39,3 +39,9 @@ def word_count(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once a row, also where a lambda inside `body` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spread(manifest: DataFrame) -> DataFrame:
+    """A small stored table over as many tasks as it has rows, or as the cluster can use: each row is much work."""
+    most = 16 * manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.repartition(max(1, min(manifest.count(), most)), *manifest.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstats.llm import rans, storage
-from loomstats.llm.common import scratch, stored
+from loomstats.llm.common import scratch, spread, stored
 
 MAGIC = b"LTOK1\n"
 END_ID = 2
@@ -304,8 +304,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """
     before = W.orderBy("part", "segment").rowsBetween(W.unboundedPreceding, -1)
     starts = manifest.select("part", "segment", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("_start"))
-    spread = manifest.repartition(F.xxhash64("uri", "offset"))
-    read = spread.mapInArrow(_read_segments, READ).join(starts, ["part", "segment"])
+    read = spread(manifest).mapInArrow(_read_segments, READ).join(starts, ["part", "segment"])
     earlier = W.partitionBy("part", "segment").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("_start") + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))
     return read.select("doc_id", start.cast("long").alias("start"), "n_tokens", "ids_crc32")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstats.llm import storage
-from loomstats.llm.common import scratch, stored
+from loomstats.llm.common import scratch, spread, stored
 
 CHUNK = 1 << 16
 LEAST = 1000
@@ -227,7 +227,7 @@ def read_chunks(manifest: DataFrame, data: bool = True, piece: int = CHUNK) -> D
         "uri string, offset long, record long, chunk long, page_id long, record_type string, refers_to long, "
         "said_bytes long, said_digest string, bytes long, digest string, data binary"
     )
-    return manifest.repartition(F.xxhash64("uri", "offset")).mapInArrow(partial(_read, data=data, piece=piece), schema)
+    return spread(manifest).mapInArrow(partial(_read, data=data, piece=piece), schema)
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
