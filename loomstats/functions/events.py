@@ -110,7 +110,7 @@ def timeline_entry() -> dict[str, Column]:
     """How an event appears on a session timeline: actor, phase, label, detail, side and flags."""
     signal, intent, actor = C("signal_type"), C("intent"), C("actor")
     raw, model = C("raw_text"), C("model_name")
-    tool = F.substring(intent, len("browser/") + 1, 1_000_000)
+    tool = F.substr(intent, F.lit(len("browser/") + 1))
     browser = intent.startswith("browser/")
     by_actor = choose([(actor == "human", "left"), (actor == "system", "center")], "right")
     # condition, label, detail, side, accepted, autonomous

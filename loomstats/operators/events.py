@@ -9,6 +9,7 @@ from ..functions import text
 
 C = F.col
 MINUTE_MS = 60_000
+SPINE_BLOCK = 100_000  # windows of the velocity series that one row gives
 
 # Thresholds of the anomaly report and the velocity analysis.
 Z_THRESHOLD = 2
@@ -113,7 +114,7 @@ def latest_anomaly(report: DataFrame) -> DataFrame:
 def usage_summary(events: DataFrame, as_of: str, days: int = BASELINE_DAYS) -> DataFrame:
     """Accepted completions and characters of the last `days` days (clamped to 1..365)."""
     return _recent_accepts(events, as_of, days).agg(
-        F.lit(_clamp(days)).cast("long").alias("days"),
+        F.lit(_checked(days)).cast("long").alias("days"),
         F.count(F.lit(1)).alias("total_accepted"),
         F.coalesce(F.sum("accepted_characters"), F.lit(0)).alias("total_chars_accepted"),
     )
@@ -125,12 +126,14 @@ def top_languages(events: DataFrame, as_of: str, days: int = BASELINE_DAYS, limi
     return counts.withColumnRenamed("count", "accepted").orderBy(C("accepted").desc(), "language").limit(limit)
 
 
-def _clamp(days: int) -> int:
-    return max(1, min(365, int(days)))
+def _checked(days: int) -> int:
+    if days < 1:
+        raise ValueError("days must be 1 or more")
+    return int(days)
 
 
 def _recent_accepts(events: DataFrame, as_of: str, days: int) -> DataFrame:
-    first = F.date_sub(F.lit(as_of).cast("date"), _clamp(days)).cast("string")
+    first = F.date_sub(F.lit(as_of).cast("date"), _checked(days)).cast("string")
     return events.where(accepts() & (C("date") >= first))
 
 
@@ -167,8 +170,14 @@ def velocity(events: DataFrame, window_ms: int = MINUTE_MS) -> DataFrame:
         F.sum(F.when(C("event_type") == "textChange", C("chars_added")).otherwise(0)).alias("chars"),
         F.count_if(accepts()).alias("accepted"),
     )
-    spine = bounds.where(C("low").isNotNull()).select(
-        "low", "high", F.explode(F.sequence(F.lit(0), F.floor((C("high") - C("low")) / window_ms))).alias("window")
+    # The spine is built in blocks that are spread first, so one stray timestamp does not make one huge row.
+    last = F.floor((C("high") - C("low")) / window_ms)
+    blocks = bounds.where(C("low").isNotNull()).select(
+        "low", "high", last.alias("last"), F.explode(F.sequence(F.lit(0), F.floor(last / SPINE_BLOCK))).alias("block")
+    )
+    first = C("block") * SPINE_BLOCK
+    spine = blocks.repartition("block").select(
+        "low", "high", F.explode(F.sequence(first, F.least("last", first + (SPINE_BLOCK - 1)))).alias("window")
     )
     # A span shorter than one window is a single window of at least a minute.
     short = (C("high") - C("low")) < window_ms

@@ -191,7 +191,7 @@ def _outputs(decided: DataFrame, keep: list[str]) -> DataFrame:
     features = F.filter(
         F.array(*[F.coalesce(field([k]), F.lit("")) for k in FEATURE_KEYS]), lambda value: value != ""
     )
-    failure = F.concat(F.upper(F.substring("failure", 1, 1)), F.lower(F.substring("failure", 2, 100)))
+    failure = F.concat(F.upper(F.substring("failure", 1, 1)), F.lower(F.expr("substr(failure, 2)")))
     bad_status = is_fetch & (C("status") > 0) & (C("status") != 200)
     commands = F.from_json(F.regexp_extract(line, TERMINAL_COMMANDS, 1), "array<array<string>>")
     return decided.select(
@@ -363,16 +363,31 @@ def session_signals(facts: DataFrame) -> DataFrame:
     return rows.select("session_id", "file", "block_start", "row", "part", "stamp", "signal.*")
 
 
-def _find_title(value) -> str | None:
-    """First usable title in a decoded JSON value, depth first."""
-    if isinstance(value, dict):
-        for key in TITLE_KEYS:
-            if isinstance(value.get(key), str):
-                title = re.sub(r"^['\"`]+|['\"`]+$", "", " ".join(value[key].split()))[:80]
-                if len(title) >= 4 and "://" not in title and not re.fullmatch(r"[a-fA-F0-9-]{20,}", title):
-                    return title
-    children = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-    return next((title for title in map(_find_title, children) if title), None)
+class _Title(str):
+    """A usable title found in a JSON object; decoding puts it in the object's place."""
+
+
+def _object_title(pairs: list[tuple[str, object]]) -> _Title | None:
+    """Called by the decoder for each object, inner ones first: its own title, else the first one inside."""
+    own = dict(pairs)
+    for key in TITLE_KEYS:
+        if isinstance(own.get(key), str) and not isinstance(own[key], _Title):
+            title = re.sub(r"^['\"`]+|['\"`]+$", "", " ".join(own[key].split()))[:80]
+            if len(title) >= 4 and "://" not in title and not re.fullmatch(r"[a-fA-F0-9-]{20,}", title):
+                return _Title(title)
+    return _first_title(list(own.values()))
+
+
+def _first_title(values: list) -> _Title | None:
+    """In values that are decoded already; lists may hold lists."""
+    waiting = values[::-1]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, _Title):
+            return value
+        if isinstance(value, list):
+            waiting += value[::-1]
+    return None
 
 
 def thread_titles(lines: DataFrame) -> DataFrame:
@@ -380,7 +395,7 @@ def thread_titles(lines: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def title_of(documents: pd.Series) -> pd.Series:
-        return documents.map(lambda d: _find_title(json.loads(d)))
+        return documents.map(lambda d: _first_title([json.loads(d, object_pairs_hook=_object_title)]))
 
     payload = F.regexp_extract("line", r"\{.*\}", 0)
     with_title = lines.where(

@@ -133,10 +133,14 @@ def tool_executions(calls: DataFrame, block_rows: int | None = None) -> DataFram
 
     `calls`: session_id, call_id, time, seq, kind (start, complete), name, success, model.
     """
-    rows = _sequence(calls, ["session_id", "call_id"], block_rows)
+    known = C("call_id").isNotNull()
+    rows = _sequence(calls.where(known), ["session_id", "call_id"], block_rows)
     rows = rows.last({"started_as": F.when(C("kind") == "start", C("name"))})
     done = rows.frame().where(C("kind") == "complete").withColumn("tool", F.coalesce("name", "started_as"))
-    return done.where(C("tool").isNotNull() & C("success").isNotNull()).drop("started_as", "name")
+    done = done.select(*[c for c in calls.columns if c != "name"], "tool")
+    # Calls without an id belong to no start: they have their own name or none.
+    alone = calls.where(~known & (C("kind") == "complete")).withColumnRenamed("name", "tool").select(*done.columns)
+    return done.unionByName(alone).where(C("tool").isNotNull() & C("success").isNotNull())
 
 
 def tool_totals(executions: DataFrame) -> DataFrame:

@@ -100,8 +100,7 @@ CH_COLUMNS = {
         "WHEN role = 'user' THEN 'prompt' ELSE 'reply' END"
     ),
     "title_content": (
-        "CASE WHEN role = 'system' AND conv_id % 9 <> 0 THEN NULL WHEN role = 'user' THEN text "
-        "ELSE substr(text, 1, 40) END"
+        "CASE WHEN role = 'system' AND conv_id % 9 <> 0 THEN NULL ELSE text END"
     ),
 }
 CH_SQL = _duck("ch AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in CH_COLUMNS.items()) + " FROM conversations)")
@@ -154,7 +153,7 @@ _BASE = {"session_id": "concat('u', CAST(user_id AS STRING))", "time": "{ms:ts}"
 VIEWS = {
     "calls": (
         {
-            "call_id": "CAST(k AS STRING)",
+            "call_id": "CASE WHEN k % 9 <> 1 THEN CAST(k AS STRING) END",
             "kind": "CASE et WHEN 'signup' THEN 'start' ELSE 'complete' END",
             "name": (
                 "CASE WHEN et = 'signup' THEN concat('tool-', CAST(k % 6 AS STRING)) WHEN k % 4 = 0 THEN 'own' END"
@@ -561,8 +560,8 @@ ORACLES = {
         "AS phase, 'Prompt' AS label, CASE WHEN prompt = '' THEN '(No prompt preview)' ELSE prompt END AS detail, tokens FROM tu",
     ),
     "q_cli_titles": _ch(
-        "SELECT session_id, coalesce(arg_max(CASE WHEN title_kind = 'start' THEN title_content ELSE "
-        "regexp_replace(title_content, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') END, seq) FILTER (WHERE title_kind IN "
+        "SELECT session_id, coalesce(arg_max(left(CASE WHEN title_kind = 'start' THEN title_content ELSE "
+        "regexp_replace(title_content, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') END, 160), seq) FILTER (WHERE title_kind IN "
         "('start', 'title') AND title_content IS NOT NULL), arg_min("
         + _PREVIEW.format("title_content")
         + ", seq) FILTER (WHERE title_kind = 'prompt'), 'CLI session ' || left(session_id, 8)) AS title FROM ch GROUP BY session_id"

@@ -37,20 +37,46 @@ def normalise(raw: DataFrame) -> DataFrame:
     )
 
 
+def _field(name: str, kind: str) -> Column:
+    """A field of the parsed line; null if it is missing or of another kind, whatever the other fields are."""
+    if kind == "bigint":  # whole numbers may be written 3.0 or "3"
+        return F.try_variant_get("event", f"$.{name}", "double").cast("bigint")
+    return F.try_variant_get("event", f"$.{name}", kind)
+
+
+def parse_events(lines: DataFrame) -> DataFrame:
+    """Raw fields of JSON lines (column `value`, plus `seq`). Only lines that are no JSON object are dropped."""
+    parsed = lines.withColumn("event", F.try_parse_json("value"))
+    parsed = parsed.where(F.schema_of_variant("event").startswith("OBJECT"))
+    fields = {f.name: _field(f.name, f.dataType.simpleString()) for f in schemas.EVENT_FIELDS}
+    return parsed.select("seq", *[c.alias(name) for name, c in fields.items()])
+
+
 def read_events(
-    spark: SparkSession, path: str, since: str | None = None, on: str | None = None, limit: int | None = None
+    spark: SparkSession, path: str, since: str | None = None, on: str | None = None, dated: bool = True
 ) -> DataFrame:
-    """Events below `path`; malformed lines are skipped. `since` and `on` prune files by the date in their name."""
-    raw = (
-        spark.read.schema(schemas.EVENT_FIELDS).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl")
-        .json(path)
-    )
+    """Events of the JSON lines below `path`. `since` and `on` prune files by the date in their name.
+
+    Fields of a wrong kind get their default, the event stays. Events without a readable timestamp have no place in any
+    order; they come with null `ts`, `ms` and `date` if `dated` is false.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
     if since:
         raw = raw.where(C("_metadata.file_name") >= f"{since}.jsonl")
     if on:
         raw = raw.where(C("_metadata.file_name") == f"{on}.jsonl")
-    events = normalise(raw.withColumn("seq", position())).where(C("ms").isNotNull())
-    return events.limit(limit) if limit else events
+    events = normalise(parse_events(raw.withColumn("seq", position())))
+    return events.where(C("ms").isNotNull()) if dated else events
+
+
+def read_stored_events(
+    spark: SparkSession, path: str, since: str | None = None, on: str | None = None, fmt: str = "parquet"
+) -> DataFrame:
+    """Events that `write_events` wrote; `since` and `on` prune its date folders."""
+    events = spark.read.format(fmt).load(path).withColumn("date", C("date").cast("string"))
+    if since:
+        events = events.where(C("date") >= since)
+    return events.where(C("date") == on) if on else events
 
 
 def with_row_ids(events: DataFrame, block_rows: int | None = None) -> DataFrame:
