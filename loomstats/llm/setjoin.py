@@ -2,9 +2,11 @@
 
 1. A set is its texts' distinct shingle hashes; equal sets are one class. Classes, not documents, are joined.
 2. Index: the first shingles of each set in a common order - frequent ones last - such that linked sets share one of them.
-   Lists are ordered by set size and cut in blocks where the next size is out of reach: a probe never passes a cut. Sets in
-   one block are tied by a chain of neighbours, as many rows as the list is long, never by all its pairs.
-3. The connected parts of these chains hold every linked pair. A part is dealt to tasks by cells of bounded numbers of
+   Lists are ordered by set size: a probe skips the block where sizes are out of reach, and the ones already tied to it. Two
+   sets of a list are tied if their sketches (BITS one-bit min-hashes) differ in at most FAR places; a linked pair differs in
+   BITS * 7.5 % on average, and exceeds FAR with a probability below 1e-12, less than that of equal hashes of two words.
+   Ties are emitted as a spanning forest of each list, never as its pairs.
+3. The connected parts of the ties hold every linked pair. A part is dealt to tasks by cells of bounded numbers of
    shingles (one task per pair of cells), and every task compares exactly: sets are taken in an order that puts related ones
    beside each other, and the overlaps of a set with all others are those of the set before it, changed by the lists of the
    shingles in which the two differ.
@@ -26,7 +28,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstats.llm import hashing
@@ -36,12 +37,16 @@ from loomstats.llm.graph import components
 WIDTH, PERCENT = 4, 85
 FREQUENT = 200
 CELL = 2_000_000  # shingles of a cell; a task has two of them at most
+BITS, FAR = 128, 38
 
 COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 SETS = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())),
+     ("prefix", pa.list_(pa.int64()))]
 )
-LINKS = pa.schema([("sig", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
+TIES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_TURNS = np.random.default_rng(128).integers(1, 1 << 62, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LINKS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -113,25 +118,86 @@ def signature(shingles: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits, each of which equals that of another set with probability (1 + Jaccard similarity) / 2."""
+    least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(least, (shingles[at : at + 4096, None] * _TURNS).min(0), out=least)
+    return np.packbits(hashing.mix(least) & np.uint64(1) == 1).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int, often) -> Iterator[pa.RecordBatch]:
     tokens, rank = often.value
     for batch in batches:
-        sigs, sizes, prefixes = [], [], []
+        sigs, sizes, prefixes, sketches = [], [], [], []
         for shingles in hashing.shingle_sets(batch.column("text"), width):
             sizes.append(len(shingles))
             sigs.append(signature(shingles) if len(shingles) else None)
+            sketches.append(sketch(shingles).tolist() if len(shingles) else None)
             prefixes.append(_signed(prefix_of(shingles, percent, tokens, rank)) if len(shingles) else None)
         flat = [p for p in prefixes if p is not None]
         ends = np.cumsum([0] + [0 if p is None else len(p) for p in prefixes]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), lists],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()),
+             pa.array(sketches, pa.list_(pa.int64())), lists],
             schema=SETS,
         )
 
 
-def compare(sets: list[np.ndarray], copies: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (copies counted) and the component of each set; sets of different cells only, if there are two cells."""
+def tie_list(n: np.ndarray, node: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the ties of one list, which is ordered by size n."""
+    ends = np.searchsorted(n, n * 100 // percent, "right")
+    label, out = np.arange(len(n)), []
+    for i in range(len(n) - 1):
+        block = slice(i + 1, ends[i])
+        rest = np.flatnonzero(label[block] != label[i]) + i + 1
+        if not len(rest):
+            continue
+        differ = np.bitwise_count(left[rest] ^ left[i]) + np.bitwise_count(right[rest] ^ right[i])
+        for j in rest[differ <= FAR].tolist():
+            if label[j] != label[i]:
+                out.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _ties(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by token, n and node; lists of two are tied all at once."""
+    held: list[np.ndarray] | None = None
+
+    def tied(columns: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
+        _, n, node, left, right = columns
+        two = starts[ends - starts == 2]
+        differ = np.bitwise_count(left[two] ^ left[two + 1]) + np.bitwise_count(right[two] ^ right[two + 1])
+        two = two[(differ <= FAR) & (n[two + 1] * percent <= n[two] * 100)]
+        pairs = [np.stack([node[two], node[two + 1]], 1)]
+        more = ends - starts > 2
+        for low, high in zip(starts[more].tolist(), ends[more].tolist()):
+            found = tie_list(n[low:high], node[low:high], left[low:high], right[low:high], percent)
+            if found:
+                pairs.append(np.array(found, np.int64))
+        rows = np.unique(np.concatenate(pairs), axis=0)
+        rows = rows[rows[:, 0] != rows[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=TIES) if len(rows) else None
+
+    for batch in batches:
+        columns = [batch[name].to_numpy() for name in ("token", "n", "node", "left", "right")]
+        columns[3:] = [c.view(np.uint64) for c in columns[3:]]  # bits of signed numbers are not counted as they are
+        if held is not None:
+            columns = [np.concatenate([a, b]) for a, b in zip(held, columns)]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(columns[0])) + 1, [len(columns[0])]])
+        held = [c[bounds[-2] :] for c in columns] if len(bounds) > 1 else columns
+        if len(bounds) > 2 and (out := tied(columns, bounds[:-2], bounds[1:-1])) is not None:
+            yield out
+    if held is not None and len(held[0]) and (out := tied(held, np.array([0]), np.array([len(held[0])]))) is not None:
+        yield out
+
+
+def compare(
+    sets: list[np.ndarray], copies: np.ndarray, cells: np.ndarray, percent: int, across: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links (copies counted) and the component of each set; `across`: of sets in different cells only."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), sizes)
@@ -143,7 +209,6 @@ def compare(sets: list[np.ndarray], copies: np.ndarray, cells: np.ndarray, perce
     bounds = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(times)))])
     ends = np.searchsorted(owner, np.arange(m + 1))
     tokens = [token[ends[i] : ends[i + 1]] for i in range(m)]
-    across = cells.min() != cells.max()
     links, label = np.zeros(m, np.int64), np.arange(m)
 
     def lists(of: np.ndarray) -> np.ndarray:
@@ -181,25 +246,23 @@ def compare(sets: list[np.ndarray], copies: np.ndarray, cells: np.ndarray, perce
 
 def _compare_tasks(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by task; each task's sets are compared when its last row has come."""
-    task, sigs, sets, copies, cells = None, [], [], [], []
+    task, nodes, sets, copies, cells = None, [], [], [], []
 
     def done() -> Iterator[pa.RecordBatch]:
-        if len(sigs) > 1:
-            links, label = compare(sets, np.array(copies), np.array(cells), percent)
-            roots = [sigs[k] for k in label.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs, pa.binary()), pa.array(roots, pa.binary()), pa.array(links)], schema=LINKS
-            )
+        if len(nodes) > 1:
+            links, label = compare(sets, np.array(copies), np.array(cells), percent, task[1] != task[2])
+            roots = np.array(nodes)[label]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots), pa.array(links)], schema=LINKS)
 
     for batch in batches:
         keys = zip(batch["part"].to_pylist(), batch["i"].to_pylist(), batch["j"].to_pylist())
-        rest = (batch["sig"].to_pylist(), batch["copies"].to_pylist(), batch["cell"].to_pylist())
-        for key, sig, n, cell, shingles in zip(keys, *rest, hashing.shingle_sets(batch["text"], width)):
+        rest = (batch["node"].to_pylist(), batch["copies"].to_pylist(), batch["cell"].to_pylist())
+        for key, node, n, cell, shingles in zip(keys, *rest, hashing.shingle_sets(batch["text"], width)):
             if key != task:
                 yield from done()
-                task, sigs, sets, copies, cells = key, [], [], [], []
-            if not sigs or sigs[-1] != sig:  # rows with equal ids and texts come as often as they are
-                sigs.append(sig)
+                task, nodes, sets, copies, cells = key, [], [], [], []
+            if not nodes or nodes[-1] != node:  # rows with equal ids and texts come as often as they are
+                nodes.append(node)
                 sets.append(shingles)
                 copies.append(n)
                 cells.append(cell)
@@ -214,47 +277,49 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     sets = stored(
         rows.mapInArrow(
             partial(_sets, width=width, percent=percent, often=often),
-            "doc_id long, text_hash long, sig binary, n long, prefix array<long>",
+            "doc_id long, text_hash long, sig binary, n long, sketch array<long>, prefix array<long>",
         ),
         "sets",
     )
     classes = sets.where("sig is not null").groupBy("sig").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"),
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"),
+        F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"),
+        F.min(F.struct("doc_id", "text_hash")).alias("at"),
+    )
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    at = classes.select("node", F.col("sig").alias("at_sig"), F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
+    first = (F.col("sig") == F.col("at_sig")) & F.col("doc_id").eqNullSafe(F.col("at_id"))
+    first &= F.col("text_hash").eqNullSafe(F.col("at_hash"))
+    index = sets.join(at, first).select(
+        "n", "node", F.get("sketch", F.lit(0)).alias("left"), F.get("sketch", F.lit(1)).alias("right"), F.explode("prefix").alias("token")
     )
-    classes = stored(classes, "classes")
-    # index: a block of a list ends where the next size is out of reach
-    index = classes.select("sig", "n", F.explode("prefix").alias("token"))
-    place = W.partitionBy("token").orderBy("n", "sig")
-    chains = index.select("sig", "n", F.lag("sig").over(place).alias("u"), F.lag("n").over(place).alias("u_n"))
-    chains = chains.where((F.col("n") * percent <= F.col("u_n") * 100) & (F.col("u") != F.col("sig")))
-    parts = components(stored(chains.select("u", F.col("sig").alias("v")).distinct(), "chains"))
-    parts = stored(
-        parts.join(classes, F.col("node") == F.col("sig")).select("sig", F.col("root").alias("part"), "n", "copies", "at"), "parts"
+    ties = index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(
+        partial(_ties, percent=percent), "u long, v long"
     )
+    parts = components(stored(ties.distinct(), "ties")).withColumnRenamed("root", "part")
+    parts = stored(parts.join(classes, "node").select("node", "part", "n", "copies", "at"), "parts")
     sizes = parts.groupBy("part").agg(F.ceil(F.sum("n") / CELL).alias("cells"))
-    cell = F.pmod(F.xxhash64("sig"), F.col("cells"))
-    members = parts.join(sizes, "part").withColumn("cell", cell)
+    members = parts.join(sizes, "part").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     members = members.select(
-        "part", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "sig", "copies", "cell",
+        "part", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "node", "copies", "cell",
         F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"),
     )
     texts = rows.join(
         members, F.col("doc_id").eqNullSafe(F.col("at_id")) & F.col("text_hash").eqNullSafe(F.col("at_hash"))
-    ).select("part", "i", "j", "sig", "copies", "cell", "text")
-    links = texts.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "sig").mapInArrow(
-        partial(_compare_tasks, width=width, percent=percent), "sig binary, root binary, links long"
+    ).select("part", "i", "j", "node", "copies", "cell", "text")
+    links = texts.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(
+        partial(_compare_tasks, width=width, percent=percent), "node long, root long, links long"
     )
     links = stored(links, "links")
-    roots = components(links.select(F.col("sig").alias("u"), F.col("root").alias("v")))
-    of_class = classes.join(roots, F.col("sig") == F.col("node"), "left").select(
-        "sig", "copies", "least_id", F.coalesce("root", "sig").alias("root")
+    roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    of_class = classes.join(roots, "node", "left").select(
+        "sig", "node", "copies", "least_id", F.coalesce("root", "node").alias("component")
     )  # a class without links is its own root
-    ids = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = links.groupBy(F.col("sig").alias("l_sig")).agg(F.sum("links").alias("links"))
-    of_class = of_class.join(ids, "root").join(linked, F.col("sig") == F.col("l_sig"), "left").select(
-        F.col("sig").alias("c_sig"), F.col("root").alias("component"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    ids = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    linked = links.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
+    of_class = of_class.join(ids, "component").join(linked, F.col("node") == F.col("l_node"), "left").select(
+        F.col("sig").alias("c_sig"), "component", "component_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     return sets.join(of_class, F.col("sig") == F.col("c_sig"), "left").select(
         "doc_id", "text_hash", "component", F.col("n").alias("n_shingles"),
