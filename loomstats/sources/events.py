@@ -53,14 +53,15 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 
 def read_events(
-    spark: SparkSession, path: str, since: str | None = None, on: str | None = None, dated: bool = True
+    spark: SparkSession, path: str, since: str | None = None, on: str | None = None, dated: bool = True,
+    files: str = "*.jsonl",
 ) -> DataFrame:
-    """Events of the JSON lines below `path`. `since` and `on` prune files by the date in their name.
+    """Events of the JSON lines in `files` below `path`. `since` and `on` prune files by the date in their name.
 
     Fields of a wrong kind get their default, the event stays. Events without a readable timestamp have no place in any
     order; they come with null `ts`, `ms` and `date` if `dated` is false.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
     if since:
         raw = raw.where(C("_metadata.file_name") >= f"{since}.jsonl")
     if on:
