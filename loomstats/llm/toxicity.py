@@ -46,12 +46,11 @@ CHANNEL = {"leet": -1.0, "drop": -0.5, "repeat": -0.7, "mask": -math.log(26) - 1
 
 PLAIN = re.compile(r"[^\W\d_]+")
 SIGNS = re.escape("0123456789@$!|+(€£*._~'-")
-DISGUISED = re.compile(
-    rf"\S*[^\W\d_][{SIGNS}]+[^\W\d_]\S*"  # signs among letters
-    r"|(?<!\S)[@$!|+(€£\d]+[^\W\d_]\S*"  # a sign before letters
-    r"|\w*([^\W\d_])\1\1\w*"  # a letter three times
-    r"|(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){3,}[\w@$!|+](?![^\W_])"  # spaced letters
-)
+INSIDE = re.compile(rf"[{SIGNS}]+[^\W\d_]")  # signs among letters, if a letter is before them
+THRICE = re.compile(r"([^\W\d_])\1\1")
+BEFORE = re.compile(r"(?<!\S)[@$!|+(€£\d]+(?=[^\W\d_])")  # signs before letters
+SPACED = re.compile(r"(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){3,}[\w@$!|+](?![^\W_])")  # letters one by one
+SPACE = re.compile(r"\s")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -153,12 +152,28 @@ class Reader:
 
     def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
-        found = set(PLAIN.findall(text))
-        for match in DISGUISED.finditer(text):
-            found.update(self.restored(match[0]))
+        plain = PLAIN.findall(text)
+        found = set(plain)
+        at = [m.start() for m in INSIDE.finditer(text) if m.start() and text[m.start() - 1].isalpha()]
+        at += [m.start() for pattern in (BEFORE, THRICE) for m in pattern.finditer(text)]
+        tokens = {_token(text, k) for k in at}
+        single = [k for k, word in enumerate(plain) if len(word) == 1]
+        if any(b - a == 1 for a, b in zip(single, single[1:])):
+            tokens.update(m[0] for m in SPACED.finditer(text))
+        for token in tokens:
+            found.update(self.restored(token))
         return found
 
 
+def _token(text: str, at: int) -> str:
+    """What stands between spaces around a place."""
+    end = SPACE.search(text, at)
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start : end.start() if end else len(text)]
+
+
 _reader_of: list = []
 
 
