@@ -155,6 +155,26 @@ def runs(phases: DataFrame, completions: DataFrame, moments: DataFrame) -> DataF
     )
 
 
+def run_attributes(events: DataFrame) -> DataFrame:
+    """What a run was resolved to and how it ended (columns: run_id, time, seq, kind, and the attributes below).
+
+    The last `resolved` event gives mode, pattern and plan, the last `completed` one final model, final phase, duration and
+    outcome; a mode or pattern that is not resolved is the first one a completion names.
+    """
+    at = F.struct("time", "seq")
+    resolved, completed = (F.when(C("kind") == k, at) for k in ("resolved", "completed"))
+    named = lambda c: F.min_by(c, F.when((C("kind") == "completed") & C(c).isNotNull(), at))
+    ends = F.struct("final_model", "final_phase", "duration_ms", "outcome")
+    found = events.groupBy("run_id").agg(
+        F.max_by(F.struct("mode", "pattern", "plan"), resolved).alias("asked"), F.max_by(ends, completed).alias("end"),
+        named("mode").alias("end_mode"), named("pattern").alias("end_pattern"),
+    )
+    return found.select(
+        "run_id", F.coalesce("asked.mode", "end_mode").alias("mode"), F.coalesce("asked.pattern", "end_pattern").alias("pattern"),
+        "asked.plan", "end.final_model", "end.final_phase", "end.duration_ms", "end.outcome",
+    )
+
+
 def run_paths(runs_: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     visible = runs_.where(_inside(C("started_ms"), start, end))
     return visible.groupBy("path").agg(F.count(F.lit(1)).alias("n"))

@@ -243,7 +243,10 @@ def with_titles(threads_: DataFrame) -> DataFrame:
 
 
 def session_list(rows: Sequence, titled_threads: DataFrame) -> DataFrame:
-    """Sessions with editor activity and the title of their newest titled thread that has steps, else their date."""
+    """Sessions with editor activity and the title of their newest titled thread that has steps, else their date.
+
+    Newest date first, then most actions, then id.
+    """
     newest = (
         titled_threads.where(C("has_selectable_title") & (C("step_count") > 0))
         .groupBy("session_id")
@@ -251,7 +254,8 @@ def session_list(rows: Sequence, titled_threads: DataFrame) -> DataFrame:
         .agg(F.max_by("title", F.struct(C("started_ms"), -C("thread_no"))).alias("thread_title"))
     )
     listed = session_summary(rows).join(newest, "session_id", "left")
-    return listed.withColumn("title", F.coalesce("thread_title", "date")).drop("thread_title")
+    named = listed.withColumn("title", F.coalesce("thread_title", "date")).drop("thread_title")
+    return named.orderBy(C("date").desc(), C("total_actions").desc(), "session_id")
 
 
 # --- Episodes and fatigue --------------------------------------------------------------------------------------------

@@ -136,7 +136,7 @@ QUERIES = {
     "q_stream_episodes": _episodes,
     "q_export_csv": lambda s, d: _written(s, exports.csv_report(_sections(s, d)), "csv"),
     "q_export_markdown": lambda s, d: _written(s, exports.markdown_report(_sections(s, d)), "markdown"),
-    "q_export_json": lambda s, d: _written(s, exports.json_report(_sections(s, d)[1:3]), "json"),
+    "q_export_json": lambda s, d: _written(s, exports.json_report(_sections(s, d)), "json"),
     "q_snapshot_roundtrip": _snapshot,
     "q_row_ids": lambda s, d: with_row_ids(tracked_events(s, d)).select("id", "seq", "ms"),
 }
@@ -152,24 +152,40 @@ _REPORT = ", ".join([
 ])
 
 
+SECTIONS = [
+    ("By Date", "Date,Shown,Accepted,Rate,Chat", ["date", "shown", "accepted", _RATE, "chat"], "daily"),
+    ("Inline Completion Model", "Model,Shown,Accepted,Rate", ["model", "shown", "accepted", _RATE], "models"),
+    ("Activity by Hour", "Hour,Inline,Chat", ["hour", "inline", "chat"], "hours"),
+    ("Sessions", "Session,Shown,Accepted,Rate,Chat,Errors",
+     ["session_id", "shown", "accepted", _RATE, "chat", "errors"], "sess"),
+    ("Errors by Type", "Error Type,Count", ["err", "n"], "errs"),
+]
+
+
 def _report(heading: str, header, row) -> str:
     """Report lines in the given notation."""
-    tables = [
-        ("By Date", "Date,Shown,Accepted,Rate,Chat", ["date", "shown", "accepted", _RATE, "chat"], "daily"),
-        ("Inline Completion Model", "Model,Shown,Accepted,Rate", ["model", "shown", "accepted", _RATE], "models"),
-        ("Activity by Hour", "Hour,Inline,Chat", ["hour", "inline", "chat"], "hours"),
-        ("Sessions", "Session,Shown,Accepted,Rate,Chat,Errors",
-         ["session_id", "shown", "accepted", _RATE, "chat", "errors"], "sess"),
-        ("Errors by Type", "Error Type,Count", ["err", "n"], "errs"),
-    ]
     parts = []
-    for title, columns, cells, source in tables:
+    for title, columns, cells, source in SECTIONS:
         fixed = [heading + title, *header(columns.split(","))]
         parts += [f"SELECT '{line}' AS line" for line in fixed]
         parts.append(f"SELECT {row(cells)} AS line FROM {source}")
     return f"WITH {_REPORT} " + " UNION ALL ".join(parts)
 
 
+def _json_report() -> str:
+    """All sections as one JSON object per row; texts are quoted, numbers are not, missing cells are left out."""
+    texts = {"Date", "Rate", "Model", "Hour", "Session", "Error Type"}
+    parts = []
+    for title, columns, cells, source in SECTIONS:
+        fields = [
+            f"'\"{name}\":' || " + (f"'\"' || {cell} || '\"'" if name in texts else cell)
+            for name, cell in zip(columns.split(","), cells)
+        ]
+        row = "concat_ws(',', " + ", ".join(fields) + ")"
+        parts.append(f"SELECT '{{\"section\":\"{title}\",\"row\":{{' || {row} || '}}}}' AS line FROM {source}")
+    return f"WITH {_REPORT} " + " UNION ALL ".join(parts)
+
+
 ORACLES = {
     "q_stream_daily_rollup": EVENT_ORACLES["q_daily_stats"],
     "q_stream_velocity": (
@@ -195,12 +211,7 @@ ORACLES = {
         lambda cells: "'| ' || concat_ws(' | ', " + ", ".join(
             f"replace({c}, '_', '&#95;')" if c == "err" else c for c in cells) + ") || ' |'",
     ),
-    "q_export_json": (
-        f"WITH {_REPORT} SELECT '{{\"section\":\"Inline Completion Model\",\"row\":{{\"Model\":\"' || model || '\",\"Shown\":' "
-        f"|| shown || ',\"Accepted\":' || accepted || ',\"Rate\":\"' || {_RATE} || '\"}}}}' AS line FROM models UNION ALL "
-        "SELECT '{\"section\":\"Activity by Hour\",\"row\":{\"Hour\":\"' || hour || '\",\"Inline\":' || inline || "
-        "',\"Chat\":' || chat || '}}' FROM hours"
-    ),
+    "q_export_json": _json_report(),
     "q_snapshot_roundtrip": EVENT_ORACLES["q_daily_stats"],
     "q_row_ids": f"WITH {TE_SQL} SELECT row_number() OVER (ORDER BY ms, seq) - 1 AS id, seq, ms FROM te",
 }
