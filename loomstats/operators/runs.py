@@ -209,8 +209,9 @@ def subagents(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Started subagents with the last valid duration of a later completion of the same call.
 
     `events`: session_id, call_id, time, seq, kind (started, completed), agent_name, parent_id, model, duration_ms.
-    A completion belongs to the first start of its call.
+    A completion belongs to the first start of its call; events without a call id belong to none.
     """
+    events = events.where(C("call_id").isNotNull())
     rows = Sequence(events, ["session_id", "call_id"], "time", ["seq"], block_rows=block_rows)
     started = C("kind") == "started"
     rows = rows.running_sum({"start_no": started.cast("long")})
@@ -219,7 +220,7 @@ def subagents(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     last = rows.frame().groupBy("session_id", "call_id").agg(
         F.max_by("duration_ms", F.when(valid, at)).alias("last_duration")
     )
-    begun = rows.frame().where(started & C("call_id").isNotNull())
+    begun = rows.frame().where(started)
     duration = F.when(C("start_no") == 1, C("last_duration"))
     return begun.drop("duration_ms").join(last, ["session_id", "call_id"], "left").select(
         "session_id", "call_id", "seq", F.coalesce("agent_name", F.lit("Unknown")).alias("agent_name"), "parent_id",

@@ -187,7 +187,7 @@ VIEWS = {
     ),
     "spans": (
         {
-            "call_id": "CAST(k AS STRING)",
+            "call_id": "CASE WHEN k % 9 <> 1 THEN CAST(k AS STRING) END",
             "kind": "CASE et WHEN 'signup' THEN 'started' ELSE 'completed' END",
             "agent_name": "CASE WHEN et = 'signup' AND k % 8 <> 0 THEN concat('agent-', CAST(k % 4 AS STRING)) END",
             "parent_id": "CASE WHEN k % 2 = 0 THEN concat('p', CAST(k AS STRING)) END",
@@ -614,7 +614,7 @@ ORACLES = {
         "AND c.duration_ms >= 0 GROUP BY ALL)",
         "SELECT x.session_id, x.call_id, x.seq, coalesce(x.agent_name, 'Unknown') AS agent_name, x.parent_id, x.model, "
         "e.dur AS duration_ms FROM spans x LEFT JOIN e ON e.session_id = x.session_id AND e.call_id = x.call_id AND e.s = x.seq "
-        "WHERE x.kind = 'started'",
+        "WHERE x.kind = 'started' AND x.call_id IS NOT NULL",
     ),
     "q_compactions": _ev(
         ["compactions"],
