@@ -129,14 +129,14 @@ def _daily_prompts(spark, sf):
 
 
 def _meaningful(spark, sf):
-    """Chats with prompts, tokens or credits that are unknown or positive."""
-    rows = chat_messages(spark, sf).where(C("kind") != "prompt")
-    sums = rows.groupBy("session_id", "conv_id").agg(
-        F.count_if(C("kind") == "agent").alias("prompts"), F.coalesce(F.sum("usage_tokens"), F.lit(0)).alias("tokens")
+    """Turns with prompts, tokens, runs, decisions, or credits that are unknown or positive."""
+    sums = chat_messages(spark, sf).groupBy("session_id", "conv_id", "seq").agg(
+        F.count_if(C("kind").isin("prompt", "agent")).alias("prompts"),
+        F.coalesce(F.sum("usage_tokens"), F.lit(0)).alias("tokens"),
     ).withColumn("nano", F.when(C("conv_id") % 4 != 0, C("conv_id") % 4 - 1))
-    none = F.lit(0)
-    wanted = messages.is_meaningful(C("prompts"), C("tokens") % 2, C("nano"), none, none)
-    return sums.where(wanted).select("session_id", "prompts", "tokens", "nano")
+    runs_, decisions = (F.when(C("conv_id") % n == 1, 1).otherwise(0) for n in (6, 10))
+    wanted = messages.is_meaningful(C("prompts"), C("tokens"), C("nano"), runs_, decisions)
+    return sums.where(wanted).select("session_id", "seq", "prompts", "tokens", "nano")
 
 
 def _attached(spark, sf):
@@ -171,16 +171,16 @@ VIEWS = {
                 "ELSE concat('model-', CAST(k % 7 AS STRING)) END"
             ),
         },
-        "(et = 'signup' AND k % 6 = 0) OR et IN ('click', 'purchase')",
+        "et IN ('signup', 'click', 'purchase')",
     ),
     "dated": (
         {
             "kind": "CASE WHEN et = 'signup' THEN 'start' ELSE 'other' END",
             "date": "CASE WHEN et = 'signup' OR k % 2 = 0 THEN {day:ts} END",
         },
-        "(et = 'signup' AND k % 6 = 0) OR et = 'click'",
+        "et IN ('signup', 'click')",
     ),
-    "agents": ({"agent_name": "concat('agent-', CAST(k % 4 AS STRING))"}, "et = 'signup' AND k % 6 IN (2, 3, 4)"),
+    "agents": ({"agent_name": "concat('agent-', CAST(k % 4 AS STRING))"}, "et = 'signup'"),
     "activity": (
         {"kind": "CASE et WHEN 'purchase' THEN 'message' WHEN 'view' THEN 'turn' WHEN 'click' THEN 'change' ELSE '' END"},
         "true",
@@ -210,7 +210,7 @@ VIEWS = {
             "kind": "CASE et WHEN 'click' THEN 'steering' ELSE 'stop' END",
             "ms": "CASE WHEN k % 20 <> 1 THEN {ms:ts} END",
         },
-        "(et = 'click' AND k % 10 = 1) OR (et = 'error' AND k % 7 = 0)",
+        "et IN ('click', 'error')",
     ),
     "ids": ({"key": "CASE WHEN k % 10 <> 0 THEN concat('e', CAST(k AS STRING)) END"}, "true"),
     "decisions": (
@@ -527,10 +527,10 @@ ORACLES = {
     ),
     "q_usage_in_range": _cu("SELECT model, count(*) AS calls FROM rec WHERE call_date >= '1996-03-01' GROUP BY model"),
     "q_meaningful_threads": _ch(
-        "s AS (SELECT session_id, conv_id, count(*) FILTER (WHERE kind = 'agent') AS prompts, "
-        "CAST(coalesce(sum(usage_tokens), 0) AS BIGINT) AS tokens FROM ch WHERE kind <> 'prompt' GROUP BY ALL)",
-        "SELECT session_id, prompts, tokens, CASE WHEN conv_id % 4 <> 0 THEN conv_id % 4 - 1 END AS nano FROM s "
-        "WHERE prompts > 0 OR tokens % 2 > 0 OR conv_id % 4 IN (0, 2, 3)",
+        "s AS (SELECT session_id, conv_id, seq, count(*) FILTER (WHERE kind IN ('prompt', 'agent')) AS prompts, "
+        "CAST(coalesce(sum(usage_tokens), 0) AS BIGINT) AS tokens FROM ch GROUP BY ALL)",
+        "SELECT session_id, seq, prompts, tokens, CASE WHEN conv_id % 4 <> 0 THEN conv_id % 4 - 1 END AS nano FROM s "
+        "WHERE prompts > 0 OR tokens > 0 OR conv_id % 4 IN (0, 2, 3) OR conv_id % 6 = 1 OR conv_id % 10 = 1",
     ),
     "q_attach_once": (
         f"WITH {RAW_SQL}, t AS (SELECT 'g' || (user_id % 10) AS session_id, event_id AS position FROM raw WHERE et = 'error') "
