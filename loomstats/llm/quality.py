@@ -116,10 +116,10 @@ def base_failed() -> Column:
 
 def vector() -> dict[str, Column]:
     """The transformed statistics in units of 1/SCALE; texts that fail the base rule have no part in the estimates."""
-    share = lambda part, whole, times: F.log1p(times * F.col(part) / F.col(whole))
+    share = lambda part, whole, times: F.log1p(F.try_divide(times * F.col(part), F.col(whole)))
     values = {
         "words": F.log1p(F.col("n_words")),
-        "length": F.log(F.col("word_chars") / F.col("n_words")),
+        "length": F.log(F.try_divide("word_chars", "n_words")),
         "symbols": share("n_symbols", "word_chars", 1000),
         "lines": share("n_dup_lines", "n_lines", 100),
         "repeats": share("n_repeat_words", "n_words", 100),
