@@ -62,10 +62,13 @@ def _sums(df, *keys):
 
 
 def _unattributed(spark, sf):
+    """As recorded, where one unknown credit makes the difference unknown, and with unknown credits as none."""
     events = usage_events(spark, sf)
-    total = usage.model_totals(events, STEPS).withColumn("nano", F.coalesce("nano", F.lit(0)))
-    dated = events.where(C("kind") == "record").withColumn("nano", F.coalesce("nano", F.lit(0)))
-    return usage.unattributed(total, dated).withColumn("unattributed_credits", F.round("unattributed_credits", 4))
+    total, dated = usage.model_totals(events, STEPS), events.where(C("kind") == "record")
+    filled = [df.withColumn("nano", F.coalesce("nano", F.lit(0))) for df in (total, dated)]
+    both = usage.unattributed(total, dated).withColumn("basis", F.lit("recorded")).unionByName(
+        usage.unattributed(*filled).withColumn("basis", F.lit("filled")))
+    return both.withColumn("unattributed_credits", F.round("unattributed_credits", 4))
 
 
 def _rounded(df, *names):
@@ -541,9 +544,11 @@ ORACLES = {
     "q_checkpoint_credits": _cu(_WALK, "SELECT session_id, total AS nano FROM fin"),
     "q_unattributed": _cu(
         _WALK,
-        "SELECT CAST((SELECT sum(input_tokens + output_tokens) FROM mt) - (SELECT sum(input_tokens + output_tokens) FROM plain) "
-        "AS BIGINT) AS unattributed_tokens, round(((SELECT sum(coalesce(nano, 0)) FROM mt) - "
-        "(SELECT sum(coalesce(nano, 0)) FROM plain)) / 1e9, 4) AS unattributed_credits",
+        "SELECT basis, CAST((SELECT sum(input_tokens + output_tokens) FROM mt) - (SELECT sum(input_tokens + output_tokens) "
+        "FROM plain) AS BIGINT) AS unattributed_tokens, CASE WHEN basis = 'filled' OR ((SELECT count(*) = count(nano) FROM mt) "
+        "AND (SELECT count(*) = count(nano) FROM plain)) THEN round(((SELECT sum(coalesce(nano, 0)) FROM mt) - "
+        "(SELECT sum(coalesce(nano, 0)) FROM plain)) / 1e9, 4) END AS unattributed_credits "
+        "FROM (VALUES ('recorded'), ('filled')) AS b (basis)",
     ),
     "q_prompt_response": _ch(_OPEN, "SELECT * FROM pr"),
     "q_prompt_buckets": _ch(
