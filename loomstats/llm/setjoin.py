@@ -287,9 +287,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     )
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     at = classes.select("node", F.col("sig").alias("at_sig"), F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
+    # both joins of wide rows are merge joins at every size, as they must be where no side can be broadcast
     first = (F.col("sig") == F.col("at_sig")) & F.col("doc_id").eqNullSafe(F.col("at_id"))
     first &= F.col("text_hash").eqNullSafe(F.col("at_hash"))
-    index = sets.join(at, first).select(
+    index = sets.join(at.hint("merge"), first).select(
         "n", "node", F.get("sketch", F.lit(0)).alias("left"), F.get("sketch", F.lit(1)).alias("right"), F.explode("prefix").alias("token")
     )
     ties = index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(
@@ -305,7 +306,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash"),
     )
     texts = rows.join(
-        members, F.col("doc_id").eqNullSafe(F.col("at_id")) & F.col("text_hash").eqNullSafe(F.col("at_hash"))
+        members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at_id")) & F.col("text_hash").eqNullSafe(F.col("at_hash"))
     ).select("part", "i", "j", "node", "copies", "cell", "text")
     links = texts.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node").mapInArrow(
         partial(_compare_tasks, width=width, percent=percent), "node long, root long, links long"
@@ -339,9 +340,11 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("_hash")
     )
     first = groups.select(F.col("component_id").alias("_id"), "_hash").distinct()
-    rows = docs.withColumn("_words", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    rows = rows.withColumn("_text", F.xxhash64(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_hash"))
-    chosen = rows.where("_words").join(first, same, "left_semi").dropDuplicates(["doc_id", "_text"])
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return chosen.select(*names).union(rows.where("not _words").select(*names))
+    all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = docs.select(
+        all_of, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"),
+        F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"),
+    )
+    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash"))
+    chosen = rows.where("_words").join(first, same, "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
+    return chosen.select("_doc.*").union(rows.where("not _words").select("_doc.*"))
