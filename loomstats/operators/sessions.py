@@ -200,6 +200,7 @@ def threads(rows: Sequence) -> DataFrame:
 
 
 def _thread_label() -> Column:
+    # The names of threads by intent and by label.
     action, asked = C("first_action"), C("saw_title_request")
     intent, phase, label = action["intent"], action["phase"], action["label"]
     by_intent = ev.choose(
@@ -347,6 +348,7 @@ def episodes(rows: Sequence) -> DataFrame:
     )
     # The last episode stays open until the last event of the session unless a boundary closed it.
     ended = F.when(C("last.final") & ~C("last.boundary"), C("any_ms")).otherwise(C("last.end_ms"))
+    # The summaries of episodes.
     summary = ev.choose(
         [
             (C("context_boundary"), "Context refresh boundary reached"),
@@ -371,7 +373,7 @@ def fatigue(episodes_: DataFrame, rows: Sequence) -> DataFrame:
     several = (C("episode_no") > 1) | C("has_next").isNotNull()
     both = F.array_contains("phases", "research") & F.array_contains("phases", "execution")
     degraded = ~C("accepted") & ~F.coalesce("previous_accepted", F.lit(True))
-    # condition, points, reason
+    # Condition, points, reason.
     rules = [
         (C("ai_actions") >= 4, 1, "autonomous depth increased"),
         (both & ~C("accepted"), 1, "research did not convert into execution outcome"),
