@@ -50,6 +50,7 @@ INSIDE = re.compile(rf"[{SIGNS}]+[^\W\d_]")  # signs among letters, if a letter
 THRICE = re.compile(r"([^\W\d_])\1\1")
 BEFORE = re.compile(r"(?<!\S)[@$!|+(€£\d]+(?=[^\W\d_])")  # signs before letters
 SPACED = re.compile(r"(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){3,}[\w@$!|+](?![^\W_])")  # letters one by one
+ENDS_SPACED = re.compile(r"[ .\-_*~][\w@$!|+][ .\-_*~]{1,2}[\w@$!|+](?![^\W_])")  # the last two of such, all have them
 SPACE = re.compile(r"\s")
 
 
@@ -152,13 +153,11 @@ class Reader:
 
     def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
-        plain = PLAIN.findall(text)
-        found = set(plain)
+        found = set(PLAIN.findall(text))
         at = [m.start() for m in INSIDE.finditer(text) if m.start() and text[m.start() - 1].isalpha()]
         at += [m.start() for pattern in (BEFORE, THRICE) for m in pattern.finditer(text)]
         tokens = {_token(text, k) for k in at}
-        single = [k for k, word in enumerate(plain) if len(word) == 1]
-        if any(b - a == 1 for a, b in zip(single, single[1:])):
+        if ENDS_SPACED.search(text):
             tokens.update(m[0] for m in SPACED.finditer(text))
         for token in tokens:
             found.update(self.restored(token))
