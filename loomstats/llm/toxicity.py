@@ -2,7 +2,8 @@
 
 1. A character model: counts of letter trigrams over all documents (boundaries are letters of a kind). Its table has a fixed
    size, 64**3, whatever the corpus.
-2. A word that looks disguised (digits or signs among letters, spaced letters, repeated letters) becomes a lattice: each
+2. A word that looks disguised (digits or signs among, before, behind or instead of letters, spaced letters, letters twice or
+   more in a row; signs that end a sentence aside) becomes a lattice: each
    character stands for the letters it may replace, for itself, or for nothing, at channel costs (CHANNEL). The Viterbi path
    under the character model is the restored word. Plain words have one path only, and are taken as they are.
 3. A logistic model over words, learned from at most TRAIN labelled documents (those with the least hashes of their ids,
@@ -45,13 +46,27 @@ SEPARATORS = " .-_*~'"
 CHANNEL = {"leet": -1.0, "drop": -0.5, "repeat": -0.7, "mask": -math.log(26) - 1.0}
 
 PLAIN = re.compile(r"[^\W\d_]+")
-SIGNS = re.escape("0123456789@$!|+(€£*._~'-")
-INSIDE = re.compile(rf"[{SIGNS}]+[^\W\d_]")  # signs among letters, if a letter is before them
-THRICE = re.compile(r"([^\W\d_])\1\1")
-BEFORE = re.compile(r"(?<!\S)[@$!|+(€£\d]+(?=[^\W\d_])")  # signs before letters
-SPACED = re.compile(r"(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){3,}[\w@$!|+](?![^\W_])")  # letters one by one
+INSIDE = re.compile(r"[^\W\d_][0-9@$!|+(€£*._~'-]+[^\W\d_]")  # signs among letters
+BEFORE = re.compile(r"[@$!|+(€£\d][^\W\d_]")
+SIGN = re.compile(r"[0-9@$|+(€£*]|!(?=[^!])")  # wherever it stands
+HELD = re.compile(r"[^\W_]|[@$!|+(€£]")
+TWICE = re.compile(r"([^\W\d_])\1")
+STOPS = ".,;:!?'\"-)]}…"  # behind a word
+OPENINGS = "'\"[{"
+SPACED = re.compile(r"(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){2,}[\w@$!|+](?![^\W_])")  # letters or signs one by one
 ENDS_SPACED = re.compile(r"[ .\-_*~][\w@$!|+][ .\-_*~]{1,2}[\w@$!|+](?![^\W_])")  # the last two of such, all have them
-SPACE = re.compile(r"\s")
+
+
+def core(token: str) -> str:
+    """Without the signs that may stand around a word in a sentence."""
+    word = token.rstrip(STOPS)
+    return word.lstrip(OPENINGS + "(" if ")" in token[len(word) :] else OPENINGS)
+
+
+def disguised(word: str) -> bool:
+    if TWICE.search(word) or INSIDE.search(word) or BEFORE.search(word):
+        return True
+    return len(word) > 1 and bool(SIGN.search(word) and HELD.search(word))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,29 +165,25 @@ class Reader:
     def __init__(self, model: np.ndarray):
         self.model = model
         self.restored = lru_cache(100_000)(lambda token: tuple(PLAIN.findall(restore(token, model))))
+        self.behind = lru_cache(100_000)(self._behind)
+
+    def _behind(self, token: str) -> tuple[str, ...]:
+        """The words behind what stands between spaces; none for one read as it is."""
+        word = core(token)
+        return self.restored(word) if disguised(word) else ()
 
     def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
         found = set(PLAIN.findall(text))
-        at = [m.start() for m in INSIDE.finditer(text) if m.start() and text[m.start() - 1].isalpha()]
-        at += [m.start() for pattern in (BEFORE, THRICE) for m in pattern.finditer(text)]
-        tokens = {_token(text, k) for k in at}
+        for token in set(text.split()):
+            if more := self.behind(token):
+                found.update(more)
         if ENDS_SPACED.search(text):
-            tokens.update(m[0] for m in SPACED.finditer(text))
-        for token in tokens:
-            found.update(self.restored(token))
+            for m in SPACED.finditer(text):
+                found.update(self.restored(m[0]))
         return found
 
 
-def _token(text: str, at: int) -> str:
-    """What stands between spaces around a place."""
-    end = SPACE.search(text, at)
-    start = at
-    while start and not text[start - 1].isspace():
-        start -= 1
-    return text[start : end.start() if end else len(text)]
-
-
 _reader_of: list = []
 
 
