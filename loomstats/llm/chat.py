@@ -16,6 +16,8 @@ are spread over tasks by their ids.
 Defined cases: null texts and roles are empty; turns are ordered by number, null first, then role and text, and repeated
 rows are turns of their own; null ids form one conversation; records that are no JSON, or of unknown layout, have a null
 layout and no turns, and their conversations come out empty; no rows give no conversations; other columns are not looked at.
+The parser of VARIANT takes no string of more than 20,000,000 characters: of records of more bytes, it gets the structure
+with empty texts, and the texts are read by the schema of the layout found.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from loomstats.llm.common import scratch
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURN = "array<struct<role: string, text: string>>"
+LONG = 20_000_000  # characters of a string in JSON, as try_parse_json has it; so many bytes are below 128 MiB as VARIANT
+IN_QUOTES = r'(?s)("(?:[^"\\]++|\\.)*+"\s*+:)|(")(?:[^"\\]++|\\.)*+"'  # a field's name, or a text
 
 
 @dataclass(frozen=True)
@@ -88,11 +92,25 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def _turns_of(layout: Layout, record: Column) -> Column:
+def _structure(record: Column) -> Column:
+    """The JSON text with its texts empty, names of fields as they are."""
+    return F.regexp_replace(record, IN_QUOTES, "$1$2$2")
+
+
+def _turns_of(layout: Layout, record: Column, text: Column, long: Column) -> Column:
+    """Turns of a record as VARIANT, or if it is `long`, of its JSON text."""
+    options = {"maxStringLen": str((1 << 31) - 1)}
     if layout.fields:
-        turns = [F.struct(F.lit(role).alias("role"), F.variant_get(record, f"$.{path}", "string").alias("text")) for role, path in layout.fields]
-        return F.array(*turns)
-    items = F.variant_get(record, f"$.{layout.turns}", f"array<struct<`{layout.role}`: string, `{layout.text}`: string>>")
+        fields = F.from_json(text, ", ".join(f"`{path}` string" for _, path in layout.fields), options)
+
+        def value(path: str) -> Column:
+            return F.when(long, fields[path]).otherwise(F.variant_get(record, f"$.{path}", "string"))
+
+        return F.array(*[F.struct(F.lit(role).alias("role"), value(path).alias("text")) for role, path in layout.fields])
+    kind = f"array<struct<`{layout.role}`: string, `{layout.text}`: string>>"
+    items = F.when(long, F.from_json(text, f"`{layout.turns}` {kind}", options)[layout.turns]).otherwise(
+        F.variant_get(record, f"$.{layout.turns}", kind)
+    )
 
     def role(item: Column) -> Column:
         name = item[layout.role]
@@ -105,13 +123,15 @@ def _turns_of(layout: Layout, record: Column) -> Column:
 
 def canonical_turns(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
     """`layout` and `turns` for each row of (conv_id, record), record being JSON text."""
-    rows = records.select("conv_id", F.try_parse_json("record").alias("record"))
+    long = F.octet_length("json") > LONG
+    rows = records.select("conv_id", F.col("record").alias("json"))
+    rows = rows.withColumn("record", F.try_parse_json(F.when(long, _structure(F.col("json"))).otherwise(F.col("json"))))
     rows = rows.withColumn("print", fingerprint(field_paths(F.col("record"))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
     for one in reversed(layouts):
         match = F.col("print") == fingerprint(F.array(*[F.lit(p) for p in one.paths()]))
         layout = F.when(match, F.lit(one.name)).otherwise(layout)
-        turns = F.when(match, _turns_of(one, F.col("record"))).otherwise(turns)
+        turns = F.when(match, _turns_of(one, F.col("record"), F.col("json"), long)).otherwise(turns)
     empty = F.array().cast(TURN)
     filled = F.transform(
         F.coalesce(turns, empty),
