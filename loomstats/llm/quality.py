@@ -6,7 +6,9 @@ new distances, and so on for a fixed number of concentration steps, then one rew
 squared Mahalanobis distance is above CUT.
 
 A group's sums get PRIOR documents of its language added, so small groups lean on their language without a size at which
-the rule changes, and RIDGE is added to each variance, as most texts have the same value (none) in some statistics.
+the rule changes, and RIDGE is added to each variance, as most texts have the same value (none) in some statistics. Where
+others have none, a text is rejected for its repeated lines alone from about four fifths on; not for its repeated words alone,
+which the base rule bounds.
 Statistics are whole numbers of 1/1024, so sums are exact and do not depend on how rows were partitioned. Estimates are
 combinable sums, counts per distance bin, and medians over bounded numbers of distinct values: a source may hold any share
 of the rows.
@@ -30,7 +32,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, RUN = 20, 30, 8
 
 FEATURES = ("words", "length", "symbols", "lines", "repeats", "capitals")
-RIDGE = {"words": 0.1, "length": 0.05, "symbols": 0.5, "lines": 1.2, "repeats": 1.2, "capitals": 0.3}  # natural logarithms
+RIDGE = {"words": 0.1, "length": 0.05, "symbols": 0.5, "lines": 0.6, "repeats": 1.2, "capitals": 0.3}  # natural logarithms
 SCALE = 1024
 HALF = 0.75  # share of a group that a concentration step keeps
 STEPS = 2
