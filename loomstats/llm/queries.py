@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomstats.llm import chat, credentials, decontaminate, mixing, passages, quality, setjoin, tokens, toxicity, warc
+from loomstats.llm import (
+    chat, credentials, decontaminate, mixing, neardup, passages, quality, setjoin, spelling, tokens, toxicity, warc, whitening,
+)
 from loomstats.llm.common import table
 
 
@@ -200,6 +202,79 @@ from n join r on n.doc_id = r.doc_id group by n.doc_id, n.n
 """
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings of a label."""
+    return neardup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+with recursive e as (
+  select vec_id, label, embedding::double[] as v, row_number() over () as r from embeddings
+), g as (
+  select * from e where label is not null and len(list_filter(v, lambda c: c is null or not isfinite(c))) = 0
+                    and len(list_filter(v, lambda c: c <> 0)) > 0
+), l as (
+  select a.r as a, b.r as b from g a join g b
+  on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r and list_cosine_similarity(a.v, b.v) >= 0.93
+), c as (
+  select r, r as other from e union select c.r, l.b from c join l on c.other = l.a
+)
+select e.vec_id, (select count(*) from l where l.a = e.r) as n_links, min(o.vec_id) as component_id,
+       e.vec_id = min(o.vec_id) as kept
+from e join c using (r) join e o on o.r = c.other group by e.r, e.vec_id
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+with recursive t as (
+  select list(v order by i) as crc from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+    from (select unnest(range(256)) as i))
+), d as (
+  select coalesce(doc_id::varchar, '') as doc_id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+), r as (select doc_id, run, count(*) as n from d where len(run) >= 7 group by all
+), b as (select *, hex(encode(doc_id || ':' || run)) as x from r
+), h as (
+  select run, n, xor(4294967295, list_reduce(
+           list_prepend(4294967295, [('0x' || x[2 * i + 1:2 * i + 2])::bigint for i in range(len(x) // 2)]),
+           lambda c, y: xor(c >> 8, crc[xor(c & 255, y) + 1]))) as h
+  from b, t
+), w as (
+  select case when h % 31 = 0 then run[1:h % len(run)] || run[h % len(run) + 2:] else run end as word, n from h
+), v as (select word, sum(n)::bigint as n from w where len(word) >= 7 group by word having sum(n) >= 2
+), k as (
+  select distinct word, n, i, word[1:i] || word[i + 2:] as less from (select word, n, unnest(range(len(word))) as i from v)
+), p as (
+  select a.word, b.word as near, b.n from k a join k b on a.less = b.less and a.i = b.i and a.word <> b.word
+  union select k.word, v.word, v.n from k join v on k.less = v.word
+  union select v.word, k.word, k.n from k join v on k.less = v.word
+), q as (
+  select word, count(*) as n_near, max(n) as most, arg_min(near, (-n, near)) as best from p group by word
+), f as (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when most >= 10 * v.n then best end as form,
+         case when most >= 10 * v.n then most end as form_n
+  from v left join q using (word)
+), c as (
+  select word, word as root, 0 as depth from f
+  union all select c.word, f.form, depth + 1 from c join f on c.root = f.word where f.form is not null
+)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n
+from f join (select word, arg_max(root, depth) as root from c group by word) r using (word)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -209,7 +284,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources, "op2_token_files": op2_token_files, "op3_chat_format": op3_chat_format, "op4_quality_rules": op4_quality_rules,
         "op5_substring_dedup": op5_substring_dedup, "op6_secret_scan": op6_secret_scan, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_warc_archives": op8_warc_archives, "op9_toxicity": op9_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
-        "pipeline": pipeline,
+        "op11_embedding_whitening": op11_embedding_whitening, "op12_embedding_near_dedup": op12_embedding_near_dedup,
+        "op13_spelling_variants": op13_spelling_variants, "pipeline": pipeline,
     }
 
 
@@ -217,4 +293,5 @@ def oracles() -> dict[str, str]:
     return {
         "op1_mix_sources": OP1_SQL, "op3_chat_format": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL,
         "op8_warc_archives": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL,
+        "op12_embedding_near_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL,
     }
