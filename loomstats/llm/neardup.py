@@ -75,8 +75,8 @@ def whole_products(q: np.ndarray, other: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile_links(a: Cell, b: Cell, rows: slice, columns: slice, least: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows of `a` and of `b` that are linked, and how many pairs were computed in full precision."""
+def tile_links(a: Cell, b: Cell, rows: slice, columns: slice, least: float, above: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows of `a` and of `b` that are linked (`above`: later ones of `b` only), and how many pairs were computed in full precision."""
     product = whole_products(a.q[rows], b.q[columns])
     norm, rest = b.norm[columns].max(), b.rest[columns].max()
     doubt = a.norm[rows] * rest + a.rest[rows] * (norm + rest)  # of any vector of the tile
@@ -86,7 +86,9 @@ def tile_links(a: Cell, b: Cell, rows: slice, columns: slice, least: float) -> t
     if not len(i):
         return i, j, 0
     i, j = i + rows.start, j + columns.start
-    near, anew = [], 0
+    if above:
+        i, j = i[i < j], j[i < j]
+    near, anew = [np.zeros(0, bool)], 0
     for at in range(0, len(i), 1 << 16):
         x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
         cosine = np.einsum("ij,ij->i", a.q[x].astype(np.int32), b.q[y].astype(np.int32)) * a.scale[x] * b.scale[y]
@@ -136,9 +138,8 @@ def compare(a: Cell, b: Cell | None, least: float) -> tuple[np.ndarray, np.ndarr
     for top in range(0, m, TILE):
         rows = slice(top, min(top + TILE, m))
         for left in range(top if b is None else 0, len(other.nodes), TILE):
-            x, y, n = tile_links(a, other, rows, slice(left, min(left + TILE, len(other.nodes))), least)
-            if b is None and left == top:
-                x, y = x[x < y], y[x < y]
+            columns = slice(left, min(left + TILE, len(other.nodes)))
+            x, y, n = tile_links(a, other, rows, columns, least, above=b is None and left == top)
             anew += n
             if len(x):
                 np.add.at(links, x, other.copies[y])

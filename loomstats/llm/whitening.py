@@ -48,11 +48,9 @@ def whole_numbers(docs: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     """vec_id and x of the rows that take part."""
     entry = lambda c: F.lit(float(STEP)) * c.cast("double")
     fits = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(entry(c)) <= float(1 << 53)))
-    rows = docs.where(F.col(vector).isNotNull() & fits).select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.transform(vector, lambda c: F.floor(entry(c)).cast("long") + F.lit(ZERO).cast("long")).alias("x"),
-    )
-    rows = rows.where(F.size("x") > 0)
+    x = F.transform(vector, lambda c: F.floor(entry(c)).cast("long") + F.lit(ZERO).cast("long"))
+    # the test stands inside the value, as conditions may be evaluated in any order
+    rows = docs.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fits, x).alias("x")).where(F.size("x") > 0)
     lengths = rows.groupBy(F.size("x").alias("dims")).count()
     common = lengths.agg(F.max(F.struct("count", "dims"))["dims"]).first()[0]
     return rows.where(F.size("x") == F.lit(common or 0))
