@@ -10,7 +10,7 @@ from .. import settings
 from ..operators import events, logstats
 from ..sources import exports
 from ..sources.events import with_row_ids
-from ..streaming import flows
+from ..streaming import compaction, flows
 from .adapters import EPISODE_GAP_MS, RAW_SQL, SPARK, TE_COLUMNS, TE_SQL, _BASE, _project, _split, table, tracked_events
 from .events_catalog import ORACLES as EVENT_ORACLES
 from .logs_catalog import _BY_SESSION, _DAILY, _HOURS, _LL, facts
@@ -19,6 +19,8 @@ from .sessions_catalog import _FLAGS, _WALK
 C = F.col
 # Longer than the span of the data: nothing is late.
 NEVER_LATE = "60 days"
+# The replayed stream: files of five days each, whose rows lie up to twelve hours on either side.
+SLICE_MS, STRAY_MS, LATE = 5 * 86_400_000, 12 * 3_600_000, "6 days"
 
 
 def _scratch(spark, name):
@@ -35,6 +37,26 @@ def event_stream(spark, sf):
     return rows.withColumn("ts", C("ts").cast("timestamp"))
 
 
+def replay(spark, sf, name):
+    """The events as files that arrive one after the other, rows out of order within and between them, and their schema."""
+    folder = _scratch(spark, name)
+    events = tracked_events(spark, sf)
+    first, last, newest = events.agg(F.min("ms"), F.max("ms"), F.max("ts")).first()
+    stray = F.pmod(F.hash("seq"), F.lit(2 * STRAY_MS + 1)) - STRAY_MS
+    at = F.greatest(F.lit(0), F.least(F.floor((C("ms") - first + stray) / SLICE_MS), F.lit((last - first) // SLICE_MS)))
+    for number in range((last - first) // SLICE_MS + 1):
+        events.where(at == number).orderBy(F.xxhash64("seq")).write.mode("append").parquet(f"{folder}/in")
+    return folder, events.schema, newest
+
+
+def _replayed(spark, sf, name, flow):
+    """Run a flow in append mode over the replayed files, one a micro-batch, and close the input behind them."""
+    folder, schema, newest = replay(spark, sf, name)
+    flows.flush(spark, f"{folder}/in", schema, newest, "400 DAYS")
+    stream = flows.file_stream(spark, f"{folder}/in", schema, files=1)
+    return flows.run_available(flow(stream), f"{folder}/out", f"{folder}/checkpoint").drop("batch")
+
+
 def _run(spark, flow, name, mode):
     folder = _scratch(spark, name)
     return flows.run_available(flow, f"{folder}/out", f"{folder}/checkpoint", mode)
@@ -51,9 +73,15 @@ def _velocity(spark, sf):
 
 
 def _sessions(spark, sf):
-    # Session windows have no update mode; complete mode also returns the windows still open at the end of the input.
-    flow = flows.session_windows(event_stream(spark, sf), "6 hours", NEVER_LATE)
-    return flows.latest(_run(spark, flow, "sessions", "complete"), ["session_id", "first_ms"])
+    return _replayed(spark, sf, "sessions", lambda events: flows.session_windows(events, "6 hours", LATE))
+
+
+def _compaction(spark, sf):
+    """Daily rows after all micro-batches, and which days have no raw rows left."""
+    folder, schema, _ = replay(spark, sf, "compaction")
+    stream = flows.file_stream(spark, f"{folder}/in", schema, files=1)
+    compactor = compaction.compact_stream(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return compactor.daily(schema).withColumn("retired", ~C("date").isin(compactor.raw_dates()))
 
 
 def _dedup(spark, sf):
@@ -75,8 +103,7 @@ def _episodes(spark, sf):
     before = spark.conf.get(flows.STATE_STORE, None)
     flows.rocksdb_state(spark)
     try:
-        flow = flows.episodes(event_stream(spark, sf), EPISODE_GAP_MS)
-        return _run(spark, flow, "episodes", "append").drop("batch")
+        return _replayed(spark, sf, "episodes", lambda events: flows.episodes(events, EPISODE_GAP_MS, LATE, 24 * flows.HOUR_MS))
     finally:
         if before is None:
             spark.conf.unset(flows.STATE_STORE)
@@ -131,6 +158,7 @@ QUERIES = {
     "q_stream_daily_rollup": _rollup,
     "q_stream_velocity": _velocity,
     "q_stream_sessions": _sessions,
+    "q_stream_compaction": _compaction,
     "q_stream_dedup": _dedup,
     "q_stream_ingest": _ingest,
     "q_stream_episodes": _episodes,
@@ -198,6 +226,9 @@ ORACLES = {
         "n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY session_id ORDER BY ms, seq) AS no FROM g) "
         "SELECT session_id, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS events FROM n GROUP BY session_id, no"
     ),
+    "q_stream_compaction": (
+        f"SELECT *, date < strftime(max(date::DATE) OVER () - 1, '%Y-%m-%d') AS retired FROM ({EVENT_ORACLES['q_daily_stats']})"
+    ),
     "q_stream_dedup": f"WITH {TE_SQL} SELECT DISTINCT session_id, raw_text FROM te",
     "q_stream_ingest": EVENT_ORACLES["q_daily_stats"],
     "q_stream_episodes": (

@@ -7,7 +7,9 @@ nothing passes through the driver and a restart with the same checkpoint adds no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from ..operators.sessions import EPISODE_GAP_MS
 C = F.col
 DAY = "24 hours"
 TRIGGER = "5 seconds"
+HOUR_MS = 3_600_000
+KEEP_MS = 30 * 24 * HOUR_MS
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,7 +48,10 @@ def typing_windows(events: DataFrame, width: str = "1 minute", late: str = DAY)
 
 
 def session_windows(events: DataFrame, gap: str = "5 minutes", late: str = DAY) -> DataFrame:
-    """Activity windows of each session that end after `gap` without an event."""
+    """Activity windows of each session that end after `gap` without an event.
+
+    In append mode a window is given out, and its state dropped, when the watermark has passed its end.
+    """
     sums = events.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap)).agg(
         F.count(F.lit(1)).alias("events"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
     )
@@ -56,51 +63,145 @@ def dedup(records: DataFrame, keys: list[str], late: str = DAY) -> DataFrame:
     return records.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def number_episodes(state: tuple, rows: dict[str, np.ndarray], gap_ms: int) -> tuple[np.ndarray, tuple]:
+    """Episode numbers of rows in order, and the state after them: number, last_ms, moved, stopped, closed.
+
+    Goes from opening to opening: the next one is the first row that must open one whatever came before it, the first plan
+    after an action, or the first request after a stopped loop.
+    """
+    number, last_ms, moved, stopped, closed = state
+    ms, n = rows["ms"], len(rows["ms"])
+    forced = np.append(closed or ms[0] - last_ms > gap_ms, rows["boundary"][:-1] | (np.diff(ms) > gap_ms))
+    at = {name: np.flatnonzero(rows[name]) for name in ("moves", "plan", "stop", "request")} | {"forced": np.flatnonzero(forced)}
+
+    def first(name: str, least: int) -> int:
+        k = np.searchsorted(at[name], least)
+        return int(at[name][k]) if k < len(at[name]) else n
+
+    openings, here = [], -1
+    while True:
+        seen = [-1 if carried and here < 0 else first(name, max(here, 0)) for name, carried in (("moves", moved), ("stop", stopped))]
+        following = min(first("forced", here + 1), first("plan", seen[0] + 1), first("request", seen[1] + 1))
+        if following >= n:
+            break
+        openings.append(following)
+        here = following
+    numbers = number + np.searchsorted(openings, np.arange(n), "right")
+    since = max(here, 0)
+    moved, stopped = (bool(rows[name][since:].any() or (carried and here < 0)) for name, carried in (("moves", moved), ("stop", stopped)))
+    return numbers, (int(number + len(openings)), int(ms[-1]), moved, stopped, bool(rows["boundary"][-1]))
+
+
+NEW = (0, 0, False, False, True)
+FLAGS = ("moves", "plan", "stop", "request", "boundary")
+
+
 class EpisodeNumbers(StatefulProcessor):
-    """Numbers the episodes of a session as its events arrive. The state is one small row per session."""
+    """Numbers the episodes of a session in the order of its events, whatever the order of their arrival.
 
-    def __init__(self, gap_ms: int = EPISODE_GAP_MS):
-        self.gap_ms = gap_ms
+    Rows wait in buckets of time until the watermark has passed the bucket; then no earlier row can come, and the bucket is
+    ordered, numbered and forgotten. What stays is one small row per session, until the session has been quiet for `keep_ms`;
+    whether its timer has run by then makes no difference to the numbers.
+    A task holds the rows of one bucket of one session at a time.
+    """
+
+    def __init__(self, gap_ms: int = EPISODE_GAP_MS, bucket_ms: int = HOUR_MS, keep_ms: int = KEEP_MS):
+        self.gap_ms, self.bucket_ms, self.keep_ms = gap_ms, bucket_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState(
-            "episode", "number long, last_ms long, moved boolean, stopped boolean, closed boolean"
+            "episode", "number long, last_ms long, moved boolean, stopped boolean, closed boolean, chunks long"
+        )
+        self.waiting = handle.getMapState(
+            "waiting", "bucket long, chunk long", "ms array<long>, seq array<long>, flags array<int>"
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        number, last_ms, moved, stopped, closed = self.state.get() or (0, 0, False, False, True)
-        # One micro-batch of one session; its size is set by the trigger, not by the session.
-        batch = pd.concat(list(rows)).sort_values(["ms", "seq"])
-        numbers = []
-        for row in batch.itertuples(index=False):
-            if closed or row.ms - last_ms > self.gap_ms or (row.plan and moved) or (row.request and stopped):
-                number, moved, stopped = number + 1, False, False
-            moved, stopped, closed, last_ms = moved or row.moves, stopped or row.stop, row.boundary, row.ms
-            numbers.append(number)
-        self.state.update((number, int(last_ms), bool(moved), bool(stopped), bool(closed)))
-        yield pd.DataFrame({"session_id": key[0], "seq": batch["seq"].to_numpy(), "episode_no": numbers})
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *episode, chunks = self.state.get() or (*NEW, 0)
+        for part in rows:
+            flags = sum(part[name].to_numpy(int) << bit for bit, name in enumerate(FLAGS))
+            for bucket, at in part.groupby(part["ms"] // self.bucket_ms).indices.items():
+                held = (part["ms"].to_numpy()[at].tolist(), part["seq"].to_numpy()[at].tolist(), flags[at].tolist())
+                self.waiting.updateValue((int(bucket), chunks), held)
+                self.handle.registerTimer((int(bucket) + 1) * self.bucket_ms)
+                chunks += 1
+        self.state.update((*episode, chunks))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs()
+        chunks = sorted(k for k in self.waiting.keys() if (k[0] + 1) * self.bucket_ms <= passed)
+        *episode, count = self.state.get() or (*NEW, 0)
+        for bucket, group in groupby(chunks, key=lambda k: k[0]):
+            group = list(group)
+            ms, seq, flags = (np.concatenate(c) for c in zip(*(self.waiting.getValue(k) for k in group)))
+            order = np.lexsort((seq, ms))
+            rows = {"ms": ms[order]} | {name: (flags[order] >> bit & 1).astype(bool) for bit, name in enumerate(FLAGS)}
+            quiet = np.diff(rows["ms"], prepend=episode[1] if episode[0] else rows["ms"][0]) > self.keep_ms
+            bounds = [0, *np.flatnonzero(quiet), len(order)]
+            numbers = []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                if quiet[low]:
+                    episode = NEW
+                if high > low:
+                    part, episode = number_episodes(tuple(episode), {k: v[low:high] for k, v in rows.items()}, self.gap_ms)
+                    numbers.append(part)
+            for k in group:
+                self.waiting.removeKey(k)
+            yield pd.DataFrame({"session_id": key[0], "seq": seq[order], "episode_no": np.concatenate(numbers)})
+        if chunks:
+            self.state.update((*episode, count))
+            self.handle.registerTimer(episode[1] + self.keep_ms)
+        elif episode[1] + self.keep_ms <= passed and not any(True for _ in self.waiting.keys()):
+            self.state.clear()
 
     def close(self) -> None:
         pass
 
 
-def episodes(events: DataFrame, gap_ms: int = EPISODE_GAP_MS) -> DataFrame:
-    """Episode number of every actionable event (needs the RocksDB state store, see `STATE_STORE`)."""
+def episodes(
+    events: DataFrame, gap_ms: int = EPISODE_GAP_MS, late: str = DAY, bucket_ms: int = HOUR_MS, keep_ms: int = KEEP_MS
+) -> DataFrame:
+    """Episode number of every actionable event (needs the RocksDB state store, see `STATE_STORE`).
+
+    Events later than `late` behind the newest one are dropped; all others are numbered as if they had come in order, once
+    the watermark has passed them (rows of the batch right after the one that moved the watermark still count). A session that comes back after `keep_ms` without events starts from 1 again.
+    """
     kind, signal = C("signal_type"), ev.is_signal()
-    rows = events.where(ev.is_actionable()).select(
-        "session_id", "ms", "seq",
+    # A condition on `ts` stays above the watermark, which all events move then, not the actionable ones alone.
+    rows = events.withWatermark("ts", late).where(F.when(C("ts").isNotNull(), ev.is_actionable())).select(
+        "ts", "session_id", "ms", "seq",
         (~signal | C("actor").isin("ai", "human")).alias("moves"),
         (signal & (kind == "plan-proposal")).alias("plan"), (signal & (kind == "tool-loop-stop")).alias("stop"),
         (signal & (kind == "chat-request") & (C("actor") == "ai")).alias("request"),
         (signal & (kind == "memory-boundary")).alias("boundary"),
     )
     return rows.groupBy("session_id").transformWithStateInPandas(
-        EpisodeNumbers(gap_ms), "session_id string, seq long, episode_no long", "append", "none"
+        EpisodeNumbers(gap_ms, bucket_ms, keep_ms), "session_id string, seq long, episode_no long", "append", "eventTime"
     )
 
 
+def file_stream(spark: SparkSession, folder: str, schema, files: int | None = None, size: str | None = None) -> DataFrame:
+    """Parquet files of a folder in the order of their arrival; a micro-batch takes at most `files` files or `size` bytes of them."""
+    reader = spark.readStream.schema(schema)
+    for name, limit in (("maxFilesPerTrigger", files), ("maxBytesPerTrigger", size)):
+        reader = reader if limit is None else reader.option(name, limit)
+    return reader.parquet(folder)
+
+
+def flush(spark: SparkSession, folder: str, schema, newest, ahead: str) -> None:
+    """Close a finished input: a row without a session, `ahead` of the newest event, moves the watermark past all others."""
+    ts = F.lit(newest).cast("timestamp") + F.expr(f"INTERVAL {ahead}")
+    row = spark.range(1).select(*[(ts if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    row.coalesce(1).write.mode("append").parquet(folder)
+
+
 def ingest(events: DataFrame, path: str, checkpoint: str, available_now: bool = False):
-    """Append a stream of events to a table partitioned by date, in small batches and exactly once."""
+    """Append a stream of events to a table partitioned by date, in small batches and exactly once.
+
+    A batch starts after TRIGGER, and takes no more than the limits of `file_stream`, so it is cut by time or by size.
+    """
     trigger = {"availableNow": True} if available_now else {"processingTime": TRIGGER}
     return (
         events.writeStream.format("parquet").outputMode("append").partitionBy("date")
