@@ -4,15 +4,18 @@
    size, 64**3, whatever the corpus.
 2. A word that looks disguised (digits or signs among, before, behind or instead of letters, spaced letters, letters twice or
    more in a row; signs that end a sentence aside) becomes a lattice: each
-   character stands for the letters it may replace, for itself, or for nothing, at channel costs (CHANNEL). The Viterbi path
-   under the character model is the restored word. Plain words have one path only, and are taken as they are.
+   character stands for the letters it may replace, for itself, or for nothing, at channel costs (CHANNEL); a letter left out as a
+   repeat is charged the price of an average letter, so paths of different length compare fairly. The Viterbi path
+   under the character model is the restored word. Many tokens are decoded at once as arrays, each different one once.
+   Plain words have one path only, and are taken as they are; so are words with a doubled letter (`letter`) which are not much
+   rarer in the labelled sample than the word their path leads to.
 3. A logistic model over words, learned from at most TRAIN labelled documents (those with the least hashes of their ids,
    none with crc32(id) mod 5 = 0). Candidate words are those clearly more frequent in toxic than in other documents, each
-   group of near copies counted once; at most WORDS, a size of the model.
+   group of near copies counted once.
 4. Every document is scored by the distinct words it has, read or restored; one pass without a shuffle.
 
 Defined cases: null and empty texts have no words and get the score of the intercept; a null doc_id counts as the empty text
-(held out); equal rows score alike; without labels, or without toxic ones, all scores are 0; only doc_id and text, labels'
+(held out); equal rows score alike; without labels, or without toxic ones, all scores are about 1e-13; only doc_id and text, labels'
 doc_id and toxic are looked at.
 """
 
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from loomstats.llm import hashing
 from loomstats.llm.common import stored
 
-TRAIN = 20_000  # labelled documents learned from at most
-WORDS = 5_000  # words of the model at most
+TRAIN = 20_000  # labelled documents learned from at most; this bounds the words of the model, too
+RARE = 10  # a doubled letter is a repeat if the other spelling is this many times as frequent
 CODES = 64
 OTHER = 63  # letters beyond Latin-1
 FOLDS = 5
@@ -119,98 +122,195 @@ def _code(char: str) -> int:
     return int(_codes()[point]) if point < 0x180 else OTHER
 
 
+@lru_cache(100_000)
+def choices(char: str, repeated: bool) -> list[tuple[str, float, float]]:
+    """What a character may stand for: text, its channel cost, and how many letters' price it goes without.
+
+    A letter that is dropped as a repeat is charged the price of an average letter (`average_price`), so that a path does not win
+    by having fewer letters.
+    """
+    out: list[tuple[str, float, float]] = []
+    if PLAIN.fullmatch(char):
+        out.append((char, 0.0, 0))
+        if repeated:
+            out.append(("", CHANNEL["repeat"], 1))
+    elif char in LEET:
+        out += [(letter, CHANNEL["leet"], 0) for letter in LEET[char]]
+        if repeated:
+            out.append(("", CHANNEL["repeat"], 1))
+        out.append((" ", CHANNEL["drop"] * 8, 0))
+    elif char in SEPARATORS:
+        out.append(("", CHANNEL["drop"], 0))
+        if char == "*":
+            out += [(chr(c), CHANNEL["mask"], 0) for c in range(97, 123)]
+        elif char != " ":
+            out.append((" ", CHANNEL["drop"] * 8, 0))
+    else:
+        out.append((" ", 0.0, 0))
+    return out
+
+
+def average_price(model: np.ndarray) -> float:
+    """Mean cost of a letter where all pairs of Latin letters before it are equally likely, a little above that of running text."""
+    latin = model[1:27, 1:27, 1:27].astype(float)
+    share = np.exp(latin)
+    return float((share * latin).sum() / share.sum())
+
+
+def restore_all(tokens: list[str], model: np.ndarray) -> list[str]:
+    """The likeliest word or words behind each disguised one: Viterbi over their lattices, character by character for all at once.
+
+    A row is a token and a state, the last two letters; of rows with one token and state the cheapest stays.
+    """
+    tokens = [t.lower() for t in tokens]
+    price = average_price(model)
+    kinds: dict[tuple[str, bool], int] = {}
+    sizes = np.array([len(t) for t in tokens])
+    table = np.zeros((len(tokens), int(sizes.max(initial=0))), np.int32)
+    for row, token in enumerate(tokens):
+        last = ""
+        for k, char in enumerate(token):
+            table[row, k] = kinds.setdefault((char, char == last), len(kinds))
+            last = char
+    options = [choices(*kind) for kind in kinds]
+    number = np.array([len(o) for o in options], np.int64)
+    first = np.cumsum(number) - number
+    texts = [text for o in options for text, _, _ in o]
+    codes = np.array([-1 if not t else 0 if t == " " else _code(t) for t in texts], np.int64)
+    costs = np.array([cost + letters * price for o in options for _, cost, letters in o])
+
+    token, state, cost = np.arange(len(tokens)), np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    ends: list[tuple[int, int]] = [(0, 0)] * len(tokens)
+    for at in range(table.shape[1] + 1):
+        done = np.flatnonzero(sizes[token] == at)
+        if len(done):
+            total = cost[done] + model[state[done] // CODES, state[done] % CODES, 0]
+            order = np.lexsort((-total, token[done]))
+            best = order[np.unique(token[done][order], return_index=True)[1]]
+            for row in done[best].tolist():
+                ends[token[row]] = (at, row)
+        going = np.flatnonzero(sizes[token] > at)
+        if not len(going):
+            break
+        kind = table[token[going], at]
+        many = number[kind]
+        source = np.repeat(going, many)
+        option = np.arange(len(source)) + np.repeat(first[kind] - (np.cumsum(many) - many), many)
+        code, value, before = codes[option], cost[source] + costs[option], state[source]
+        says = code >= 0
+        value[says] += model[before[says] // CODES, before[says] % CODES, code[says]]
+        after = np.where(says, before % CODES * CODES + code, before)
+        key = token[source] * CODES**2 + after
+        order = np.lexsort((-value, key))
+        best = order[np.append(True, key[order][1:] != key[order][:-1])]
+        steps.append((source[best], option[best]))
+        token, state, cost = token[source[best]], after[best], value[best]
+    out = []
+    for at, row in ends:
+        letters = []
+        while at:
+            at -= 1
+            source, option = steps[at]
+            letters.append(texts[option[row]])
+            row = source[row]
+        out.append("".join(reversed(letters)))
+    return out
+
+
 def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest word or words behind a disguised one: Viterbi over its lattice; states are the last two letters."""
-    token = token.lower()
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for k, char in enumerate(token):
-        choices: list[tuple[str, float]] = []
-        if PLAIN.fullmatch(char):
-            choices.append((char, 0.0))
-            if k and token[k - 1] == char:
-                choices.append(("", CHANNEL["repeat"]))
-        elif char in LEET:
-            choices += [(letter, CHANNEL["leet"]) for letter in LEET[char]]
-            if k and token[k - 1] == char:
-                choices.append(("", CHANNEL["repeat"]))
-            choices.append((" ", CHANNEL["drop"] * 8))
-        elif char in SEPARATORS:
-            choices.append(("", CHANNEL["drop"]))
-            if char == "*":
-                choices += [(chr(c), CHANNEL["mask"]) for c in range(97, 123)]
-            elif char != " ":
-                choices.append((" ", CHANNEL["drop"] * 8))
-        else:
-            choices.append((" ", 0.0))
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in paths.items():
-            for letter, price in choices:
-                if letter:
-                    c = 0 if letter == " " else _code(letter)
-                    state, value = (b, c), cost + price + float(model[a, b, c])
-                else:
-                    state, value = (a, b), cost + price
-                if state not in reached or value > reached[state][0]:
-                    reached[state] = (value, text + letter)
-        paths = reached
-    return max((cost + float(model[a, b, 0]), text) for (a, b), (cost, text) in paths.items())[1]
-
-
-SEEN = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("cluster", pa.int64()), ("word", pa.string())])
+    return restore_all([token], model)[0]
+
+
+SEEN = pa.schema(
+    [("key", pa.int64()), ("toxic", pa.int32()), ("cluster", pa.int64()), ("word", pa.string()), ("doubled", pa.string())]
+)
+CHUNK = 4096  # tokens decoded at once
+KNOWN = 200_000  # decoded tokens a worker keeps
 
 
 class Reader:
-    """The distinct words of texts, read or restored."""
+    """The distinct words of texts, read or restored; each different token of the texts is decoded once."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model
-        self.restored = lru_cache(100_000)(lambda token: tuple(PLAIN.findall(restore(token, model))))
-        self.behind = lru_cache(100_000)(self._behind)
+    def __init__(self, model: np.ndarray, own: frozenset[str] = frozenset()):
+        """`own`: plain words with a doubled letter that are words as they stand."""
+        self.model, self.own = model, own
+        self.restored: dict[str, tuple[str, ...]] = {}
+        self.core = lru_cache(KNOWN)(self._core)
 
-    def _behind(self, token: str) -> tuple[str, ...]:
-        """The words behind what stands between spaces; none for one read as it is."""
+    def _core(self, token: str) -> str:
+        """What is to be decoded of a token between spaces; empty for one read as it is."""
         word = core(token)
-        return self.restored(word) if disguised(word) else ()
+        return word if disguised(word) and word not in self.own else ""
+
+    def _decode(self, tokens: set[str]) -> None:
+        if len(self.restored) > KNOWN:
+            self.restored.clear()
+        new = sorted(tokens - self.restored.keys(), key=lambda t: (len(t), t))
+        for at in range(0, len(new), CHUNK):
+            part = new[at : at + CHUNK]
+            self.restored.update((t, tuple(PLAIN.findall(r))) for t, r in zip(part, restore_all(part, self.model)))
+
+    def read(self, texts: list[str | None]) -> Iterator[tuple[set[str], dict[str, tuple[str, ...]]]]:
+        """Per text its plain words, and what the disguised tokens in it hide."""
+        plain, hidden = [], []
+        for text in texts:
+            text = (text or "").lower()
+            plain.append(set(PLAIN.findall(text)))
+            found = {word for word in map(self.core, set(text.split())) if word}
+            if ENDS_SPACED.search(text):
+                found.update(m[0] for m in SPACED.finditer(text))
+            hidden.append(found)
+        self._decode(set().union(*hidden))
+        for words, tokens in zip(plain, hidden):
+            yield words, {token: self.restored[token] for token in tokens}
 
     def words(self, text: str | None) -> set[str]:
-        text = (text or "").lower()
-        found = set(PLAIN.findall(text))
-        for token in set(text.split()):
-            if more := self.behind(token):
-                found.update(more)
-        if ENDS_SPACED.search(text):
-            for m in SPACED.finditer(text):
-                found.update(self.restored(m[0]))
-        return found
+        """All words of a text."""
+        for plain, hidden in self.read([text]):
+            return plain.union(*hidden.values())
 
 
 _reader_of: list = []
 
 
-def _reader(letters) -> Reader:
+def _reader(letters, own: frozenset[str] = frozenset()) -> Reader:
     """One per worker process and broadcast model."""
     model = letters.value
-    if not _reader_of or _reader_of[0].model is not model:
-        _reader_of[:] = [Reader(model)]
+    if not _reader_of or _reader_of[0].model is not model or _reader_of[0].own != own:
+        _reader_of[:] = [Reader(model, own)]
     return _reader_of[0]
 
 
 def _training_words(batches: Iterator[pa.RecordBatch], letters) -> Iterator[pa.RecordBatch]:
-    """(row, toxic, cluster, word): near copies mostly share the least hash of their word triples."""
+    """(row, toxic, cluster, word, doubled): near copies mostly share the least hash of their word triples.
+
+    `doubled` is the plain word with a doubled letter behind which `word` was found; null for words that stand in the text.
+    """
     reader = _reader(letters)
     for batch in batches:
         keys, toxic, texts = batch["key"].to_pylist(), batch["toxic"].to_pylist(), batch["text"].to_pylist()
         rows: list[tuple] = []
         sets = hashing.shingle_sets(batch["text"], 3)
-        for key, label, text, shingles in zip(keys, toxic, texts, sets):
+        for key, label, (plain, hidden), shingles in zip(keys, toxic, reader.read(texts), sets):
             cluster = int(shingles[0].view(np.int64)) if len(shingles) else 0
-            rows += [(key, label, cluster, word) for word in reader.words(text)]
+            rows += [(key, label, cluster, word, None) for word in plain]
+            for token, words in hidden.items():
+                doubled = token if token in plain else None
+                rows += [(key, label, cluster, word, doubled) for word in words if word not in plain]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SEEN)], schema=SEEN)
 
 
-def fit(docs: DataFrame, labels: DataFrame, letters) -> tuple[dict[str, float], float]:
-    """Weights of words, and the intercept."""
+def own_words(words: DataFrame) -> DataFrame:
+    """(word, doubled) where the doubled spelling is no rarer than 1 / RARE of the other, so that it is a word of its own."""
+    pairs = words.where("doubled is not null").groupBy("word", "doubled").agg(F.countDistinct("key").alias("n"))
+    plain = words.where("doubled is null").groupBy(F.col("word").alias("p")).agg(F.countDistinct("key").alias("of"))
+    return pairs.join(plain, F.col("word") == F.col("p"), "left").where(RARE * F.col("n") > F.coalesce("of", F.lit(0))).select("word", "doubled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, letters) -> tuple[dict[str, float], float, frozenset[str]]:
+    """Weights of words, the intercept, and the words with a doubled letter that stand for themselves."""
     sample = (
         labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("key"))
@@ -220,27 +320,30 @@ def fit(docs: DataFrame, labels: DataFrame, letters) -> tuple[dict[str, float],
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
     words = stored(
         rows.select("key", "toxic", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-            partial(_training_words, letters=letters), "key long, toxic int, cluster long, word string"
+            partial(_training_words, letters=letters), "key long, toxic int, cluster long, word string, doubled string"
         ),
         "words",
     )
+    own = stored(own_words(words), "own")
+    words = words.join(own, ["word", "doubled"], "left_anti")
     docs_of = words.groupBy("key").agg(F.max("toxic").alias("toxic")).toArrow()
     keys, toxic = docs_of["key"].to_numpy(), docs_of["toxic"].to_numpy().astype(np.float64)
     order = np.argsort(keys)
     keys, toxic = keys[order], toxic[order]
     n_bad, n_good = float(toxic.sum()), float(len(toxic) - toxic.sum())
     if not n_bad or not n_good:
-        return {}, -30.0
+        return {}, -30.0, frozenset()
     once = words.select("word", "cluster", "toxic").distinct()
     counts = once.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     rate, expected = F.col("bad") / n_bad - F.col("good") / n_good, (F.col("bad") + F.col("good")) / (n_bad + n_good)
     z = rate / F.sqrt(expected * (1 / n_bad + 1 / n_good))
-    chosen = counts.where((F.col("bad") >= 4) & (z > 4)).orderBy(z.desc(), "word").limit(WORDS).select("word")
+    chosen = counts.where((F.col("bad") >= 4) & (z > 4)).select("word")
+    kept = frozenset(own.join(chosen, "word").select("doubled").distinct().toArrow()["doubled"].to_pylist())
     pairs = words.join(F.broadcast(chosen), "word").select("key", "word").distinct().toArrow()
     names, column = np.unique(np.array(pairs["word"].to_pylist(), object).astype(str), return_inverse=True)
     row = np.searchsorted(keys, pairs["key"].to_numpy())
     weights, bias = _logistic(row, column, toxic, len(names))
-    return {str(n): float(w) for n, w in zip(names, weights)}, bias
+    return {str(n): float(w) for n, w in zip(names, weights)}, bias, kept
 
 
 def _logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, width: int, rounds: int = 3000) -> tuple[np.ndarray, float]:
@@ -261,12 +364,14 @@ def _logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, width: int, ro
     return w, float(bias)
 
 
-def _score(batches: Iterator[pa.RecordBatch], letters, weights: dict[str, float], bias: float) -> Iterator[pa.RecordBatch]:
-    reader = _reader(letters)
+def _score(
+    batches: Iterator[pa.RecordBatch], letters, weights: dict[str, float], bias: float, own: frozenset[str]
+) -> Iterator[pa.RecordBatch]:
+    reader = _reader(letters, own)
     for batch in batches:
         scores = []
-        for text in batch["text"]:
-            margin = bias + math.fsum(weights[w] for w in reader.words(text.as_py()) & weights.keys())
+        for plain, hidden in reader.read(batch["text"].to_pylist()):
+            margin = bias + math.fsum(weights[w] for w in plain.union(*hidden.values()) & weights.keys())
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, margin)))))
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -276,8 +381,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     letters = spark.sparkContext.broadcast(letter_model(rows))  # 64**3 numbers
-    weights, bias = fit(rows, labels, letters)
-    scored = rows.mapInArrow(partial(_score, letters=letters, weights=weights, bias=bias), "doc_id long, score double")
+    weights, bias, own = fit(rows, labels, letters)
+    scored = rows.mapInArrow(partial(_score, letters=letters, weights=weights, bias=bias, own=own), "doc_id long, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
