@@ -105,6 +105,14 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
     return mix(total + np.uint64(len(parts) * int(_ROLES[15]) % (1 << 64)))
 
 
+def stretches(tokens: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Hashes of the `span` tokens from each place of `at` on: differences of prefix sums, weighted by powers, like those of words."""
+    power, inverse = _tables(len(tokens) + 1)
+    sums = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(mix(tokens) * power[: len(tokens)], out=sums[1:])
+    return mix((sums[at + span] - sums[at]) * inverse[at])
+
+
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of each text in turn; fewer words than `width` make one shingle, none make none."""
     for _, hashes, bounds in words(texts, NOT_SPACE):

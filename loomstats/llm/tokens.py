@@ -31,13 +31,15 @@ from loomstats.llm.common import scratch, spread, stored
 
 MAGIC = b"LTOK1\n"
 END_ID = 2
+FILE_IDS = 1 << 26  # ids after which a file ends, at the next document
 SEGMENT = 1 << 21  # ids after which a segment ends at the next document
 MEMO = 600_000  # words after which a worker forgets, at the next text
 DOC = struct.Struct("<qBQ")
 MANIFEST = (
     "part int, segment int, uri string, table_size long, offset long, length long, documents long, tokens long"
 )
-READ = "part int, segment int, place long, doc_id long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+HEAD_CHARS = 64  # of a text, by which rows of one id are dealt to tasks
 
 
 class Words(dict):
@@ -163,7 +165,7 @@ def words_of(path: str) -> Words:
 
 
 def _write_part(
-    batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int
+    batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, file_ids: int
 ) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -171,15 +173,25 @@ def _write_part(
     ends = np.array([end_id], np.uint32)
     docs: list[tuple[int | None, int]] = []
     chunks: list[np.ndarray] = []
+    held, segments = 0, 0
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         for doc_id, text in zip(ids, texts):
             coded = words.encode(text.as_py() or "")
-            # ids below 2**16 take half the memory until the part is written
+            # ids below 2**16 take half the memory until the file is written
             chunks.append(np.concatenate([coded, ends]).astype(np.uint16 if coded.max(initial=0) < 1 << 16 else np.uint32))
             docs.append((doc_id, len(coded) + 1))
-    if not docs:
-        return
+            held += len(coded) + 1
+            if held >= file_ids:
+                rows = _write_file(folder, part, segments, docs, chunks, end_id)
+                docs, chunks, held, segments = [], [], 0, segments + len(rows)
+                yield _batch(rows, MANIFEST_ARROW)
+    if docs:
+        yield _batch(_write_file(folder, part, segments, docs, chunks, end_id), MANIFEST_ARROW)
+
+
+def _write_file(folder: str, part: int, segments: int, docs: list, chunks: list[np.ndarray], end_id: int) -> list[tuple]:
+    """A file with a frequency table of its own; its segments' rows of the manifest, numbered from `segments` on."""
     counts = np.zeros(end_id + 1, np.int64)
     for chunk in chunks:
         seen = np.bincount(chunk)
@@ -209,9 +221,9 @@ def _write_part(
                 data = rans.encode(block, coder)
                 stream.write(data)
                 length += len(data)
-            rows.append((part, len(rows), uri, len(head), offset, length, last - first, size))
+            rows.append((part, segments + len(rows), uri, len(head), offset, length, last - first, size))
             offset, first = offset + length, last
-    yield _batch(rows, MANIFEST_ARROW)
+    return rows
 
 
 def _blocks(chunks: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -234,10 +246,7 @@ MANIFEST_ARROW = pa.schema(
     [("part", pa.int32()), ("segment", pa.int32()), ("uri", pa.string())]
     + [(n, pa.int64()) for n in ("table_size", "offset", "length", "documents", "tokens")]
 )
-READ_ARROW = pa.schema(
-    [("part", pa.int32()), ("segment", pa.int32())]
-    + [(n, pa.int64()) for n in ("place", "doc_id", "n_tokens", "ids_crc32")]
-)
+READ_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -246,15 +255,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """Write all documents; returns the stored manifest. `vocabulary` is a tokenizers file on every machine."""
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+    """Write all documents; returns the stored manifest. `vocabulary` is a tokenizers file on every machine.
+
+    A task holds `file_ids` ids, and those of one document more, whatever the size of its partition.
+    """
     folder = scratch(docs.sparkSession, "tokens")
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, HEAD_CHARS).asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
-    return stored(ordered.mapInArrow(partial(_write_part, folder=folder, path=vocabulary, end_id=end_id), MANIFEST), "manifest")
+    return stored(ordered.mapInArrow(partial(_write_part, folder=folder, path=vocabulary, end_id=end_id, file_ids=file_ids), MANIFEST), "manifest")
 
 
 def decode_segment(uri: str, table_size: int, offset: int, length: int) -> Iterator[tuple[int | None, int, Iterator]]:
@@ -288,11 +300,13 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for row in batch.to_pylist():
             out = []
             segment = decode_segment(row["uri"], row["table_size"], row["offset"], row["length"])
-            for place, (doc_id, size, parts) in enumerate(segment):
+            start = row["start"]
+            for doc_id, size, parts in segment:
                 check = 0
                 for ids in parts:
                     check = zlib.crc32(ids.astype("<u4").tobytes(), check)
-                out.append((row["part"], row["segment"], place, doc_id, size, check))
+                out.append((doc_id, start, size, check))
+                start += size
             if out:
                 yield _batch(out, READ_ARROW)
 
@@ -300,14 +314,12 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32. Segments are decoded in parallel.
 
-    `start` is carried over the manifest, one row per two million ids or more, and added up within a segment.
+    The start of a segment is summed up over the manifest, which has a row per two million ids or more, and handed to the task that
+    reads the segment; no table of documents is joined or ordered.
     """
     before = W.orderBy("part", "segment").rowsBetween(W.unboundedPreceding, -1)
-    starts = manifest.select("part", "segment", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("_start"))
-    read = spread(manifest).mapInArrow(_read_segments, READ).join(starts, ["part", "segment"])
-    earlier = W.partitionBy("part", "segment").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("_start") + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))
-    return read.select("doc_id", start.cast("long").alias("start"), "n_tokens", "ids_crc32")
+    segments = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    return spread(segments).mapInArrow(_read_segments, READ)
 
 
 def token_file(name: str = "word_bpe_49k.json") -> str:
