@@ -1,10 +1,10 @@
 """Secret scans with multipart credential linking.
 
 Base rules find assignments, access identifiers and long hexadecimal strings. The method adds weak candidates - user or client
-names, tokens of mixed characters, endpoints - which say little alone: a scope is the text between two blank lines, and in a
-scope the parts' intervals, widened by REACH, are joined by a sweep over their sorted begins. A name is reported if a secret
-is in reach, a token if an access identifier or a name is, an endpoint if both are. A text is scanned whole, by itself, over
-its UTF-8 bytes; nothing is shuffled, and the sweep looks up neighbours only, so many parts in one text cost their sorting.
+names, tokens of mixed characters, endpoints - which say little alone: a scope is the text between two blank lines, and the
+parts' intervals are joined with the scopes' intervals, however far apart the parts stand in one. A name is reported if there is
+a secret in its scope, a token if there is an access identifier or a name, an endpoint if there are both. A text is scanned
+whole, by itself, over its UTF-8 bytes; nothing is shuffled, and parts are counted by scope, so many parts in one text cost their sorting.
 
 Defined cases: null text is empty and has no spans; equal rows get equal results; a span that overlaps a base span is not
 added; only doc_id and text are looked at.
@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex", "linked_name", "linked_secret", "linked_endpoint")
-REACH = 300  # bytes between linked parts at most
 ENTROPY = 3.2  # bits per character of a token at least
 
 # Fixed values of the contract, over text whose A-Z are lower case (assign) or as it is.
@@ -77,21 +76,16 @@ class Parts:
         self.spans = sorted(spans)
         self.starts = [s for s, _ in self.spans]
         self.breaks = breaks
+        self.own = set(self.spans)
+        self.in_scope = Counter(bisect_right(breaks, start) for start in self.starts)
 
     def near(self, start: int, end: int) -> bool:
-        """Is a part (other than this interval) within REACH in the same scope? The neighbours before and after decide,
-        as spans of one role do not overlap."""
-        at = bisect_left(self.starts, start)
-        for k in (at - 1, at, at + 1):
-            if 0 <= k < len(self.spans) and self.spans[k] != (start, end):
-                a, b = self.spans[k]
-                if a <= end + REACH and b >= start - REACH and bisect_right(self.breaks, a) == bisect_right(self.breaks, start):
-                    return True
-        return False
+        """Is there a part, other than this interval, in the scope of the interval?"""
+        return self.in_scope[bisect_right(self.breaks, start)] > ((start, end) in self.own)
 
 
 def linked_spans(data: bytes, base: list[Span]) -> list[Span]:
-    """Weak candidates whose complementary parts are in reach."""
+    """Weak candidates whose complementary parts are in their scope."""
     low = data.lower()
     names = [m.span() for m in NAME.finditer(low)] if any(word in low for word in NAME_WORDS) else []
     identifiers = [(s, e) for s, k, e in base if k == 1] + names
