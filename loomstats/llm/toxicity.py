@@ -7,8 +7,8 @@
    character stands for the letters it may replace, for itself, or for nothing, at channel costs (CHANNEL); a letter left out as a
    repeat is charged the price of an average letter, so paths of different length compare fairly. The Viterbi path
    under the character model is the restored word. Many tokens are decoded at once as arrays, each different one once.
-   Plain words have one path only, and are taken as they are; so are words with a doubled letter (`letter`) which are not much
-   rarer in the labelled sample than the word their path leads to.
+   Plain words have one path only, and are taken as they are. A doubled letter among plain ones (`stuupid`) is a repeat only if the
+   word without it is one of the model's, and RARE times as frequent in the labelled sample as the one that stands there.
 3. A logistic model over words, learned from at most TRAIN labelled documents (those with the least hashes of their ids,
    none with crc32(id) mod 5 = 0). Candidate words are those clearly more frequent in toxic than in other documents, each
    group of near copies counted once.
@@ -25,6 +25,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ BEFORE = re.compile(r"[@$!|+(€£\d][^\W\d_]")
 SIGN = re.compile(r"[0-9@$|+(€£*]|!(?=[^!])")  # wherever it stands
 HELD = re.compile(r"[^\W_]|[@$!|+(€£]")
 TWICE = re.compile(r"([^\W\d_])\1")
+THRICE = re.compile(r"([^\W\d_])\1\1")
 STOPS = ".,;:!?'\"-)]}…"  # behind a word
 OPENINGS = "'\"[{"
 SPACED = re.compile(r"(?<![^\W_])(?:[\w@$!|+][ .\-_*~]{1,2}){2,}[\w@$!|+](?![^\W_])")  # letters or signs one by one
@@ -72,6 +74,17 @@ def disguised(word: str) -> bool:
     return len(word) > 1 and bool(SIGN.search(word) and HELD.search(word))
 
 
+def shortened(word: str) -> list[str]:
+    """A word with one letter of some or all of its doubled letters left out; of more than four doubled ones each alone, or all."""
+    places = [m.start() for m in TWICE.finditer(word)]
+    some = range(1, len(places) + 1) if len(places) <= 4 else (1, len(places))
+    out = []
+    for size in some:
+        for left in combinations(places, size):
+            out.append("".join(c for k, c in enumerate(word) if k not in left))
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
@@ -151,24 +164,61 @@ def choices(char: str, repeated: bool) -> list[tuple[str, float, float]]:
 
 
 def average_price(model: np.ndarray) -> float:
-    """Mean cost of a letter where all pairs of Latin letters before it are equally likely, a little above that of running text."""
-    latin = model[1:27, 1:27, 1:27].astype(float)
-    share = np.exp(latin)
-    return float((share * latin).sum() / share.sum())
+    """Mean cost of a letter in text that the model itself would write: letters after pairs, weighted by how often pairs come up."""
+    step = np.exp(model.astype(float))
+    pairs = np.full((CODES, CODES), 1 / CODES**2)
+    for _ in range(30):
+        pairs = np.einsum("ab,abc->bc", pairs, step)
+    weight = pairs[:, :, None] * step
+    weight[:, :, 0] = 0
+    return float((weight * model).sum() / weight.sum())
 
 
-def restore_all(tokens: list[str], model: np.ndarray) -> list[str]:
-    """The likeliest word or words behind each disguised one: Viterbi over their lattices, character by character for all at once.
+def stretches(token: str) -> Iterator[tuple[str, str]]:
+    """A token cut behind every two letters that can only be themselves: the two letters before a stretch, and the stretch.
 
-    A row is a token and a state, the last two letters; of rows with one token and state the cheapest stays.
+    The state there is known, so each stretch is decoded by itself, and one that comes behind the same letters in many tokens once.
+    """
+    start, last, sure = 0, "", False
+    for k, char in enumerate(token):
+        now = char != last and PLAIN.fullmatch(char) is not None
+        if now and sure:
+            yield token[max(0, start - 2) : start], token[start : k + 1]
+            start = k + 1
+        last, sure = char, now
+    if start < len(token):
+        yield token[max(0, start - 2) : start], token[start:]
+
+
+def restore_all(tokens: list[str], model: np.ndarray, known: dict | None = None) -> list[str]:
+    """The likeliest word or words behind each disguised one. `known` holds stretches from call to call."""
+    known = {} if known is None else known
+    cut = [list(stretches(t.lower())) for t in tokens]
+    new = sorted({s for part in cut for s in part} - known.keys(), key=lambda s: ("*" in s[1], len(s[1]), s))
+    price, part, weight = average_price(model) if new else 0.0, [], 0
+    for stretch in new:
+        # a mask leaves 26 letters in either place of a state, and 27 choices for the next
+        weight += (18_000 if "*" in stretch[1] else 64) * len(stretch[1])
+        part.append(stretch)
+        if weight > CHUNK:
+            known.update(zip(part, _decode(part, model, price)))
+            part, weight = [], 0
+    if part:
+        known.update(zip(part, _decode(part, model, price)))
+    return ["".join(known[s] for s in part) for part in cut]
+
+
+def _decode(parts: list[tuple[str, str]], model: np.ndarray, price: float) -> list[str]:
+    """Viterbi over the lattices of stretches, character by character for all at once.
+
+    A row is a stretch and a state, the last two letters; of rows with one stretch and state the cheapest stays.
     """
-    tokens = [t.lower() for t in tokens]
-    price = average_price(model)
+    tokens, before = [t for _, t in parts], [b for b, _ in parts]
     kinds: dict[tuple[str, bool], int] = {}
     sizes = np.array([len(t) for t in tokens])
     table = np.zeros((len(tokens), int(sizes.max(initial=0))), np.int32)
     for row, token in enumerate(tokens):
-        last = ""
+        last = before[row][-1:]
         for k, char in enumerate(token):
             table[row, k] = kinds.setdefault((char, char == last), len(kinds))
             last = char
@@ -179,7 +229,8 @@ def restore_all(tokens: list[str], model: np.ndarray) -> list[str]:
     codes = np.array([-1 if not t else 0 if t == " " else _code(t) for t in texts], np.int64)
     costs = np.array([cost + letters * price for o in options for _, cost, letters in o])
 
-    token, state, cost = np.arange(len(tokens)), np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+    token, cost = np.arange(len(tokens)), np.zeros(len(tokens))
+    state = np.array([_code(b[0]) * CODES + _code(b[1]) if b else 0 for b in before], np.int64)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     ends: list[tuple[int, int]] = [(0, 0)] * len(tokens)
     for at in range(table.shape[1] + 1):
@@ -197,10 +248,10 @@ def restore_all(tokens: list[str], model: np.ndarray) -> list[str]:
         many = number[kind]
         source = np.repeat(going, many)
         option = np.arange(len(source)) + np.repeat(first[kind] - (np.cumsum(many) - many), many)
-        code, value, before = codes[option], cost[source] + costs[option], state[source]
+        code, value, origin = codes[option], cost[source] + costs[option], state[source]
         says = code >= 0
-        value[says] += model[before[says] // CODES, before[says] % CODES, code[says]]
-        after = np.where(says, before % CODES * CODES + code, before)
+        value[says] += model[origin[says] // CODES, origin[says] % CODES, code[says]]
+        after = np.where(says, origin % CODES * CODES + code, origin)
         key = token[source] * CODES**2 + after
         order = np.lexsort((-value, key))
         best = order[np.append(True, key[order][1:] != key[order][:-1])]
@@ -222,48 +273,57 @@ def restore(token: str, model: np.ndarray) -> str:
     return restore_all([token], model)[0]
 
 
-SEEN = pa.schema(
-    [("key", pa.int64()), ("toxic", pa.int32()), ("cluster", pa.int64()), ("word", pa.string()), ("doubled", pa.string())]
-)
-CHUNK = 4096  # tokens decoded at once
+SEEN = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("cluster", pa.int64()), ("word", pa.string())])
+CHUNK = 1 << 23  # readings the decoder looks at in one go, at most (those of one stretch aside)
+TEXTS = 512  # texts read at once
 KNOWN = 200_000  # decoded tokens a worker keeps
 
 
 class Reader:
     """The distinct words of texts, read or restored; each different token of the texts is decoded once."""
 
-    def __init__(self, model: np.ndarray, own: frozenset[str] = frozenset()):
-        """`own`: plain words with a doubled letter that are words as they stand."""
-        self.model, self.own = model, own
+    def __init__(self, model: np.ndarray, repeats: dict[str, frozenset[str]] | None = None):
+        """`repeats`: words behind which a doubled letter may be a repeat, and for each the spellings that are words as they
+        stand; without it, all words with a doubled letter are decoded like other disguised ones."""
+        self.model, self.repeats = model, repeats
         self.restored: dict[str, tuple[str, ...]] = {}
+        self.known: dict[tuple[str, str], str] = {}
         self.core = lru_cache(KNOWN)(self._core)
 
     def _core(self, token: str) -> str:
         """What is to be decoded of a token between spaces; empty for one read as it is."""
         word = core(token)
-        return word if disguised(word) and word not in self.own else ""
+        if self.repeats is not None and PLAIN.fullmatch(word) and not THRICE.search(word):
+            if TWICE.search(word):
+                forms = [f for f in shortened(word) if f in self.repeats and word not in self.repeats[f]]
+                if forms:
+                    self.restored[word] = tuple(forms)
+                    return word
+            return ""
+        return word if disguised(word) else ""
 
     def _decode(self, tokens: set[str]) -> None:
-        if len(self.restored) > KNOWN:
-            self.restored.clear()
-        new = sorted(tokens - self.restored.keys(), key=lambda t: (len(t), t))
-        for at in range(0, len(new), CHUNK):
-            part = new[at : at + CHUNK]
-            self.restored.update((t, tuple(PLAIN.findall(r))) for t, r in zip(part, restore_all(part, self.model)))
+        new = sorted(tokens - self.restored.keys())
+        self.restored.update((t, tuple(PLAIN.findall(r))) for t, r in zip(new, restore_all(new, self.model, self.known)))
 
     def read(self, texts: list[str | None]) -> Iterator[tuple[set[str], dict[str, tuple[str, ...]]]]:
         """Per text its plain words, and what the disguised tokens in it hide."""
-        plain, hidden = [], []
-        for text in texts:
-            text = (text or "").lower()
-            plain.append(set(PLAIN.findall(text)))
-            found = {word for word in map(self.core, set(text.split())) if word}
-            if ENDS_SPACED.search(text):
-                found.update(m[0] for m in SPACED.finditer(text))
-            hidden.append(found)
-        self._decode(set().union(*hidden))
-        for words, tokens in zip(plain, hidden):
-            yield words, {token: self.restored[token] for token in tokens}
+        for at in range(0, len(texts), TEXTS):
+            if len(self.restored) > KNOWN:
+                self.restored.clear()
+                self.known.clear()
+                self.core.cache_clear()
+            plain, hidden = [], []
+            for text in texts[at : at + TEXTS]:
+                text = (text or "").lower()
+                plain.append(set(PLAIN.findall(text)))
+                found = {word for word in map(self.core, set(text.split())) if word}
+                if ENDS_SPACED.search(text):
+                    found.update(m[0] for m in SPACED.finditer(text))
+                hidden.append(found)
+            self._decode(set().union(*hidden))
+            for words, tokens in zip(plain, hidden):
+                yield words, {token: self.restored[token] for token in tokens}
 
     def words(self, text: str | None) -> set[str]:
         """All words of a text."""
@@ -274,43 +334,53 @@ class Reader:
 _reader_of: list = []
 
 
-def _reader(letters, own: frozenset[str] = frozenset()) -> Reader:
-    """One per worker process and broadcast model."""
+def _reader(letters, repeats: dict[str, frozenset[str]]) -> Reader:
+    """One per worker process and model."""
     model = letters.value
-    if not _reader_of or _reader_of[0].model is not model or _reader_of[0].own != own:
-        _reader_of[:] = [Reader(model, own)]
+    if not _reader_of or _reader_of[0].model is not model or _reader_of[0].repeats != repeats:
+        _reader_of[:] = [Reader(model, repeats)]
     return _reader_of[0]
 
 
 def _training_words(batches: Iterator[pa.RecordBatch], letters) -> Iterator[pa.RecordBatch]:
-    """(row, toxic, cluster, word, doubled): near copies mostly share the least hash of their word triples.
-
-    `doubled` is the plain word with a doubled letter behind which `word` was found; null for words that stand in the text.
-    """
-    reader = _reader(letters)
+    """(row, toxic, cluster, word): near copies mostly share the least hash of their word triples."""
+    reader = _reader(letters, {})
     for batch in batches:
         keys, toxic, texts = batch["key"].to_pylist(), batch["toxic"].to_pylist(), batch["text"].to_pylist()
         rows: list[tuple] = []
         sets = hashing.shingle_sets(batch["text"], 3)
         for key, label, (plain, hidden), shingles in zip(keys, toxic, reader.read(texts), sets):
             cluster = int(shingles[0].view(np.int64)) if len(shingles) else 0
-            rows += [(key, label, cluster, word, None) for word in plain]
-            for token, words in hidden.items():
-                doubled = token if token in plain else None
-                rows += [(key, label, cluster, word, doubled) for word in words if word not in plain]
+            rows += [(key, label, cluster, word) for word in plain.union(*hidden.values())]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SEEN)], schema=SEEN)
 
 
-def own_words(words: DataFrame) -> DataFrame:
-    """(word, doubled) where the doubled spelling is no rarer than 1 / RARE of the other, so that it is a word of its own."""
-    pairs = words.where("doubled is not null").groupBy("word", "doubled").agg(F.countDistinct("key").alias("n"))
-    plain = words.where("doubled is null").groupBy(F.col("word").alias("p")).agg(F.countDistinct("key").alias("of"))
-    return pairs.join(plain, F.col("word") == F.col("p"), "left").where(RARE * F.col("n") > F.coalesce("of", F.lit(0))).select("word", "doubled")
+def _spellings(batches: Iterator[pa.RecordBatch], names: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """(spelling, word) of words with a doubled letter that leads to one of `names`."""
+    for batch in batches:
+        pairs = [(w, f) for w in batch["spelling"].to_pylist() for f in shortened(w) if f in names]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs)], names=["spelling", "word"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, letters) -> tuple[dict[str, float], float, frozenset[str]]:
-    """Weights of words, the intercept, and the words with a doubled letter that stand for themselves."""
+def repeats_of(words: DataFrame, names: frozenset[str]) -> dict[str, frozenset[str]]:
+    """For each of `names` the spellings with doubled letters that are words of their own: not RARE times rarer in the sample.
+
+    There are at most as many of them as different words in the sample.
+    """
+    counts = words.groupBy("word").agg(F.countDistinct("key").alias("n"))
+    doubled = counts.where(F.col("word").rlike(r"(\p{L})\1")).select(F.col("word").alias("spelling"), F.col("n").alias("of"))
+    pairs = doubled.select("spelling").mapInArrow(partial(_spellings, names=names), "spelling string, word string")
+    found = pairs.join(doubled, "spelling").join(counts, "word").where(RARE * F.col("of") > F.col("n")).select("word", "spelling")
+    out: dict[str, set[str]] = {name: set() for name in names}
+    for row in found.collect():
+        out[row["word"]].add(row["spelling"])
+    return {name: frozenset(spellings) for name, spellings in out.items()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, letters) -> tuple[dict[str, float], float, dict[str, frozenset[str]]]:
+    """Weights of words, the intercept, and which spellings with doubled letters are words of their own (`repeats_of`)."""
     sample = (
         labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("key"))
@@ -320,30 +390,27 @@ def fit(docs: DataFrame, labels: DataFrame, letters) -> tuple[dict[str, float],
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
     words = stored(
         rows.select("key", "toxic", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-            partial(_training_words, letters=letters), "key long, toxic int, cluster long, word string, doubled string"
+            partial(_training_words, letters=letters), "key long, toxic int, cluster long, word string"
         ),
         "words",
     )
-    own = stored(own_words(words), "own")
-    words = words.join(own, ["word", "doubled"], "left_anti")
     docs_of = words.groupBy("key").agg(F.max("toxic").alias("toxic")).toArrow()
     keys, toxic = docs_of["key"].to_numpy(), docs_of["toxic"].to_numpy().astype(np.float64)
     order = np.argsort(keys)
     keys, toxic = keys[order], toxic[order]
     n_bad, n_good = float(toxic.sum()), float(len(toxic) - toxic.sum())
     if not n_bad or not n_good:
-        return {}, -30.0, frozenset()
+        return {}, -30.0, {}
     once = words.select("word", "cluster", "toxic").distinct()
     counts = once.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     rate, expected = F.col("bad") / n_bad - F.col("good") / n_good, (F.col("bad") + F.col("good")) / (n_bad + n_good)
     z = rate / F.sqrt(expected * (1 / n_bad + 1 / n_good))
     chosen = counts.where((F.col("bad") >= 4) & (z > 4)).select("word")
-    kept = frozenset(own.join(chosen, "word").select("doubled").distinct().toArrow()["doubled"].to_pylist())
     pairs = words.join(F.broadcast(chosen), "word").select("key", "word").distinct().toArrow()
     names, column = np.unique(np.array(pairs["word"].to_pylist(), object).astype(str), return_inverse=True)
     row = np.searchsorted(keys, pairs["key"].to_numpy())
     weights, bias = _logistic(row, column, toxic, len(names))
-    return {str(n): float(w) for n, w in zip(names, weights)}, bias, kept
+    return {str(n): float(w) for n, w in zip(names, weights)}, bias, repeats_of(words, frozenset(map(str, names)))
 
 
 def _logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, width: int, rounds: int = 3000) -> tuple[np.ndarray, float]:
@@ -365,9 +432,9 @@ def _logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, width: int, ro
 
 
 def _score(
-    batches: Iterator[pa.RecordBatch], letters, weights: dict[str, float], bias: float, own: frozenset[str]
+    batches: Iterator[pa.RecordBatch], letters, weights: dict[str, float], bias: float, repeats: dict[str, frozenset[str]]
 ) -> Iterator[pa.RecordBatch]:
-    reader = _reader(letters, own)
+    reader = _reader(letters, repeats)
     for batch in batches:
         scores = []
         for plain, hidden in reader.read(batch["text"].to_pylist()):
@@ -381,8 +448,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     letters = spark.sparkContext.broadcast(letter_model(rows))  # 64**3 numbers
-    weights, bias, own = fit(rows, labels, letters)
-    scored = rows.mapInArrow(partial(_score, letters=letters, weights=weights, bias=bias, own=own), "doc_id long, score double")
+    weights, bias, repeats = fit(rows, labels, letters)
+    scored = rows.mapInArrow(partial(_score, letters=letters, weights=weights, bias=bias, repeats=repeats), "doc_id long, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
