@@ -193,13 +193,10 @@ def _write_part(
 def _write_file(folder: str, part: int, segments: int, docs: list, chunks: list[np.ndarray], end_id: int) -> list[tuple]:
     """A file with a frequency table of its own; its segments' rows of the manifest, numbered from `segments` on."""
     counts = np.zeros(end_id + 1, np.int64)
-    for chunk in chunks:
-        seen = np.bincount(chunk)
-        if len(seen) > len(counts):
-            seen[: len(counts)] += counts
-            counts = seen
-        else:
-            counts[: len(seen)] += seen
+    for block in _blocks(chunks):  # of many documents at once: a count is as long as the vocabulary
+        seen = np.bincount(block, minlength=len(counts))
+        seen[: len(counts)] += counts
+        counts = seen
     coder = rans.Table.of_counts(counts)
     uri, stream = storage.create(folder, ".ltok")
     rows = []
