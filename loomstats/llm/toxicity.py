@@ -274,9 +274,10 @@ def restore(token: str, model: np.ndarray) -> str:
 
 
 SEEN = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("cluster", pa.int64()), ("word", pa.string())])
-CHUNK = 1 << 23  # readings the decoder looks at in one go, at most (those of one stretch aside)
+CHUNK = 1 << 21  # readings the decoder looks at in one go, at most (those of one stretch aside)
 TEXTS = 512  # texts read at once
-KNOWN = 200_000  # decoded tokens a worker keeps
+KNOWN = 50_000  # decoded tokens a worker keeps
+HELD = 100_000  # rows a task of the training words holds
 
 
 class Reader:
@@ -345,15 +346,23 @@ def _reader(letters, repeats: dict[str, frozenset[str]]) -> Reader:
 def _training_words(batches: Iterator[pa.RecordBatch], letters) -> Iterator[pa.RecordBatch]:
     """(row, toxic, cluster, word): near copies mostly share the least hash of their word triples."""
     reader = _reader(letters, {})
+    rows: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), SEEN)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=SEEN)
+
     for batch in batches:
         keys, toxic, texts = batch["key"].to_pylist(), batch["toxic"].to_pylist(), batch["text"].to_pylist()
-        rows: list[tuple] = []
         sets = hashing.shingle_sets(batch["text"], 3)
         for key, label, (plain, hidden), shingles in zip(keys, toxic, reader.read(texts), sets):
             cluster = int(shingles[0].view(np.int64)) if len(shingles) else 0
             rows += [(key, label, cluster, word) for word in plain.union(*hidden.values())]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SEEN)], schema=SEEN)
+            if len(rows) > HELD:
+                yield out()
+    if rows:
+        yield out()
 
 
 def _spellings(batches: Iterator[pa.RecordBatch], names: frozenset[str]) -> Iterator[pa.RecordBatch]:
