@@ -112,7 +112,7 @@ def latest_anomaly(report: DataFrame) -> DataFrame:
 
 
 def usage_summary(events: DataFrame, as_of: str, days: int = BASELINE_DAYS) -> DataFrame:
-    """Accepted completions and characters of the last `days` days (clamped to 1..365)."""
+    """Accepted completions and characters of the last `days` days."""
     return _recent_accepts(events, as_of, days).agg(
         F.lit(_checked(days)).cast("long").alias("days"),
         F.count(F.lit(1)).alias("total_accepted"),
