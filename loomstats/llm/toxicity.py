@@ -277,7 +277,7 @@ SEEN = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("cluster", pa.int
 CHUNK = 1 << 21  # readings the decoder looks at in one go, at most (those of one stretch aside)
 TEXTS = 512  # texts read at once
 KNOWN = 50_000  # decoded tokens a worker keeps
-HELD = 100_000  # rows a task of the training words holds
+ROWS = 100_000  # rows a task of the training words holds
 
 
 class Reader:
@@ -359,7 +359,7 @@ def _training_words(batches: Iterator[pa.RecordBatch], letters) -> Iterator[pa.R
         for key, label, (plain, hidden), shingles in zip(keys, toxic, reader.read(texts), sets):
             cluster = int(shingles[0].view(np.int64)) if len(shingles) else 0
             rows += [(key, label, cluster, word) for word in plain.union(*hidden.values())]
-            if len(rows) > HELD:
+            if len(rows) > ROWS:
                 yield out()
     if rows:
         yield out()
