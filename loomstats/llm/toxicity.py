@@ -312,8 +312,9 @@ class Reader:
         for at in range(0, len(texts), TEXTS):
             if len(self.restored) > KNOWN:
                 self.restored.clear()
-                self.known.clear()
                 self.core.cache_clear()
+            if len(self.known) > 4 * KNOWN:
+                self.known.clear()
             plain, hidden = [], []
             for text in texts[at : at + TEXTS]:
                 text = (text or "").lower()
