@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import settings
 from ..functions import text
@@ -19,8 +20,12 @@ EQUAL_BONUS_MS = 10 * MINUTE_MS
 PART_BONUS_MS = 5 * MINUTE_MS
 
 GRAM = 8
+# Most heads and chats of one stretch of a session that a task holds, and chats found together by position.
+FOLD_ROWS = 500_000
+REACH_BLOCK = 256
 ANY = ""
 BEFORE, AFTER = "before", "after"
+PLACE = ["list_no", "bucket", "probe", "side"]
 THREAD = ["session_id", "thread_no", "started_ms", "saw_title_request", "prompt"]
 
 
@@ -59,7 +64,7 @@ def _probes(threads: DataFrame, chats: DataFrame, list_count: int) -> tuple[Data
     buckets of the largest distance keep them apart: chats are listed in their own and both neighbouring buckets.
     """
     near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda shift: _bucket(C("created_ms")) + shift)
-    chats = chats.where(C("created_ms").isNotNull()).select(
+    chats = chats.where(C("created_ms").isNotNull() & C("chat_id").isNotNull()).select(
         "list_no", "chat_id", "created_ms", _prompt(C("first_text")).alias("prompt"), F.explode(near).alias("bucket")
     )
     thread_prompts = threads.where(C("prompt") != "").select("bucket", "prompt").distinct()
@@ -115,7 +120,7 @@ def _score() -> Column:
 def _at_heads(heads: DataFrame, chats: DataFrame) -> DataFrame:
     """The chats the heads point to, within the allowed distance."""
     found = heads.join(
-        chats.withColumnRenamed("prompt", "chat_prompt"), ["list_no", "bucket", "probe", "side", "pos"]
+        chats.withColumnRenamed("prompt", "chat_prompt"), [*PLACE, "pos"]
     )
     gap = F.when(C("saw_title_request"), TITLE_GAP_MS).otherwise(GAP_MS)
     return found.where(F.abs(C("created_ms") - C("started_ms")) <= gap).withColumn("score", _score())
@@ -151,16 +156,156 @@ def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None =
     return _best(_at_heads(heads, numbered)).select("session_id", "thread_no", "chat_id", "score")
 
 
-def assign_chats(threads: DataFrame, *lists: DataFrame, block_rows: int | None = None) -> DataFrame:
+def _stretches(heads: DataFrame) -> DataFrame:
+    """Per session and occupied time bucket: its stretch of buckets, and the threads of that stretch.
+
+    Threads that can want the same chat are at most two buckets apart, so those of different stretches never compete.
+    """
+    first = (C("list_no") == 0) & (C("probe") == ANY) & (C("side") == BEFORE)
+    buckets = heads.groupBy("session_id", "bucket").agg(F.count_if(first).alias("n_here"))
+    in_time = Window.partitionBy("session_id").orderBy("bucket")
+    opens = F.coalesce(C("bucket") - F.lag("bucket").over(in_time) > 2, F.lit(True)).cast("int")
+    return buckets.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(in_time)).select(
+        "session_id", "bucket", "stretch", F.sum("n_here").over(Window.partitionBy("session_id", "stretch")).alias("n_threads")
+    )
+
+
+def _reach(heads: DataFrame, chats: DataFrame) -> DataFrame:
+    """Intervals of chats that a stretch can need, by group and side.
+
+    Counted outward, a thread needs at most as many chats from its head on as its stretch has threads: the others have
+    taken one each. An interval ends where the next head of the same group begins, so intervals never overlap.
+    """
+    ends = chats.groupBy(*PLACE).agg(F.max("pos").alias("n_listed"))
+    starts = heads.select("session_id", "stretch", "n_threads", *PLACE, _outward().alias("start")).distinct()
+    following = F.lead("start").over(Window.partitionBy("session_id", "stretch", *PLACE).orderBy("start"))
+    stop = F.least(
+        C("start") + C("n_threads") - 1, F.coalesce(C("following") - 1, C("start") + C("n_threads") - 1),
+        F.when(C("side") == AFTER, C("n_listed")).otherwise(F.lit(-1)),
+    )
+    return starts.withColumn("following", following).join(ends, PLACE).withColumn("stop", stop).where(
+        C("start") <= C("stop")
+    ).select("session_id", "stretch", *PLACE, "start", "stop")
+
+
+def _outward() -> Column:
+    """Position of a head or chat, growing with the distance on both sides."""
+    return F.when(C("side") == AFTER, C("pos")).otherwise(-C("pos"))
+
+
+def _block(position: Column) -> Column:
+    return F.floor(position / REACH_BLOCK)
+
+
+def _offers(reach: DataFrame, chats: DataFrame) -> DataFrame:
+    """The chats in the intervals, found by blocks of positions. (New names: `asks` comes from the same tables.)"""
+    wanted = reach.withColumn("block", F.explode(F.sequence(_block(C("start")), _block(C("stop")))))
+    placed = chats.select(*PLACE, _outward().alias("out"), _block(_outward()).alias("block"), "created_ms", "chat_id")
+    return wanted.join(placed, [*PLACE, "block"]).where(C("out").between(C("start"), C("stop"))).select(
+        C("session_id").alias("for_session"), C("stretch").alias("for_stretch"), C("list_no").alias("in_list"),
+        _place(), "out", "created_ms", "chat_id",
+    )
+
+
+def _place() -> Column:
+    """Bucket, group and side in short form: prompts can be long."""
+    return F.md5(F.concat_ws(":", "bucket", "side", "probe")).alias("place")
+
+
+def _fold(asks, offers):
+    """Threads of a stretch in order, each taking the best chat left.
+
+    Of each group a thread looks at the first free chat outward. `ahead` leads from a taken chat past the taken ones behind
+    it and is shortened on every walk, so the walks of all threads together take little more than one step each.
+    """
+    import pandas as pd
+
+    listed = dict(zip(zip(offers.in_list, offers.place, offers.out), zip(offers.created_ms, offers.chat_id)))
+    ahead, taken, kept = {}, set(), []
+    asks = asks.sort_values("thread_no", kind="stable")
+    best, number = None, None
+
+    def take():
+        if best is not None:
+            taken.add(best[3])
+            kept.append((session, number, best[0], best[3], best[1]))
+
+    for session, thread, started, gap, bonus, list_no, place, out in zip(
+        asks.session_id, asks.thread_no, asks.started_ms, asks.gap, asks.bonus, asks.list_no, asks.place, asks.out
+    ):
+        if thread != number:
+            take()
+            best, number = None, thread
+        spot = (list_no, place, out)
+        while spot in listed and listed[spot][1] in taken:
+            following = ahead.get(spot, (list_no, place, spot[2] + 1))
+            ahead[spot] = ahead.get(following, following)
+            spot = ahead[spot]
+        if spot in listed:
+            created, chat = listed[spot]
+            distance = abs(created - started)
+            offer = (list_no, distance - bonus, created, chat)
+            if distance <= gap and (best is None or offer < best):
+                best = offer
+    take()
+    return pd.DataFrame(kept, columns=["session_id", "thread_no", "list_no", "chat_id", "score"])
+
+
+def _folded(heads: DataFrame, reach: DataFrame, chats: DataFrame) -> DataFrame:
+    """Assignment of whole stretches, each by one walk over its threads."""
+    gap = F.when(C("saw_title_request"), TITLE_GAP_MS).otherwise(GAP_MS).cast("long")
+    # All chats of a group have one prompt, or any: those of an equal or partly equal prompt are in a group of their own.
+    bonus = F.when(C("probe") == ANY, 0).when(C("probe") == C("prompt"), EQUAL_BONUS_MS).otherwise(PART_BONUS_MS)
+    asks = heads.select(
+        "session_id", "stretch", "thread_no", "started_ms", gap.alias("gap"), bonus.cast("long").alias("bonus"),
+        "list_no", _place(), _outward().alias("out"),
+    )
+    schema = T.StructType([
+        heads.schema["session_id"], heads.schema["thread_no"], heads.schema["list_no"],
+        T.StructField("chat_id", chats.schema["chat_id"].dataType), T.StructField("score", T.LongType()),
+    ])
+    offers = _offers(reach, chats).groupBy("for_session", "for_stretch")
+    return asks.groupBy("session_id", "stretch").cogroup(offers).applyInPandas(_fold, schema)
+
+
+def assign_chats(
+    threads: DataFrame, *lists: DataFrame, block_rows: int | None = None, fold_rows: int = FOLD_ROWS
+) -> DataFrame:
     """Give each thread its best chat that no earlier thread of the session took; a later list is used where none fits.
 
+    A chat id stands once in a list. Threads of a session compete only within a stretch of time (`_stretches`). A thread
+    alone in its stretch has its best chat; the threads of any other stretch are walked once in order (`_fold`), with the
+    chats they can need (`_reach`). So the number of jobs does not depend on the conflicts. A stretch of more than
+    `fold_rows` heads and chats, which one task should not hold, is settled by `_in_rounds` instead, with the same result.
+    """
+    heads, numbered = _heads(*_prepared(threads, *lists), block_rows)
+    heads, numbered = settings.cut_lineage(heads.where(C("bucket").isNotNull())), settings.cut_lineage(numbered)
+    by = ["session_id", "stretch"]
+    placed = heads.join(_stretches(heads), ["session_id", "bucket"])
+    shared = placed.where(C("n_threads") > 1)
+    reach = settings.cut_lineage(_reach(shared, numbered))
+    held = shared.select(*by, F.lit(1).alias("rows")).unionByName(
+        reach.select(*by, (C("stop") - C("start") + 1).alias("rows"))
+    ).groupBy(*by).agg(F.sum("rows").alias("rows"))
+    large = settings.cut_lineage(held.where(C("rows") > fold_rows).select(*by))
+    columns = ["session_id", "thread_no", "list_no", "chat_id", "score"]
+    done = _best(_at_heads(placed.where(C("n_threads") == 1), numbered)).select(*columns)
+    small = [part.join(large, by, "left_anti") for part in (shared, reach)]
+    done = done.unionByName(_folded(*small, numbered))
+    if large.isEmpty():
+        return done
+    return done.unionByName(_in_rounds(shared.join(large, by, "left_semi").select(heads.columns), numbered))
+
+
+def _in_rounds(heads: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The same assignment without gathering a stretch.
+
     Every thread holds its best chat. Where several threads of a session hold the same one, the earliest keeps it and the
     others move on to their next best: in each group that points to the lost chat, to the following one outward. When no
     chat is held twice, each thread has the best chat the earlier ones left. Only sessions with a conflict take part in
     the next round.
     """
-    heads, numbered = _heads(*_prepared(threads, *lists), block_rows)
-    heads, numbered = settings.cut_lineage(heads), settings.cut_lineage(numbered)
+    heads = settings.cut_lineage(heads)
     done = None
     while True:
         found = settings.cut_lineage(_at_heads(heads, numbered))
