@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "events_catalog", "sessions_catalog", "logs_catalog", "usage_catalog", "chats_catalog", "streams_catalog",
-    "readers_catalog",
+    "readers_catalog", "reports_catalog",
 ]
 
 
