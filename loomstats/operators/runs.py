@@ -200,9 +200,9 @@ def run_roles(phases: DataFrame, runs_: DataFrame, start: str | None = None, end
 # --- Diagnostics -----------------------------------------------------------------------------------------------------
 
 
-def first_events(events: DataFrame, key: str = "event_id") -> DataFrame:
-    """Drop repeated events of the same id (the first in (time, seq) order stays); events without an id stay."""
-    return first_per_key(events, [], key, ["time", "seq"])
+def first_events(events: DataFrame, key: str = "event_id", order: tuple[str, ...] = ("time", "seq")) -> DataFrame:
+    """Drop repeated events of the same id (the first in `order` stays); events without an id stay."""
+    return first_per_key(events, [], key, list(order))
 
 
 def subagents(events: DataFrame, block_rows: int | None = None) -> DataFrame:

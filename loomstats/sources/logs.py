@@ -16,11 +16,12 @@ SESSION_PATTERN = r"/(\d{8}T\d{6})[^/]*/"
 
 
 def read_log_lines(
-    spark: SparkSession, path: str, path_pattern: str = PATH_PATTERN, session_pattern: str = SESSION_PATTERN
+    spark: SparkSession, path: str, path_pattern: str = PATH_PATTERN, session_pattern: str = SESSION_PATTERN,
+    files: str = "*.log",
 ) -> DataFrame:
     """Non-blank lines of the log files whose path matches, with session id, file and position. Files of any size are read,
     large ones in splits."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path)
     return raw.where(C("_metadata.file_path").rlike(path_pattern)).select(
         F.regexp_extract(C("_metadata.file_path"), session_pattern, 1).alias("session_id"),
         C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("block_start"),
