@@ -21,6 +21,7 @@ C = F.col
 NEVER_LATE = "60 days"
 # The replayed stream: files of five days each, whose rows lie up to twelve hours on either side.
 SLICE_MS, STRAY_MS, LATE = 5 * 86_400_000, 12 * 3_600_000, "6 days"
+FILE_ROWS = 1_000_000
 
 
 def _scratch(spark, name):
@@ -38,23 +39,31 @@ def event_stream(spark, sf):
 
 
 def replay(spark, sf, name):
-    """The events as files that arrive one after the other, rows out of order within and between them, and their schema."""
+    """The events as files that arrive one after the other, rows out of order within and between them, their schema, the newest
+    event and the number of files of a slice of time (the same for all)."""
     folder = _scratch(spark, name)
     events = tracked_events(spark, sf)
-    first, last, newest = events.agg(F.min("ms"), F.max("ms"), F.max("ts")).first()
+    first, last, newest, n = events.agg(F.min("ms"), F.max("ms"), F.max("ts"), F.count(F.lit(1))).first()
     stray = F.pmod(F.hash("seq"), F.lit(2 * STRAY_MS + 1)) - STRAY_MS
     at = F.greatest(F.lit(0), F.least(F.floor((C("ms") - first + stray) / SLICE_MS), F.lit((last - first) // SLICE_MS)))
-    for number in range((last - first) // SLICE_MS + 1):
-        events.where(at == number).orderBy(F.xxhash64("seq")).write.mode("append").parquet(f"{folder}/in")
-    return folder, events.schema, newest
-
-
-def _replayed(spark, sf, name, flow):
-    """Run a flow in append mode over the replayed files, one a micro-batch, and close the input behind them."""
-    folder, schema, newest = replay(spark, sf, name)
+    slices = (last - first) // SLICE_MS + 1
+    files = max(1, round(n / slices / FILE_ROWS))
+    # One pass over the events deals them to slices; each slice is then read alone.
+    order = F.xxhash64("seq")
+    events.withColumn("slice", at).repartition(files, order).write.partitionBy("slice").parquet(f"{folder}/slices")
+    for number in range(slices):
+        part = spark.read.schema(events.schema).parquet(f"{folder}/slices/slice={number}")
+        part.repartition(files, order).sortWithinPartitions(order).write.mode("append").parquet(f"{folder}/in")
+    return folder, events.schema, newest, files
+
+
+def _replayed(spark, sf, name, flow, **conf):
+    """Run a flow in append mode over the replayed files, a slice a micro-batch, and close the input behind them."""
+    folder, schema, newest, files = replay(spark, sf, name)
     flows.flush(spark, f"{folder}/in", schema, newest, "400 DAYS")
-    stream = flows.file_stream(spark, f"{folder}/in", schema, files=1)
-    return flows.run_available(flow(stream), f"{folder}/out", f"{folder}/checkpoint").drop("batch")
+    stream = flows.file_stream(spark, f"{folder}/in", schema, files=files)
+    with flows.stateful(spark, **conf):
+        return flows.run_available(flow(stream), f"{folder}/out", f"{folder}/checkpoint").drop("batch")
 
 
 def _run(spark, flow, name, mode):
@@ -78,8 +87,8 @@ def _sessions(spark, sf):
 
 def _compaction(spark, sf):
     """Daily rows after all micro-batches, and which days have no raw rows left."""
-    folder, schema, _ = replay(spark, sf, "compaction")
-    stream = flows.file_stream(spark, f"{folder}/in", schema, files=1)
+    folder, schema, _, files = replay(spark, sf, "compaction")
+    stream = flows.file_stream(spark, f"{folder}/in", schema, files=files)
     compactor = compaction.compact_stream(stream, f"{folder}/out", f"{folder}/checkpoint")
     return compactor.daily(schema).withColumn("retired", ~C("date").isin(compactor.raw_dates()))
 
@@ -100,15 +109,10 @@ def _ingest(spark, sf):
 
 
 def _episodes(spark, sf):
-    before = spark.conf.get(flows.STATE_STORE, None)
-    flows.rocksdb_state(spark)
-    try:
-        return _replayed(spark, sf, "episodes", lambda events: flows.episodes(events, EPISODE_GAP_MS, LATE, 24 * flows.HOUR_MS))
-    finally:
-        if before is None:
-            spark.conf.unset(flows.STATE_STORE)
-        else:
-            spark.conf.set(flows.STATE_STORE, before)
+    return _replayed(
+        spark, sf, "episodes", lambda events: flows.episodes(events, EPISODE_GAP_MS, LATE, 24 * flows.HOUR_MS),
+        **{flows.STATE_STORE: flows.ROCKSDB},
+    )
 
 
 def _sections(spark, sf):
