@@ -13,9 +13,16 @@
    windows of one hash function whose value comes in several documents are cut into all their stretches of SPAN shingles, but
    for those that lie in a verified exact copy of a lesser document; equal stretches are tied to the one in the least
    document, and are verified like the others. That document has the whole stretch.
+5. Similar passages need neither share a window's value nor have a common least document. But of SPAN shingles or more, with
+   PERCENT of them in common, they share a run of RUN: each break costs both sides together WIDTH + 3 shingles at least, and
+   there is room for one break in SPAN shingles, for two in 64, and so on. So in a third round the tokens are stretches of SEED
+   shingles, and the compact windows those that hold RUN - SEED + 1 of them: documents with a run of RUN shingles in common have a
+   window of equal minimum on it. All pairs of different documents of such a minimum are candidates, but that a place inside a
+   verified exact copy stands for itself by the place it is a copy of, and that passages already found are not looked at again.
 
-A passage of more than WORDS words that two documents share exactly is found, or both copies of it in lesser documents. For
-similar passages, each hash function agrees with the probability of their similarity, and the first round's tie decides.
+A passage of more than WORDS words that two documents share is found, or, if it lies in exact copies of lesser documents, those
+copies and what their originals have in common. What one shingle repeated inside a passage hides of its runs is left to the first
+round, where each hash function agrees with the probability of the passages' similarity.
 
 Defined cases: null, empty and short texts have no passages; rows with equal doc_id and text are one document; rows with
 equal ids and other texts, or without id, are documents of their own; repeats inside one document are not reported; other
@@ -29,7 +36,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstats.llm import hashing
@@ -40,6 +47,8 @@ WORDS = 50  # passages have more words
 HASHES, NEED = 4, 2
 GAP = 12  # shingles without a match inside a passage: two edits
 DRIFT = 16  # words by which edits may shift one side
+RUN, SEED = 21, 14  # shingles that similar passages share in one run, and of the tokens of the third round
+AROUND = 2 * (WORDS + 2 - WIDTH)  # shingles looked at on either side of a shared token of the third round
 
 WINDOWS = pa.schema([("value", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("reach", pa.int64())])
 CANDIDATES = pa.schema([(n, pa.int64()) for n in ("a_key", "b_key", "a_start", "a_end", "b_start", "b_end")])
@@ -47,8 +56,9 @@ SLICES = pa.schema([(n, pa.int64()) for n in ("a_key", "b_key", "b_id", "a_start
 FOUND = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "start", "end", "other_doc_id", "other_start", "other_end")] + [("similarity", pa.float64())]
 )
-CHECKED = pa.schema([*FOUND, ("b_key", pa.int64()), ("exact", pa.binary())])
+CHECKED = pa.schema([*FOUND, ("a_key", pa.int64()), ("b_key", pa.int64()), ("exact", pa.binary())])
 STRETCHES = pa.schema([("stretch", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
+COPIES = pa.schema([(n, pa.int64()) for n in ("b_key", "a_key", "low", "high", "shift")])
 _SEEDS = np.random.default_rng(55).integers(1, 1 << 62, HASHES, dtype=np.uint64)
 
 
@@ -120,13 +130,42 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, span: int) -> Iterat
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=WINDOWS)
 
 
-def candidates(ties: np.ndarray, span: int) -> list[tuple[int, int, int, int]]:
+def _seeds(batches: Iterator[pa.RecordBatch], width: int, run: int) -> Iterator[pa.RecordBatch]:
+    """The minima of all stretches of `run` shingles, the tokens being stretches of SEED shingles."""
+    for batch in batches:
+        keys = batch["key"].to_numpy()
+        for first, tokens, bounds in _token_runs(batch["text"], width):
+            if len(tokens) < run:
+                continue
+            hashes = hashing.stretches(tokens, np.arange(len(tokens) - SEED + 1), SEED)
+            sizes = np.maximum(np.diff(bounds) - SEED + 1, 0)  # of each text, without the stretches that leave it
+            ends = np.cumsum(sizes)
+            keep = np.repeat(bounds[:-1] - (ends - sizes), sizes) + np.arange(ends[-1])
+            value, doc, place, _, _ = compact_windows(hashes[keep], np.concatenate([[0], ends]), run - SEED + 1)
+            if len(value):
+                columns = [value.view(np.int64), keys[first + doc], place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=STRETCHES)
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact runs of verified passages, a row each."""
+    for batch in batches:
+        out = [
+            (b_key, a_key, *run)
+            for a_key, b_key, data in zip(*(batch[n].to_pylist() for n in ("a_key", "b_key", "exact")))
+            for run in np.frombuffer(data, np.int64).reshape(-1, 3).tolist()
+        ]
+        if out:
+            yield _rows(out, COPIES)
+
+
+def candidates(ties: np.ndarray, span: int, need: int = NEED) -> list[tuple[int, int, int, int]]:
     """Ranges on both sides from the ties of two documents: rows of hash number, place and reach left and right, twice."""
     number, a, a_left, a_right, b, b_left, b_right = ties.T
     left, right = np.minimum(a_left, b_left), np.minimum(a_right, b_right)
     keep = left + right + 1 >= span - GAP
     rows = np.stack([b - a, b - left, b + right, number], 1)[keep]
-    if len(rows) < NEED:
+    if len(rows) < need:
         return []
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
     diagonal = np.cumsum(np.diff(rows[:, 0], prepend=rows[0, 0]) > DRIFT)
@@ -136,21 +175,21 @@ def candidates(ties: np.ndarray, span: int) -> list[tuple[int, int, int, int]]:
     new = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (rows[1:, 1] > reached[:-1])])
     out = []
     for group in np.split(rows, np.flatnonzero(new)[1:]):
-        if len(np.unique(group[:, 3])) >= NEED:
+        if len(np.unique(group[:, 3])) >= need:
             low, high = int(group[:, 1].min()), int(group[:, 2].max())
             least, most = int(group[:, 0].min()), int(group[:, 0].max())
             out.append((max(0, low - most - DRIFT), high - least + DRIFT, low, high))
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], span: int, need: int = NEED) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by the two documents."""
     pair, held = None, []
 
     def done() -> list[tuple[int, ...]]:
-        if pair is None or len(held) < NEED:
+        if pair is None or len(held) < need:
             return []
-        return [(*pair, *c) for c in candidates(np.array(held, np.int64), span)]
+        return [(*pair, *c) for c in candidates(np.array(held, np.int64), span, need)]
 
     for batch in batches:
         out: list[tuple[int, ...]] = []
@@ -234,8 +273,9 @@ def verify(a: np.ndarray, b: np.ndarray, span: int, percent: int) -> list[tuple[
     return out
 
 
-def exact_runs(a: np.ndarray, b: np.ndarray, low: int, high: int, span: int) -> list[tuple[int, int]]:
-    """Begins and ends of stretches of b[low:high], of `span` shingles or more, that stand in `a` as they are."""
+def exact_runs(a: np.ndarray, b: np.ndarray, low: int, high: int, span: int) -> list[tuple[int, int, int]]:
+    """Begins and ends of stretches of b[low:high], of `span` shingles or more, that stand in `a` as they are, and how far they
+    lie behind their places there."""
     order = np.argsort(a, kind="stable")
     part = b[low:high]
     where = order[np.minimum(np.searchsorted(a, part, sorter=order), len(a) - 1)]
@@ -243,22 +283,25 @@ def exact_runs(a: np.ndarray, b: np.ndarray, low: int, high: int, span: int) ->
     if not len(hit):
         return []
     breaks = np.flatnonzero((np.diff(hit) != 1) | (np.diff(where[hit]) != 1)) + 1
-    return [(low + int(run[0]), low + int(run[-1]) + 1) for run in np.split(hit, breaks) if len(run) >= span]
+    return [
+        (low + int(run[0]), low + int(run[-1]) + 1, low + int(run[0]) - int(where[run[0]]))
+        for run in np.split(hit, breaks) if len(run) >= span
+    ]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, span: int, percent: int) -> Iterator[pa.RecordBatch]:
     more = width - 1  # a stretch of shingles has these words more
     for batch in batches:
         out = []
-        rest = zip(*(batch[n].to_pylist() for n in ("doc_id", "b_key", "b_id", "a_start", "a_end", "b_start", "shingles")))
-        for tokens, (a_id, b_key, b_id, a_start, a_end, b_start, data) in zip(_tokens_of(batch, width), rest):
+        rest = zip(*(batch[n].to_pylist() for n in ("doc_id", "key", "b_key", "b_id", "a_start", "a_end", "b_start", "shingles")))
+        for tokens, (a_id, a_key, b_key, b_id, a_start, a_end, b_start, data) in zip(_tokens_of(batch, width), rest):
             a, b = tokens[a_start : a_end + 1], np.frombuffer(data, np.uint64)
             if len(a):
                 for a_low, a_high, low, high, similarity in verify(a, b, span, percent):
-                    runs = np.array(exact_runs(a, b, low, high, span), np.int64) + b_start
+                    runs = np.array(exact_runs(a, b, low, high, span), np.int64).reshape(-1, 3) + [b_start, b_start, b_start - a_start]
                     out.append(
                         (b_id, b_start + low, b_start + high + more, a_id, a_start + a_low, a_start + a_high + more, similarity,
-                         b_key, runs.tobytes())
+                         a_key, b_key, runs.tobytes())
                     )
         if out:
             yield _rows(out, CHECKED)
@@ -276,7 +319,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], width: int, span: int) -> Iter
                 take[w["place"] + (w["reach"] & ((1 << 32) - 1)) - span + 2] -= 1
             take = np.cumsum(take[:n]) > 0
             for data in settled[row] or []:
-                for low, high in np.frombuffer(data, np.int64).reshape(-1, 2).tolist():
+                for low, high, _ in np.frombuffer(data, np.int64).reshape(-1, 3).tolist():
                     take[low : high - span + 1] = False
             at = np.flatnonzero(take)
             total = hashing.stretches(tokens, at, span)
@@ -320,7 +363,7 @@ def _checked(found: DataFrame, rows: DataFrame, width: int, span: int, percent:
         "doc_id", "b_key", "b_id", "a_start", "a_end", "b_start", "shingles", "key", "text"
     ).mapInArrow(
         partial(_verify, width=width, span=span, percent=percent),
-        "doc_id long, start long, end long, other_doc_id long, other_start long, other_end long, similarity double, b_key long, exact binary",
+        "doc_id long, start long, end long, other_doc_id long, other_start long, other_end long, similarity double, a_key long, b_key long, exact binary",
     )
 
 
@@ -383,5 +426,38 @@ def repeats(docs: DataFrame, words: int = WORDS, width: int = WIDTH, percent: in
     again = equal.repartition("a_key", "b_key").sortWithinPartitions("a_key", "b_key", "shift", "place").mapInArrow(
         partial(_runs, span=span), "a_key long, b_key long, a_start long, a_end long, b_start long, b_end long"
     )
-    second = _checked(stored(again, "candidates"), rows, width, span, percent)
-    return first.union(second).drop("b_key", "exact").distinct()
+    known = first.union(stored(_checked(stored(again, "candidates"), rows, width, span, percent), "passages"))
+    third = _checked(stored(_similar(rows, known, width, span), "candidates"), rows, width, span, percent)
+    return known.union(third).drop("a_key", "b_key", "exact").distinct()
+
+
+def _similar(rows: DataFrame, known: DataFrame, width: int, span: int) -> DataFrame:
+    """Candidates of all documents with a run of RUN shingles in common, but where passages are known."""
+    seeds = rows.select("key", "text").mapInArrow(partial(_seeds, width=width, run=RUN), "stretch long, key long, place long")
+    of_value = Window.partitionBy("stretch")
+    several = F.min("key").over(of_value) < F.max("key").over(of_value)
+    shared = stored(seeds.withColumn("several", several).where("several").drop("several"), "seeds")
+    copies = known.where(F.length("exact") > 0).select("a_key", "b_key", "exact").mapInArrow(
+        _copies, "b_key long, a_key long, low long, high long, shift long"
+    ).distinct()
+    within = (F.col("key") == F.col("b_key")) & (F.col("place") >= F.col("low")) & (F.col("place") + SEED <= F.col("high"))
+    original = F.min(F.struct("a_key", (F.col("place") - F.col("shift")).alias("a_place"))).alias("a")
+    places = stored(
+        shared.join(copies, within, "left").groupBy("stretch", "key", "place").agg(original).select(
+            "stretch", F.coalesce("a.a_key", "key").alias("key"), F.coalesce("a.a_place", "place").alias("place")
+        ).distinct(),
+        "places",
+    )
+    a, b = (places.select("stretch", F.col("key").alias(f"{n}_key"), F.col("place").alias(f"{n}_place")) for n in "ab")
+    ties = a.join(b, "stretch").where("a_key < b_key")
+    found = known.groupBy("a_key", "b_key").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    inside = F.exists("found", lambda p: (p["start"] <= F.col("b_place")) & (F.col("b_place") + SEED + width - 1 <= p["end"]))
+    ties = ties.join(found, ["a_key", "b_key"], "left").where(~F.coalesce(inside, F.lit(False)))
+    reach = lambda left: F.shiftleft(left.cast("long"), 32).bitwiseOR(F.lit(AROUND + SEED).cast("long"))
+    ties = ties.select(
+        "a_key", "b_key", F.col("stretch").alias("value"), "a_place", reach(F.lit(AROUND)).alias("a_reach"), "b_place",
+        reach(F.least("b_place", F.lit(AROUND))).alias("b_reach"),
+    )
+    return ties.repartition("a_key", "b_key").sortWithinPartitions("a_key", "b_key").mapInArrow(
+        partial(_candidates, span=span, need=1), "a_key long, b_key long, a_start long, a_end long, b_start long, b_end long"
+    )
