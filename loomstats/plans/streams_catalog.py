@@ -21,7 +21,7 @@ C = F.col
 NEVER_LATE = "60 days"
 # The replayed stream: files of five days each, whose rows lie up to twelve hours on either side.
 SLICE_MS, STRAY_MS, LATE = 5 * 86_400_000, 12 * 3_600_000, "6 days"
-FILE_ROWS = 1_000_000
+FILE_ROWS = 100_000
 
 
 def _scratch(spark, name):
