@@ -18,7 +18,10 @@
    there is room for one break in SPAN shingles, for two in 64, and so on. So in a third round the tokens are stretches of SEED
    shingles, and the compact windows those that hold RUN - SEED + 1 of them: documents with a run of RUN shingles in common have a
    window of equal minimum on it. All pairs of different documents of such a minimum are candidates, but that a place inside a
-   verified exact copy stands for itself by the place it is a copy of, and that passages already found are not looked at again.
+   verified exact copy stands for itself by the place it is a copy of, and that passages already found are not looked at again. A
+   shingle that follows itself counts as one here, so the repeats of one word that many texts have tie none of them. What is a
+   passage by such repeats has stretches of fewer than RUN shingles, which are equal in both documents or not: each is tied to
+   the least document that has it.
 
 A passage of more than WORDS words that two documents share is found, or, if it lies in exact copies of lesser documents, those
 copies and what their originals have in common. What one shingle repeated inside a passage hides of its runs is left to the first
@@ -50,7 +53,7 @@ DRIFT = 16  # words by which edits may shift one side
 RUN, SEED = 21, 14  # shingles that similar passages share in one run, and of the tokens of the third round
 AROUND = 2 * (WORDS + 2 - WIDTH)  # shingles looked at on either side of a shared token of the third round
 
-WINDOWS = pa.schema([("value", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("reach", pa.int64())])
+WINDOWS = pa.schema([("value", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("reach", pa.int64()), ("seed", pa.bool_())])
 CANDIDATES = pa.schema([(n, pa.int64()) for n in ("a_key", "b_key", "a_start", "a_end", "b_start", "b_end")])
 SLICES = pa.schema([(n, pa.int64()) for n in ("a_key", "b_key", "b_id", "a_start", "a_end", "b_start")] + [("shingles", pa.binary())])
 FOUND = pa.schema(
@@ -117,7 +120,8 @@ def _token_runs(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray,
         yield first, grams[keep], np.concatenate([[0], ends])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], width: int, span: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], width: int, span: int, run: int) -> Iterator[pa.RecordBatch]:
+    """The windows of the first round and the seeds of the third: each text is cut into shingles once."""
     for batch in batches:
         keys = batch["key"].to_numpy()
         for first, tokens, bounds in _token_runs(batch["text"], width):
@@ -126,25 +130,43 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, span: int) -> Iterat
                 value, doc, place, low, high = compact_windows(hashes, bounds, span)
                 value = (value & ~np.uint64(HASHES - 1)) | np.uint64(number)
                 reach = ((place - low) << 32) | (high - place)
-                columns = [value.view(np.int64), keys[first + doc], place, reach]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=WINDOWS)
-
-
-def _seeds(batches: Iterator[pa.RecordBatch], width: int, run: int) -> Iterator[pa.RecordBatch]:
-    """The minima of all stretches of `run` shingles, the tokens being stretches of SEED shingles."""
-    for batch in batches:
-        keys = batch["key"].to_numpy()
-        for first, tokens, bounds in _token_runs(batch["text"], width):
-            if len(tokens) < run:
-                continue
-            hashes = hashing.stretches(tokens, np.arange(len(tokens) - SEED + 1), SEED)
-            sizes = np.maximum(np.diff(bounds) - SEED + 1, 0)  # of each text, without the stretches that leave it
-            ends = np.cumsum(sizes)
-            keep = np.repeat(bounds[:-1] - (ends - sizes), sizes) + np.arange(ends[-1])
-            value, doc, place, _, _ = compact_windows(hashes[keep], np.concatenate([[0], ends]), run - SEED + 1)
-            if len(value):
-                columns = [value.view(np.int64), keys[first + doc], place]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=STRETCHES)
+                yield _placed(value, keys[first + doc], place, reach, False)
+            for value, doc, place, brief in seeds(tokens, bounds, run, span):
+                yield _placed(value, keys[first + doc], place, brief, True)
+
+
+def _placed(value: np.ndarray, keys: np.ndarray, places: np.ndarray, reach: np.ndarray, seed: bool) -> pa.RecordBatch:
+    columns = [value.view(np.int64), keys, places, reach, np.full(len(value), seed)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=WINDOWS)
+
+
+def seeds(tokens: np.ndarray, bounds: np.ndarray, run: int, span: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hash, document, place of the minima of all stretches of `run` shingles, the tokens being stretches of SEED shingles; a
+    shingle that follows itself counts once. Stretches of fewer shingles that stand for `span` with their repeats, or for GAP
+    less, come as they are. The last column is the number that those stand for, 0 for the others."""
+    if not len(tokens):
+        return
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    new[bounds[:-1][bounds[:-1] < len(tokens)]] = True
+    at = np.flatnonzero(new)
+    tokens, inner = tokens[at], np.searchsorted(at, bounds)
+    if len(tokens) >= run:
+        hashes = hashing.stretches(tokens, np.arange(len(tokens) - SEED + 1), SEED)
+        sizes = np.maximum(np.diff(inner) - SEED + 1, 0)  # of each text, without the stretches that leave it
+        ends = np.cumsum(sizes)
+        keep = np.repeat(inner[:-1] - (ends - sizes), sizes) + np.arange(ends[-1])
+        value, doc, place, _, _ = compact_windows(hashes[keep], np.concatenate([[0], ends]), run - SEED + 1)
+        yield value, doc, at[inner[doc] + place] - bounds[doc], np.zeros(len(value), np.int64)
+    at = np.append(at, bounds[-1])
+    end = np.repeat(inner[1:], np.diff(inner))  # of the text of each token
+    last = np.minimum(np.arange(len(tokens)) + run - 1, end)
+    begin = np.flatnonzero(at[last] - at[:-1] >= span - GAP)
+    for n in range(1, run):
+        here = begin[begin + n <= end[begin]]
+        here = here[at[here + n] - at[here] >= span - GAP]
+        if len(here):
+            doc = np.searchsorted(inner, here, "right") - 1
+            yield hashing.stretches(tokens, here, n) ^ np.uint64(n), doc, at[here] - bounds[doc], at[here + n] - at[here]
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,10 +410,12 @@ def repeats(docs: DataFrame, words: int = WORDS, width: int = WIDTH, percent: in
     rows = _single(rows)
     windows = stored(
         rows.select("key", "text").mapInArrow(
-            partial(_windows, width=width, span=span), "value long, key long, place long, reach long"
+            partial(_windows, width=width, span=span, run=RUN), "value long, key long, place long, reach long, seed boolean"
         ),
         "windows",
     )
+    seeds = windows.where("seed").select(F.col("value").alias("stretch"), "key", "place", F.col("reach").alias("brief"))
+    windows = windows.where("not seed").drop("seed")
     least = windows.groupBy("value").agg(
         F.min(F.struct("key", "place", "reach")).alias("a"), F.max("key").alias("last")
     ).where(F.col("a.key") < F.col("last"))
@@ -427,29 +451,39 @@ def repeats(docs: DataFrame, words: int = WORDS, width: int = WIDTH, percent: in
         partial(_runs, span=span), "a_key long, b_key long, a_start long, a_end long, b_start long, b_end long"
     )
     known = first.union(stored(_checked(stored(again, "candidates"), rows, width, span, percent), "passages"))
-    third = _checked(stored(_similar(rows, known, width, span), "candidates"), rows, width, span, percent)
+    third = _checked(stored(_similar(seeds, known, width, span), "candidates"), rows, width, span, percent)
     return known.union(third).drop("a_key", "b_key", "exact").distinct()
 
 
-def _similar(rows: DataFrame, known: DataFrame, width: int, span: int) -> DataFrame:
+def _similar(seeds: DataFrame, known: DataFrame, width: int, span: int) -> DataFrame:
     """Candidates of all documents with a run of RUN shingles in common, but where passages are known."""
-    seeds = rows.select("key", "text").mapInArrow(partial(_seeds, width=width, run=RUN), "stretch long, key long, place long")
     of_value = Window.partitionBy("stretch")
     several = F.min("key").over(of_value) < F.max("key").over(of_value)
     shared = stored(seeds.withColumn("several", several).where("several").drop("several"), "seeds")
+    whole = shared.where("brief = 0").drop("brief")
     copies = known.where(F.length("exact") > 0).select("a_key", "b_key", "exact").mapInArrow(
         _copies, "b_key long, a_key long, low long, high long, shift long"
     ).distinct()
     within = (F.col("key") == F.col("b_key")) & (F.col("place") >= F.col("low")) & (F.col("place") + SEED <= F.col("high"))
     original = F.min(F.struct("a_key", (F.col("place") - F.col("shift")).alias("a_place"))).alias("a")
     places = stored(
-        shared.join(copies, within, "left").groupBy("stretch", "key", "place").agg(original).select(
+        whole.join(copies, within, "left").groupBy("stretch", "key", "place").agg(original).select(
             "stretch", F.coalesce("a.a_key", "key").alias("key"), F.coalesce("a.a_place", "place").alias("place")
         ).distinct(),
         "places",
     )
     a, b = (places.select("stretch", F.col("key").alias(f"{n}_key"), F.col("place").alias(f"{n}_place")) for n in "ab")
     ties = a.join(b, "stretch").where("a_key < b_key")
+    # Equal brief stretches are all similar: each is tied to the least one; those that are too short to be the second side, also
+    # to the greatest that is not.
+    brief = shared.where("brief > 0")
+    place = F.struct("key", "place")
+    ends = brief.groupBy("stretch").agg(F.min(place).alias("least"), F.max(F.when(F.col("brief") >= span, place)).alias("most"))
+    brief = brief.join(ends, "stretch")
+    equal = brief.where(F.col("brief") >= span).select("stretch", F.col("least").alias("a"), place.alias("b")).unionByName(
+        brief.where(F.col("brief") < span).select("stretch", place.alias("a"), F.col("most").alias("b"))
+    ).where("a.key < b.key").select("stretch", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "ab" for c in ("key", "place")])
+    ties = ties.unionByName(equal)
     found = known.groupBy("a_key", "b_key").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     inside = F.exists("found", lambda p: (p["start"] <= F.col("b_place")) & (F.col("b_place") + SEED + width - 1 <= p["end"]))
     ties = ties.join(found, ["a_key", "b_key"], "left").where(~F.coalesce(inside, F.lit(False)))
