@@ -66,7 +66,7 @@ def _probes(threads: DataFrame, chats: DataFrame, list_count: int) -> tuple[Data
     near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda shift: _bucket(C("created_ms")) + shift)
     chats = chats.where(C("created_ms").isNotNull() & C("chat_id").isNotNull()).select(
         "list_no", "chat_id", "created_ms", _prompt(C("first_text")).alias("prompt"), F.explode(near).alias("bucket")
-    )
+    ).join(threads.select("bucket").distinct(), "bucket", "left_semi")
     thread_prompts = threads.where(C("prompt") != "").select("bucket", "prompt").distinct()
     chat_prompts = chats.where(C("prompt") != "").select("bucket", "prompt").distinct()
     pairs = _contained(thread_prompts, chat_prompts).select("bucket", C("outer").alias("prompt"), C("inner").alias("probe"))
@@ -76,7 +76,12 @@ def _probes(threads: DataFrame, chats: DataFrame, list_count: int) -> tuple[Data
     own = F.explode(F.array_distinct(F.array(F.lit(ANY), C("prompt")))).alias("probe")
     probes = threads.select("*", own).unionByName(threads.join(pairs, ["bucket", "prompt"]))
     each_list = F.explode(F.array(*[F.lit(number) for number in range(list_count)])).alias("list_no")
-    return probes.select("*", each_list), chats.select("list_no", "bucket", own, "created_ms", "chat_id", "prompt")
+    probes, listed = probes.select("*", each_list), chats.select("list_no", "bucket", own, "created_ms", "chat_id", "prompt")
+    # Of the groups of prompts, only those with a chat; the group of all chats also tells where threads are.
+    named = probes.where(C("probe") != ANY).join(
+        listed.select("list_no", "bucket", "probe").distinct(), ["list_no", "bucket", "probe"], "left_semi"
+    )
+    return probes.where(C("probe") == ANY).unionByName(named), listed
 
 
 def _heads(probes: DataFrame, listed: DataFrame, block_rows: int | None) -> tuple[DataFrame, DataFrame]:
@@ -126,9 +131,9 @@ def _at_heads(heads: DataFrame, chats: DataFrame) -> DataFrame:
     return found.where(F.abs(C("created_ms") - C("started_ms")) <= gap).withColumn("score", _score())
 
 
-def _best(found: DataFrame) -> DataFrame:
+def _best(found: DataFrame, thread: tuple[str, ...] = ("session_id", "thread_no")) -> DataFrame:
     best = F.min(F.struct("list_no", "score", "created_ms", "chat_id")).alias("best")
-    return found.groupBy("session_id", "thread_no").agg(best).select("session_id", "thread_no", "best.*")
+    return found.groupBy(*thread).agg(best).select(*thread, "best.*")
 
 
 def _prepared(threads: DataFrame, *lists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,12 +203,11 @@ def _block(position: Column) -> Column:
 
 
 def _offers(reach: DataFrame, chats: DataFrame) -> DataFrame:
-    """The chats in the intervals, found by blocks of positions. (New names: `asks` comes from the same tables.)"""
+    """The chats in the intervals, found by blocks of positions."""
     wanted = reach.withColumn("block", F.explode(F.sequence(_block(C("start")), _block(C("stop")))))
     placed = chats.select(*PLACE, _outward().alias("out"), _block(_outward()).alias("block"), "created_ms", "chat_id")
     return wanted.join(placed, [*PLACE, "block"]).where(C("out").between(C("start"), C("stop"))).select(
-        C("session_id").alias("for_session"), C("stretch").alias("for_stretch"), C("list_no").alias("in_list"),
-        _place(), "out", "created_ms", "chat_id",
+        "session_id", "stretch", "list_no", _place(), "out", "created_ms", "chat_id"
     )
 
 
@@ -212,47 +216,68 @@ def _place() -> Column:
     return F.md5(F.concat_ws(":", "bucket", "side", "probe")).alias("place")
 
 
-def _fold(asks, offers):
-    """Threads of a stretch in order, each taking the best chat left.
+def _walk(batches):
+    """Threads of each stretch in order, each taking the best chat left. Rows come by session and stretch, chats first.
 
     Of each group a thread looks at the first free chat outward. `ahead` leads from a taken chat past the taken ones behind
     it and is shortened on every walk, so the walks of all threads together take little more than one step each.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    listed = dict(zip(zip(offers.in_list, offers.place, offers.out), zip(offers.created_ms, offers.chat_id)))
-    ahead, taken, kept = {}, set(), []
-    asks = asks.sort_values("thread_no", kind="stable")
-    best, number = None, None
+    stretch, thread, best, kept = None, None, None, []
+    listed, ahead, taken = {}, {}, set()
 
     def take():
         if best is not None:
             taken.add(best[3])
-            kept.append((session, number, best[0], best[3], best[1]))
-
-    for session, thread, started, gap, bonus, list_no, place, out in zip(
-        asks.session_id, asks.thread_no, asks.started_ms, asks.gap, asks.bonus, asks.list_no, asks.place, asks.out
-    ):
-        if thread != number:
-            take()
-            best, number = None, thread
-        spot = (list_no, place, out)
-        while spot in listed and listed[spot][1] in taken:
-            following = ahead.get(spot, (list_no, place, spot[2] + 1))
-            ahead[spot] = ahead.get(following, following)
-            spot = ahead[spot]
-        if spot in listed:
-            created, chat = listed[spot]
-            distance = abs(created - started)
-            offer = (list_no, distance - bonus, created, chat)
-            if distance <= gap and (best is None or offer < best):
-                best = offer
+            kept.append((stretch[0], thread, best[0], best[3], best[1]))
+
+    names = ("session_id", "stretch", "thread_no", "started_ms", "gap", "bonus", "list_no", "place", "out", "created_ms", "chat_id")
+    schema = None
+    for batch in batches:
+        if schema is None:
+            fields = [batch.schema.field(name) for name in ("session_id", "thread_no", "list_no", "chat_id")]
+            schema = pa.schema([*fields, pa.field("score", pa.int64())])
+        for session, part, number, started, gap, bonus, list_no, place, out, created, chat in zip(
+            *(batch[name].to_pylist() for name in names)
+        ):
+            if (session, part) != stretch:
+                take()
+                stretch, thread, best = (session, part), None, None
+                listed, ahead, taken = {}, {}, set()
+            spot = (list_no, place, out)
+            if started is None:
+                listed[spot] = (created, chat)
+                continue
+            if number != thread:
+                take()
+                thread, best = number, None
+            while spot in listed and listed[spot][1] in taken:
+                following = ahead.get(spot, (list_no, place, spot[2] + 1))
+                ahead[spot] = ahead.get(following, following)
+                spot = ahead[spot]
+            if spot in listed:
+                created, chat = listed[spot]
+                distance = abs(created - started)
+                offer = (list_no, distance - bonus, created, chat)
+                if distance <= gap and (best is None or offer < best):
+                    best = offer
+        if kept:
+            yield _rows(kept, schema)
+            kept.clear()
     take()
-    return pd.DataFrame(kept, columns=["session_id", "thread_no", "list_no", "chat_id", "score"])
+    if kept:
+        yield _rows(kept, schema)
+
 
+def _rows(rows, schema):
+    import pyarrow as pa
 
-def _folded(heads: DataFrame, reach: DataFrame, chats: DataFrame) -> DataFrame:
-    """Assignment of whole stretches, each by one walk over its threads."""
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _walked(heads: DataFrame, reach: DataFrame, chats: DataFrame) -> DataFrame:
+    """Assignment of whole stretches, each by one walk over its threads; a task walks many of them."""
     gap = F.when(C("saw_title_request"), TITLE_GAP_MS).otherwise(GAP_MS).cast("long")
     # All chats of a group have one prompt, or any: those of an equal or partly equal prompt are in a group of their own.
     bonus = F.when(C("probe") == ANY, 0).when(C("probe") == C("prompt"), EQUAL_BONUS_MS).otherwise(PART_BONUS_MS)
@@ -264,8 +289,10 @@ def _folded(heads: DataFrame, reach: DataFrame, chats: DataFrame) -> DataFrame:
         heads.schema["session_id"], heads.schema["thread_no"], heads.schema["list_no"],
         T.StructField("chat_id", chats.schema["chat_id"].dataType), T.StructField("score", T.LongType()),
     ])
-    offers = _offers(reach, chats).groupBy("for_session", "for_stretch")
-    return asks.groupBy("session_id", "stretch").cogroup(offers).applyInPandas(_fold, schema)
+    by = ["session_id", "stretch"]
+    rows = asks.unionByName(_offers(reach, chats), allowMissingColumns=True).repartition(*by)
+    in_order = [*by, C("started_ms").isNotNull(), C("thread_no").asc_nulls_last()]
+    return rows.sortWithinPartitions(*in_order).mapInArrow(_walk, schema)
 
 
 def assign_chats(
@@ -273,25 +300,28 @@ def assign_chats(
 ) -> DataFrame:
     """Give each thread its best chat that no earlier thread of the session took; a later list is used where none fits.
 
-    A chat id stands once in a list. Threads of a session compete only within a stretch of time (`_stretches`). A thread
-    alone in its stretch has its best chat; the threads of any other stretch are walked once in order (`_fold`), with the
-    chats they can need (`_reach`). So the number of jobs does not depend on the conflicts. A stretch of more than
+    A chat id stands once in a list. Threads of a session compete only within a stretch of time (`_stretches`). Where no two
+    threads of a stretch have the same best chat, each gets it: no earlier thread took it. The threads of any other stretch
+    are walked once in order (`_walk`), with the chats they can need (`_reach`). So the number of jobs does not depend on the conflicts. A stretch of more than
     `fold_rows` heads and chats, which one task should not hold, is settled by `_in_rounds` instead, with the same result.
     """
     heads, numbered = _heads(*_prepared(threads, *lists), block_rows)
     heads, numbered = settings.cut_lineage(heads.where(C("bucket").isNotNull())), settings.cut_lineage(numbered)
     by = ["session_id", "stretch"]
     placed = heads.join(_stretches(heads), ["session_id", "bucket"])
-    shared = placed.where(C("n_threads") > 1)
+    wishes = settings.cut_lineage(_best(_at_heads(placed, numbered), ("session_id", "stretch", "thread_no")))
+    rivals = wishes.groupBy(*by, "chat_id").agg(F.count(F.lit(1)).alias("n")).where(C("n") > 1).select(*by).distinct()
+    rivals = settings.cut_lineage(rivals)
+    shared = placed.join(rivals, by, "left_semi")
     reach = settings.cut_lineage(_reach(shared, numbered))
     held = shared.select(*by, F.lit(1).alias("rows")).unionByName(
         reach.select(*by, (C("stop") - C("start") + 1).alias("rows"))
     ).groupBy(*by).agg(F.sum("rows").alias("rows"))
     large = settings.cut_lineage(held.where(C("rows") > fold_rows).select(*by))
     columns = ["session_id", "thread_no", "list_no", "chat_id", "score"]
-    done = _best(_at_heads(placed.where(C("n_threads") == 1), numbered)).select(*columns)
+    done = wishes.join(rivals, by, "left_anti").select(*columns)
     small = [part.join(large, by, "left_anti") for part in (shared, reach)]
-    done = done.unionByName(_folded(*small, numbered))
+    done = done.unionByName(_walked(*small, numbered))
     if large.isEmpty():
         return done
     return done.unionByName(_in_rounds(shared.join(large, by, "left_semi").select(heads.columns), numbered))
