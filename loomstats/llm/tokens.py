@@ -33,7 +33,7 @@ MAGIC = b"LTOK1\n"
 END_ID = 2
 FILE_IDS = 1 << 26  # ids after which a file ends, at the next document
 SEGMENT = 1 << 21  # ids after which a segment ends at the next document
-MEMO = 600_000  # words after which a worker forgets, at the next text
+MEMO = 1_200_000  # words a worker remembers; those not asked for in the last half of it are forgotten, at the next text
 DOC = struct.Struct("<qBQ")
 MANIFEST = (
     "part int, segment int, uri string, table_size long, offset long, length long, documents long, tokens long"
@@ -46,11 +46,11 @@ class Words(dict):
     """Word -> number of its entry in `pool`; a missing word is tokenized by the library when asked for.
 
     Space is dropped by this tokenizer and nothing it does looks across space, so a text's ids are those of its words. Plain
-    words (letters below U+0180, then stops) are one or two pieces for the library's model; all others go through its
+    words (letters below U+0180, then stops and signs) are one or two pieces for the library's model; all others go through its
     whole pipeline.
     """
 
-    PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([.,;:!?|]*)")
+    PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([.,;:!?|#$%&*]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,11 +66,19 @@ class Words(dict):
 
     def clear(self) -> None:
         super().clear()
+        self.past: tuple[dict, np.ndarray, np.ndarray, np.ndarray] = ({}, *[np.zeros(0, np.int64)] * 3)
+        self.stops: dict[str, list[int]] = {}
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.new_ids: list[int] = []
         self.new_sizes: list[int] = []
         self.used = self.entries = 0
 
+    def age(self) -> None:
+        """The words so far become the older half: those asked for again are taken over, the rest goes the next time."""
+        past = dict(self), self.pool, self.start, self.size
+        self.clear()
+        self.past = past
+
     def ids_of(self, word: str) -> list[int]:
         plain = self.PLAIN.fullmatch(word.lower()) if self.plain else None
         if plain is None:
@@ -78,24 +86,28 @@ class Words(dict):
         letters, stops = plain.groups()
         ids = []
         if letters:
-            known = self.get(letters) if letters != word else None  # without its stop, or with a capital
-            if known is not None and known < self.entries:
-                ids = self.pool[self.start[known] : self.start[known] + self.size[known]].tolist()
-            else:
+            ids = self._remembered(letters) if letters != word else None  # without its stop, or with a capital
+            if ids is None:
                 ids = [t.id for t in self.tokenizer.model.tokenize(letters if letters.isascii() else letters.translate(self.letters))]
         if stops:
-            ids = ids + (self._ids(stops) if letters else [t.id for t in self.tokenizer.model.tokenize(stops)])
+            known = self.stops.get(stops)
+            if known is None:
+                known = self.stops[stops] = [t.id for t in self.tokenizer.model.tokenize(stops)]
+            ids = ids + known
         return ids
 
-    def _ids(self, word: str) -> list[int]:
-        """Those of a word that is likely to be known."""
-        k = self[word]
-        if k >= self.entries:
-            self._settle()
-        return self.pool[self.start[k] : self.start[k] + self.size[k]].tolist()
+    def _remembered(self, word: str) -> list[int] | None:
+        """Ids of a word of either half, if it is in the arrays."""
+        known, pool, start, size = self.get(word), self.pool, self.start, self.size
+        if known is None or known >= self.entries:
+            words, pool, start, size = self.past
+            known = words.get(word)
+        return None if known is None else pool[start[known] : start[known] + size[known]].tolist()
 
     def __missing__(self, word: str) -> int:
-        ids = self.ids_of(word)
+        ids = self._remembered(word)
+        if ids is None:
+            ids = self.ids_of(word)
         k = self.entries + len(self.new_sizes)
         self.new_ids += ids
         self.new_sizes.append(len(ids))
@@ -121,8 +133,8 @@ class Words(dict):
 
     def _encode(self, text: str) -> np.ndarray:
         words = text.split(" ")
-        if len(self) > MEMO:
-            self.clear()
+        if len(self) > MEMO // 2:
+            self.age()
         known = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new_sizes:
             self._settle()
