@@ -27,7 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstats.llm import hashing
@@ -339,12 +339,18 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     groups = found.where("n_shingles > 0").groupBy("component", "component_id").agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("_hash")
     )
-    first = groups.select(F.col("component_id").alias("_id"), "_hash").distinct()
+    # Plain equality of keys without nulls: what the join has brought together then needs no second exchange to lose its copies.
+    key = ["_null", "_id", "_hash"]
+    first = groups.select(*_row_key("component_id"), "_hash").distinct()
     all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     rows = docs.select(
         all_of, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"),
-        F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"),
+        *_row_key("doc_id"), F.xxhash64("text").alias("_hash"),
     )
-    same = F.col("_doc_id").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash"))
-    chosen = rows.where("_words").join(first, same, "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
+    chosen = rows.where("_words").join(first.hint("merge"), key, "left_semi").dropDuplicates(key)
     return chosen.select("_doc.*").union(rows.where("not _words").select("_doc.*"))
+
+
+def _row_key(name: str) -> tuple[Column, Column]:
+    doc_id = F.col(name).cast("long")
+    return doc_id.isNull().alias("_null"), F.coalesce(doc_id, F.lit(0)).alias("_id")
