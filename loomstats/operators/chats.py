@@ -69,7 +69,11 @@ def tool_calls(calls: DataFrame, results: DataFrame, invocations: DataFrame) ->
 def chat_steps(
     chats: DataFrame, requests: DataFrame, calls: DataFrame, pause_ms: int, block_rows: int | None = None
 ) -> DataFrame:
-    """Agent steps of saved chats: prompt, planning or answer, then one step per tool call, with pauses."""
+    """Agent steps of saved chats: prompt, planning or answer, then one step per tool call, with pauses.
+
+    Calls and steps are written once: each is read for its sizes and again for its rows, and takes several joins to make.
+    """
+    calls = settings.stored(calls)
     numbered = Sequence(calls, REQUEST, "slot", ["sub_no", "child_no"], block_rows=block_rows).row_number("call_no")
     counted = calls.groupBy(*REQUEST).agg(F.count(F.lit(1)).alias("calls"))
     base = requests.join(chats.select("chat_id", "created_ms"), "chat_id").join(counted, REQUEST, "left")
@@ -111,9 +115,8 @@ def chat_steps(
         text.detail(F.coalesce(F.try_element_at(parts, F.lit(1)), named), named).alias("detail"),
         C("name").alias("intent"), kind["is_fallback"].alias("is_fallback"),
     )
-    rows = Sequence(
-        spoken.unionByName(tools), ["chat_id"], "step_ms", ["request_ms", "request_no", "part"], block_rows=block_rows
-    )
+    steps = settings.stored(spoken.unionByName(tools))
+    rows = Sequence(steps, ["chat_id"], "step_ms", ["request_ms", "request_no", "part"], block_rows=block_rows)
     duration = C("next_ms") - C("step_ms")
     return rows.next({"next_ms": C("step_ms")}).frame().withColumns(
         {"duration_ms": duration, "is_significant_pause": duration > pause_ms}

@@ -95,7 +95,7 @@ def _heads(probes: DataFrame, listed: DataFrame, block_rows: int | None) -> tupl
     both = offers.unionByName(asks, allowMissingColumns=True).withColumns({
         "is_thread": C("thread").isNotNull().cast("int"), "chat_id": C("chat.chat_id"), "backward": -C("chat.chat_id"),
     })
-    both = settings.cut_lineage(both)
+    both = settings.stored(both)
     is_chat = (C("is_thread") == 0).cast("long")
     numbered = lambda tie: Sequence(
         both, group, "ms", ["is_thread", tie], block_rows=block_rows
@@ -156,7 +156,7 @@ def nearest_chats(threads: DataFrame, chats: DataFrame, block_rows: int | None =
     The best chat is the nearest one before or after the thread in one of the groups of `_probes`, so each thread looks up
     two chats per group instead of being compared with every chat in reach.
     """
-    threads = settings.cut_lineage(threads.select(*THREAD[:-1], "first_prompt"))
+    threads = settings.stored(threads.select(*THREAD[:-1], "first_prompt"))
     heads, numbered = _heads(*_prepared(threads, chats), block_rows)
     return _best(_at_heads(heads, numbered)).select("session_id", "thread_no", "chat_id", "score")
 
@@ -306,14 +306,14 @@ def assign_chats(
     `fold_rows` heads and chats, which one task should not hold, is settled by `_in_rounds` instead, with the same result.
     """
     heads, numbered = _heads(*_prepared(threads, *lists), block_rows)
-    heads, numbered = settings.cut_lineage(heads.where(C("bucket").isNotNull())), settings.cut_lineage(numbered)
+    heads, numbered = settings.stored(heads.where(C("bucket").isNotNull())), settings.stored(numbered)
     by = ["session_id", "stretch"]
     placed = heads.join(_stretches(heads), ["session_id", "bucket"])
-    wishes = settings.cut_lineage(_best(_at_heads(placed, numbered), ("session_id", "stretch", "thread_no")))
+    wishes = settings.stored(_best(_at_heads(placed, numbered), ("session_id", "stretch", "thread_no")))
     rivals = wishes.groupBy(*by, "chat_id").agg(F.count(F.lit(1)).alias("n")).where(C("n") > 1).select(*by).distinct()
     rivals = settings.cut_lineage(rivals)
     shared = placed.join(rivals, by, "left_semi")
-    reach = settings.cut_lineage(_reach(shared, numbered))
+    reach = settings.stored(_reach(shared, numbered))
     held = shared.select(*by, F.lit(1).alias("rows")).unionByName(
         reach.select(*by, (C("stop") - C("start") + 1).alias("rows"))
     ).groupBy(*by).agg(F.sum("rows").alias("rows"))
@@ -362,7 +362,7 @@ def _in_rounds(heads: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def match_titles(threads: DataFrame, titles: DataFrame, sessions: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Threads with their matched chat and title: from the title records, else from the full chat sessions."""
-    threads = settings.cut_lineage(threads)
+    threads = settings.stored(threads)
     matched = assign_chats(threads, titles, sessions, block_rows=block_rows)
     names = titles.select("chat_id", "title", F.lit(0).alias("list_no")).unionByName(
         sessions.select("chat_id", "title", F.lit(1).alias("list_no"))

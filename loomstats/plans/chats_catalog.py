@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import settings
 from ..functions import keywords
 from ..operators import chats, events, logstats, matching, sessions, usage
 from ..operators import loglines
@@ -91,25 +92,26 @@ def calls(spark, sf):
     return chats.tool_calls(plain, results, inner.selectExpr(*_exprs(INVOCATION_COLUMNS)))
 
 
-def _steps(spark, sf):
-    return chats.chat_steps(saved_chats(spark, sf), requests(spark, sf), calls(spark, sf), 120_000)
+def _steps(spark, sf, saved=None):
+    saved = saved_chats(spark, sf) if saved is None else saved
+    return chats.chat_steps(saved, requests(spark, sf), calls(spark, sf), 120_000)
 
 
-def _threads(spark, sf):
-    return sessions.threads(_thread_rows(spark, sf)).withColumn("saw_title_request", C("thread_no") % 3 == 0)
+def _threads(rows):
+    return sessions.threads(rows).withColumn("saw_title_request", C("thread_no") % 3 == 0)
 
 
-def _titles(spark, sf):
-    return saved_chats(spark, sf).where(C("chat_id") % 2 == 0)
-
-
-def _match(spark, sf):
-    return matching.match_titles(_threads(spark, sf), _titles(spark, sf), saved_chats(spark, sf))
+def _match(spark, sf, rows=None, saved=None):
+    """`rows` and `saved`: events with their threads and saved chats, where the caller has them stored."""
+    rows = _thread_rows(spark, sf) if rows is None else rows
+    saved = settings.stored(saved_chats(spark, sf)) if saved is None else saved
+    return matching.match_titles(_threads(rows), saved.where(C("chat_id") % 2 == 0), saved)
 
 
 def _thread_steps(spark, sf):
-    rows = _thread_rows(spark, sf)
-    return chats.steps_for_threads(_match(spark, sf), sessions.thread_steps(rows, PAUSE_MS), _steps(spark, sf))
+    rows, saved = _thread_rows(spark, sf).stored(), settings.stored(saved_chats(spark, sf))
+    own = sessions.thread_steps(rows, PAUSE_MS)
+    return chats.steps_for_threads(_match(spark, sf, rows, saved), own, _steps(spark, sf, saved))
 
 
 def chat_catalog(spark, sf):
@@ -192,7 +194,7 @@ QUERIES = {
     "q_catalog_attach": lambda s, d: chats.with_children(
         table(s, d, "region").select(F.concat(F.lit("s"), "r_regionkey").alias("session_id"), "r_name"), _tree(s, d)
     ),
-    "q_title_match_nearest": lambda s, d: matching.nearest_chats(_threads(s, d), saved_chats(s, d)),
+    "q_title_match_nearest": lambda s, d: matching.nearest_chats(_threads(_thread_rows(s, d)), saved_chats(s, d)),
     "q_title_match_exclusive": lambda s, d: _match(s, d).select("session_id", "thread_no", "chat_id", "matched_title"),
     "q_matched_thread_titles": lambda s, d: sessions.with_titles(_match(s, d)).select("session_id", "thread_no", "title"),
     "q_thread_chat_steps": _thread_steps,
