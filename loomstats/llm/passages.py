@@ -51,6 +51,7 @@ HASHES, NEED = 4, 2
 GAP = 12  # shingles without a match inside a passage: two edits
 DRIFT = 16  # words by which edits may shift one side
 RUN, SEED = 21, 14  # shingles that similar passages share in one run, and of the tokens of the third round
+ROWS = 1000  # candidates whose shingles a task holds at once
 AROUND = 2 * (WORDS + 2 - WIDTH)  # shingles looked at on either side of a shared token of the third round
 
 WINDOWS = pa.schema([("value", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("reach", pa.int64()), ("seed", pa.bool_())])
@@ -70,15 +71,20 @@ def span_of(words: int = WORDS, width: int = WIDTH) -> int:
     return words + 1 - width + 1
 
 
-def sliding_minima(values: np.ndarray, span: int) -> np.ndarray:
-    """Minimum of each stretch of `span` values: of the tail of one block and the head of the next."""
+def sliding_minima(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum of each stretch of `span` values, and its first place there: of the tail of one block and the head of the next."""
     n = len(values)
     padded = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = values
-    blocks = padded.reshape(-1, span)
-    head = np.minimum.accumulate(blocks, 1).ravel()
-    tail = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    return np.minimum(tail[: n - span + 1], head[span - 1 : n])
+    blocks, at = padded.reshape(-1, span), np.arange(len(padded)).reshape(-1, span)
+    head = np.minimum.accumulate(blocks, 1)
+    tail = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1]
+    lower = np.ones(blocks.shape, bool)  # where the minimum so far begins
+    lower[:, 1:] = head[:, 1:] < head[:, :-1]
+    head_at = np.maximum.accumulate(np.where(lower, at, 0), 1).ravel()[span - 1 : n]
+    tail_at = np.minimum.accumulate(np.where(blocks == tail, at, len(padded))[:, ::-1], 1)[:, ::-1].ravel()[: n - span + 1]
+    head, tail = head.ravel()[span - 1 : n], tail.ravel()[: n - span + 1]
+    return np.minimum(tail, head), np.where(tail <= head, tail_at, head_at)
 
 
 def compact_windows(values: np.ndarray, bounds: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -86,7 +92,7 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, span: int) -> tuple[
     empty = np.zeros(0, np.int64)
     if len(values) < span:
         return values[:0], empty, empty, empty, empty
-    minima = sliding_minima(values, span)
+    minima, places = sliding_minima(values, span)
     at = np.arange(len(minima))
     doc = np.searchsorted(bounds, at, "right") - 1
     inside = at + span <= bounds[doc + 1]
@@ -97,14 +103,7 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, span: int) -> tuple[
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at)) - 1
     first, last, doc, minima = at[begin], at[end] + span - 1, doc[begin], minima[begin]
-    # the minimum lies in the last stretch of its run (and in the first): the place of its first occurrence there
-    order = np.lexsort((np.arange(len(values)), values))
-    low = np.searchsorted(values, minima, sorter=order)
-    place = order[low]
-    later = np.flatnonzero(place < at[end])  # an equal token further left: look from the last stretch on
-    for k in later.tolist():
-        stretch = values[at[end[k]] : last[k] + 1]
-        place[k] = at[end[k]] + int(np.argmax(stretch == minima[k]))
+    place = places[at[end]]  # the minimum lies in the last stretch of its run (and in the first)
     start = bounds[doc]
     return minima, doc, place - start, first - start, last - start
 
@@ -181,62 +180,74 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(out, COPIES)
 
 
-def candidates(ties: np.ndarray, span: int, need: int = NEED) -> list[tuple[int, int, int, int]]:
-    """Ranges on both sides from the ties of two documents: rows of hash number, place and reach left and right, twice."""
+def candidates(ties: np.ndarray, pairs: np.ndarray, span: int, need: int = NEED) -> np.ndarray:
+    """Pair and ranges on both sides from the ties of pairs of documents: rows of hash number, place and reach left and right,
+    twice, and the number of each row's pair, ascending."""
     number, a, a_left, a_right, b, b_left, b_right = ties.T
     left, right = np.minimum(a_left, b_left), np.minimum(a_right, b_right)
     keep = left + right + 1 >= span - GAP
-    rows = np.stack([b - a, b - left, b + right, number], 1)[keep]
-    if len(rows) < need:
-        return []
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    diagonal = np.cumsum(np.diff(rows[:, 0], prepend=rows[0, 0]) > DRIFT)
-    order = np.lexsort((rows[:, 1], diagonal))
-    rows, diagonal = rows[order], diagonal[order]
-    reached = np.maximum.accumulate(rows[:, 2] + diagonal * (1 << 40)) - diagonal * (1 << 40)  # end of the intervals so far
-    new = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (rows[1:, 1] > reached[:-1])])
-    out = []
-    for group in np.split(rows, np.flatnonzero(new)[1:]):
-        if len(np.unique(group[:, 3])) >= need:
-            low, high = int(group[:, 1].min()), int(group[:, 2].max())
-            least, most = int(group[:, 0].min()), int(group[:, 0].max())
-            out.append((max(0, low - most - DRIFT), high - least + DRIFT, low, high))
-    return out
+    if not keep.any():
+        return np.zeros((0, 5), np.int64)
+    pair, shift, low, high, number = (c[keep] for c in (pairs, b - a, b - left, b + right, number))
+    order = np.lexsort((shift, pair))
+    pair, shift, low, high, number = (c[order] for c in (pair, shift, low, high, number))
+    diagonal = np.cumsum((np.diff(shift, prepend=shift[0]) > DRIFT) | (np.diff(pair, prepend=pair[0]) > 0))
+    order = np.lexsort((low, diagonal))
+    pair, shift, low, high, number, diagonal = (c[order] for c in (pair, shift, low, high, number, diagonal))
+    reached = np.maximum.accumulate(high + diagonal * (1 << 40)) - diagonal * (1 << 40)  # end of the intervals so far
+    new = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (low[1:] > reached[:-1])])
+    begin = np.flatnonzero(new)
+    found = np.bitwise_count(np.bitwise_or.reduceat(1 << number, begin)) >= need
+    least, most = np.minimum.reduceat(shift, begin), np.maximum.reduceat(shift, begin)
+    low, high = np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+    ranges = [pair[begin], np.maximum(0, low - most - DRIFT), high - least + DRIFT, low, high]
+    return np.stack([c[found] for c in ranges], 1)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], span: int, need: int = NEED) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by the two documents."""
-    pair, held = None, []
-
-    def done() -> list[tuple[int, ...]]:
-        if pair is None or len(held) < need:
-            return []
-        return [(*pair, *c) for c in candidates(np.array(held, np.int64), span, need)]
+    """Rows come sorted by the two documents; those of the last pair of a batch wait for the next one."""
+    names = ("a_key", "b_key", "value", "a_place", "a_reach", "b_place", "b_reach")
+    mask = (1 << 32) - 1
+    held = []  # rows, whole batches of one pair as they came
+
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        a, b, value, a_place, a_reach, b_place, b_reach = rows.T
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        ties = np.stack([value & (HASHES - 1), a_place, a_reach >> 32, a_reach & mask, b_place, b_reach >> 32, b_reach & mask], 1)
+        out = candidates(ties, np.cumsum(new) - 1, span, need)
+        if len(out):
+            at = np.flatnonzero(new)[out[:, 0]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[at], b[at], *out[:, 1:].T)], schema=CANDIDATES)
 
     for batch in batches:
-        out: list[tuple[int, ...]] = []
-        a, b = batch["a_key"].to_pylist(), batch["b_key"].to_pylist()
-        columns = [batch[n].to_numpy() for n in ("value", "a_place", "a_reach", "b_place", "b_reach")]
-        value, a_place, a_reach, b_place, b_reach = columns
-        mask = (1 << 32) - 1
-        rows = np.stack(
-            [value & (HASHES - 1), a_place, a_reach >> 32, a_reach & mask, b_place, b_reach >> 32, b_reach & mask], 1
-        ).tolist()
-        for one, other, row in zip(a, b, rows):
-            if (one, other) != pair:
-                out += done()
-                pair, held = (one, other), []
-            held.append(row)
-        if out:
-            yield _rows(out, CANDIDATES)
-    if out := done():
-        yield _rows(out, CANDIDATES)
+        rows = np.stack([batch[n].to_numpy() for n in names], 1)
+        if not len(rows):
+            continue
+        last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
+        cut = last[-1] + 1 if len(last) else 0
+        if held and (cut or (held[-1][-1, :2] != rows[0, :2]).any()):
+            yield from found(np.concatenate([*held, rows[:cut]]))
+            held = []
+        elif cut:
+            yield from found(rows[:cut])
+        held.append(rows[cut:])
+    if held:
+        yield from found(np.concatenate(held))
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ROWS at most."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def _tokens_of(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     """Shingles of each row's text; a text that comes again is not read again."""
     keys = batch["key"].to_numpy()
@@ -251,7 +262,7 @@ def _tokens_of(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The second side of each candidate as shingles."""
-    for batch in batches:
+    for batch in _parts(batches):
         out = []
         rest = zip(*(batch[n].to_pylist() for n in ("a_key", "key", "doc_id", "a_start", "a_end", "b_start", "b_end")))
         for tokens, (a_key, b_key, doc_id, a_start, a_end, b_start, b_end) in zip(_tokens_of(batch, width), rest):
@@ -260,30 +271,72 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield _rows(out, SLICES)
 
 
+def _index(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values, all places by value (number of the value times more than all places, plus place), and the place
+    before each of the same value, -1 if there is none."""
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    before = np.full(len(tokens), -1)
+    again = np.flatnonzero(~new)
+    before[order[again]] = order[again - 1]
+    return ordered[new], (np.cumsum(new) - 1) * (len(tokens) + 1) + order, before
+
+
+def _same(index: tuple[np.ndarray, np.ndarray, np.ndarray], start: int, end: int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `b` its first place in the indexed tokens from `start` to `end`, counted from `start`, and if there is one."""
+    values, places, before = index
+    number = np.minimum(np.searchsorted(values, b), len(values) - 1)
+    base = number * (len(before) + 1)
+    at = places[np.minimum(np.searchsorted(places, base + start), len(places) - 1)] - base
+    return at - start, (values[number] == b) & (at >= start) & (at < end)
+
+
+def _middle(values: np.ndarray) -> int:
+    """The median, as a whole number."""
+    half = len(values) // 2
+    values = np.sort(values)
+    return int(values[half]) if len(values) % 2 else int((int(values[half - 1]) + int(values[half])) / 2)
+
+
 def verify(a: np.ndarray, b: np.ndarray, span: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Passages in two stretches of shingles: begin and end on either side (ends exclusive), similarity."""
-    order = np.argsort(a, kind="stable")
-    place = np.minimum(np.searchsorted(a, b, sorter=order), len(a) - 1)
-    hit = np.flatnonzero(a[order[place]] == b)
-    if not len(hit):
+    index = _index(a)
+    return _passages(a, index[2], b, *_same(index, 0, len(a), b), span, percent)
+
+
+def _passages(
+    a: np.ndarray, a_before: np.ndarray, b: np.ndarray, place: np.ndarray, same: np.ndarray, span: int, percent: int
+) -> list[tuple[int, int, int, int, float]]:
+    hit = np.flatnonzero(same)
+    if not len(hit) or hit[-1] + 1 - hit[0] < span:
         return []
+    # Of the shingles of a range, those whose value did not come before in it are the different ones.
+    b_before = None
     out: list[tuple[int, int, int, int, float]] = []
 
     def look(part: np.ndarray, gap: int) -> None:
         """Parts of matching shingles; one that is not similar as a whole is looked at with smaller gaps."""
-        for piece in np.split(part, np.flatnonzero(np.diff(part) > gap + 1) + 1):
-            low, high = int(piece[0]), int(piece[-1]) + 1
+        nonlocal b_before
+        cuts = np.flatnonzero(part[1:] - part[:-1] > gap + 1) + 1
+        bounds = [0, *cuts.tolist(), len(part)]
+        for left, right in zip(bounds[:-1], bounds[1:]):
+            low, high = int(part[left]), int(part[right - 1]) + 1
             if high - low < span:
                 continue
-            where = order[place[piece]]
-            middle = int(np.median(where - piece))  # of shingles that come twice, those on the passage's own diagonal count
-            near = where[np.abs(where - piece - middle) <= max(DRIFT, (high - low) // 8)]
+            piece = part[left:right]
+            where = place[piece]
+            away = where - piece
+            middle = _middle(away)  # of shingles that come twice, those on the passage's own diagonal count
+            near = where[np.abs(away - middle) <= max(DRIFT, (high - low) // 8)]
             begin = int(near.min()) if len(near) else 0
-            right = np.unique(b[low:high])
+            b_before = _index(b)[2] if b_before is None else b_before
+            firsts = b_before[low:high] < low
+            n_right = int(np.count_nonzero(firsts))
             for end in (int(near.max(initial=0)) + 1, begin + high - low):  # the second: one shingle over and over
-                left = np.unique(a[begin:end])
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                either = len(left) + len(right) - both
+                n_left = int(np.count_nonzero(a_before[begin:end] < begin))
+                both = _common(begin, min(end, len(a)), low, high, firsts)
+                either = n_left + n_right - both
                 if 100 * both >= percent * either and min(end, len(a)) - begin >= span - GAP:
                     out.append((begin, min(end, len(a)), low, high, both / either))
                     break
@@ -291,36 +344,56 @@ def verify(a: np.ndarray, b: np.ndarray, span: int, percent: int) -> list[tuple[
                 if gap:
                     look(piece, gap // 2 if gap > 3 else 0)
 
+    def _common(begin: int, end: int, low: int, high: int, firsts: np.ndarray) -> int:
+        """Different shingles of b[low:high] that a[begin:end] has."""
+        mine = firsts & same[low:high]
+        where = place[low:high][mine]
+        inside = (where >= begin) & (where < end)
+        count = int(np.count_nonzero(inside))
+        earlier = where[where < begin]  # their first place is before, another one may be inside
+        if len(earlier):
+            known = np.isin(a[begin:end], a[earlier])
+            count += int(np.count_nonzero(known & (a_before[begin:end] < begin)))
+        return count
+
     look(hit, GAP)
     return out
 
 
-def exact_runs(a: np.ndarray, b: np.ndarray, low: int, high: int, span: int) -> list[tuple[int, int, int]]:
+def exact_runs(where: np.ndarray, same: np.ndarray, low: int, high: int, span: int) -> list[tuple[int, int, int]]:
     """Begins and ends of stretches of b[low:high], of `span` shingles or more, that stand in `a` as they are, and how far they
-    lie behind their places there."""
-    order = np.argsort(a, kind="stable")
-    part = b[low:high]
-    where = order[np.minimum(np.searchsorted(a, part, sorter=order), len(a) - 1)]
-    hit = np.flatnonzero(a[where] == part)
-    if not len(hit):
+    lie behind their places there; `where` and `same` as of `_same`."""
+    hit = np.flatnonzero(same[low:high]) + low
+    if len(hit) < span:
         return []
-    breaks = np.flatnonzero((np.diff(hit) != 1) | (np.diff(where[hit]) != 1)) + 1
+    at = where[hit]
+    breaks = np.flatnonzero((hit[1:] - hit[:-1] != 1) | (at[1:] - at[:-1] != 1)) + 1
+    bounds = [0, *breaks.tolist(), len(hit)]
     return [
-        (low + int(run[0]), low + int(run[-1]) + 1, low + int(run[0]) - int(where[run[0]]))
-        for run in np.split(hit, breaks) if len(run) >= span
+        (int(hit[first]), int(hit[last - 1]) + 1, int(hit[first]) - int(at[first]))
+        for first, last in zip(bounds[:-1], bounds[1:]) if last - first >= span
     ]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, span: int, percent: int) -> Iterator[pa.RecordBatch]:
     more = width - 1  # a stretch of shingles has these words more
-    for batch in batches:
+    whole, looked = None, 0
+    index = None  # of the whole document, once more than its length was looked at
+    for batch in _parts(batches):
         out = []
         rest = zip(*(batch[n].to_pylist() for n in ("doc_id", "key", "b_key", "b_id", "a_start", "a_end", "b_start", "shingles")))
         for tokens, (a_id, a_key, b_key, b_id, a_start, a_end, b_start, data) in zip(_tokens_of(batch, width), rest):
             a, b = tokens[a_start : a_end + 1], np.frombuffer(data, np.uint64)
-            if len(a):
-                for a_low, a_high, low, high, similarity in verify(a, b, span, percent):
-                    runs = np.array(exact_runs(a, b, low, high, span), np.int64).reshape(-1, 3) + [b_start, b_start, b_start - a_start]
+            if tokens is not whole:
+                whole, looked, index = tokens, 0, None
+            if len(a) and len(b):
+                looked += len(a)
+                index = _index(tokens) if index is None and looked > len(tokens) else index
+                here, start = (_index(a), 0) if index is None else (index, a_start)
+                where, same = _same(here, start, start + len(a), b)
+                before = here[2][start : start + len(a)] - start
+                for a_low, a_high, low, high, similarity in _passages(a, before, b, where, same, span, percent):
+                    runs = np.array(exact_runs(where, same, low, high, span), np.int64).reshape(-1, 3) + [b_start, b_start, b_start - a_start]
                     out.append(
                         (b_id, b_start + low, b_start + high + more, a_id, a_start + a_low, a_start + a_high + more, similarity,
                          a_key, b_key, runs.tobytes())
@@ -332,13 +405,17 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, span: int, percent: i
 def _stretches(batches: Iterator[pa.RecordBatch], width: int, span: int) -> Iterator[pa.RecordBatch]:
     """Each stretch of `span` shingles inside the given windows of a document, but for those inside exact runs."""
     for batch in batches:
-        keys, windows, settled = batch["key"].to_pylist(), batch["windows"].to_pylist(), batch["settled"].to_pylist()
+        keys, settled = batch["key"].to_pylist(), batch["settled"].to_pylist()
+        windows, lists = batch["windows"].flatten(), batch["windows"].value_lengths().to_numpy()
+        place, reach = (windows.field(n).to_numpy() for n in ("place", "reach"))
+        first, last = place - (reach >> 32), place + (reach & ((1 << 32) - 1)) - span + 2
+        ends = np.cumsum(lists)
         for row, tokens in enumerate(_tokens_of(batch, width)):
             n = len(tokens) - span + 1
             take = np.zeros(n + 1, np.int64)  # changes of the number of windows around a stretch
-            for w in windows[row]:
-                take[w["place"] - (w["reach"] >> 32)] += 1
-                take[w["place"] + (w["reach"] & ((1 << 32) - 1)) - span + 2] -= 1
+            own = slice(ends[row] - lists[row], ends[row])
+            np.add.at(take, first[own], 1)
+            np.subtract.at(take, last[own], 1)
             take = np.cumsum(take[:n]) > 0
             for data in settled[row] or []:
                 for low, high, _ in np.frombuffer(data, np.int64).reshape(-1, 3).tolist():
